@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rasterloom.llm import bitplanes, packing, tokens
+from rasterloom.llm import bitplanes, packing, quality_rules, tokens
 from rasterloom.llm.common import table
 
 
@@ -14,12 +14,16 @@ def op5_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplanes.round_trip(table(spark, sf_dir, "documents"), tokens.vocabulary("word_bpe_49k.json"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokens.vocabulary("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_token_planes, op10_packing)}
+    return {f.__name__: f for f in (op5_token_planes, op9_quality_rules, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rasterloom.llm import bitplanes, packing, quality_rules, tokens
+from rasterloom.llm import bitplanes, packing, quality_rules, tokens, weighted_sampling
 from rasterloom.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op5_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplanes.round_trip(table(spark, sf_dir, "documents"), tokens.vocabulary("word_bpe_49k.json"))
 
 
+def op6_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_sampling.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -23,7 +27,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_token_planes, op9_quality_rules, op10_packing)}
+    return {f.__name__: f for f in (op5_token_planes, op6_weighted_sampling, op9_quality_rules, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rasterloom.llm import bitplanes, packing, quality_rules, tokens, weighted_sampling
+from rasterloom.llm import bitplanes, packing, quality_rules, simhash, tokens, weighted_sampling
 from rasterloom.llm.common import table
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.groups(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
+
+
 def op5_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplanes.round_trip(table(spark, sf_dir, "documents"), tokens.vocabulary("word_bpe_49k.json"))
 
@@ -27,7 +32,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_token_planes, op6_weighted_sampling, op9_quality_rules, op10_packing)}
+    return {f.__name__: f for f in (op1_simhash, op5_token_planes, op6_weighted_sampling, op9_quality_rules, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

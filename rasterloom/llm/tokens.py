@@ -2,7 +2,8 @@
 
 The library spends 10 to 30 microseconds on a word, most of it on words that it
 has seen before. A text is therefore cut at places that its pre-tokenizer cuts
-too, each distinct piece is encoded once by the library, and the ids are joined.
+too, each distinct piece is encoded once by the library (a plain word by its model
+alone, as the library's own pre-tokenizer would hand it on), and the ids are joined.
 Texts with white space of another kind than single spaces and line feeds between
 words (where the byte-level pre-tokenizer looks ahead) are encoded whole.
 """
@@ -11,13 +12,16 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Iterator
 
 END_ID = 1
 #: Units kept by a worker process; about 250 bytes each. It only saves time: a full cache is emptied.
-CACHE_UNITS = 500_000
+CACHE_UNITS = 1_000_000
 
 _ODD_SPACE = re.compile(r"\s\s|[^\S \n]|\A\s|\s\Z")
+#: Punctuation that both pre-tokenizers cut off the letters before it, as one piece.
+_TAIL = ".,;:!?%$*#&|"
 _LOADED: dict[tuple[str, str], "Encoder"] = {}
 
 
@@ -28,6 +32,27 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, others for code points from 256 on."""
+    plain = [b for b in range(256) if 33 <= b < 127 or 161 <= b < 256 and b != 173]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class _Known(dict):
+    """The ids of units, as bytes; one that is missing is encoded when it is asked for."""
+
+    def __init__(self, encode):
+        super().__init__({"": b""})
+        self.encode = encode
+
+    def __missing__(self, unit: str) -> bytes:
+        ids = self.encode(unit)
+        if len(unit) < 100:  # a whole text, or junk, is of no use here
+            self[unit] = ids
+        return ids
+
+
 class Encoder:
     """kind "word": white space only separates (word_bpe); "byte": byte-level BPE."""
 
@@ -37,41 +62,38 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model = self.tokenizer.model
         self.kind, self.cache_units = kind, cache_units
-        self.known: dict[str, bytes] = {"": b""}
-
-    def _library(self, texts: list[str]) -> Iterator[bytes]:
-        import numpy as np
-
-        for i in range(0, len(texts), 20_000):
-            for e in self.tokenizer.encode_batch_fast(texts[i : i + 20_000], add_special_tokens=False):
-                yield np.array(e.ids, dtype="<u4").tobytes()
+        self.letters = _byte_letters()
+        self.known = _Known(self._encode_unit)
+
+    def _encode_unit(self, unit: str) -> bytes:
+        core = unit.rstrip(_TAIL)
+        bare = core[1:] if self.kind == "byte" and core[:1] == " " else core
+        if len(core) < len(unit) and bare:
+            return self.known[core] + self.known[unit[len(core) :]] if bare[-1].isalpha() else self._whole(unit)
+        if bare.isalpha() and max(bare) < "\u0100":
+            # One pre-token of Latin letters, to which normalisation does nothing but lower them: straight to the model.
+            if self.kind == "word":
+                core = core.lower()
+            return array("I", [t.id for t in self.model.tokenize(core.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        return self._whole(unit)
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _units(self, text: str) -> list[str]:
         if self.kind == "word":
             return text.replace("\n", " ").split(" ")
-        if _ODD_SPACE.search(text):
-            return [text]
-        if "\n" not in text:
-            return text.replace(" ", "\x00 ").split("\x00") if "\x00" not in text else [text]
-        if "\x00" in text:
+        if "\x00" in text or _ODD_SPACE.search(text):
             return [text]
         return text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
 
-    def encode(self, texts: Iterable[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        units = [self._units(t) for t in texts]
+    def encode(self, text: str) -> bytes:
+        """The text's ids as little-endian unsigned 32-bit integers."""
         if len(self.known) > self.cache_units:
-            self.known = {"": b""}
-        known = self.known
-        missing = list({u for us in units for u in us if u not in known})
-        known.update(zip(missing, self._library(missing)))
-        get = known.__getitem__
-        out = [b"".join(map(get, us)) for us in units]
-        for us in units:  # whole texts are no use in the cache
-            if len(us) == 1 and len(us[0]) > 200:
-                known.pop(us[0], None)
-        return out
+            self.known = _Known(self._encode_unit)
+        return b"".join(map(self.known.__getitem__, self._units(text)))
 
 
 def encoder(path: str, kind: str) -> Encoder:
@@ -81,12 +103,11 @@ def encoder(path: str, kind: str) -> Encoder:
     return _LOADED[path, kind]
 
 
-def encoded_rows(batches, path: str, kind: str, rows: int = 400) -> Iterator[tuple[int | None, bytes]]:
+def encoded_rows(batches, path: str, kind: str, rows: int = 100) -> Iterator[tuple[int | None, bytes]]:
     """(doc_id, ids with the end id) of Arrow batches (doc_id, text); a null text is empty."""
     enc, end = encoder(path, kind), END_ID.to_bytes(4, "little")
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             part = batch.slice(at, rows)
-            texts = [t or "" for t in part.column(1).to_pylist()]
-            for doc_id, ids in zip(part.column(0).to_pylist(), enc.encode(texts)):
-                yield doc_id, ids + end
+            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                yield doc_id, enc.encode(text or "") + end

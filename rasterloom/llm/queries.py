@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import bitplanes, packing, quality_rules, simhash, suffix_dedup, tokens, warc, weighted_sampling
+from rasterloom.llm import bitplanes, packing, quality_rules, simhash, suffix_dedup, tokens, toxicity, warc, weighted_sampling
 from rasterloom.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplanes.round_trip(table(spark, sf_dir, "documents"), tokens.vocabulary("word_bpe_49k.json"))
 
@@ -42,7 +46,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op3_warc, op5_token_planes, op6_weighted_sampling, op8_suffix_dedup, op9_quality_rules, op10_packing)}
+    return {f.__name__: f for f in (op1_simhash, op3_warc, op4_toxicity, op5_token_planes, op6_weighted_sampling, op8_suffix_dedup, op9_quality_rules, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

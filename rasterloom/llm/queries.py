@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import bitplanes, packing, quality_rules, simhash, suffix_dedup, tokens, toxicity, warc, weighted_sampling
+from rasterloom.llm import bitplanes, packing, quality_rules, simhash, suffix_dedup, tokens, toxicity, url_filter, warc, weighted_sampling
 from rasterloom.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op6_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted_sampling.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -46,7 +50,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op3_warc, op4_toxicity, op5_token_planes, op6_weighted_sampling, op8_suffix_dedup, op9_quality_rules, op10_packing)}
+    return {f.__name__: f for f in (op1_simhash, op3_warc, op4_toxicity, op5_token_planes, op6_weighted_sampling, op7_url_filter, op8_suffix_dedup, op9_quality_rules, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

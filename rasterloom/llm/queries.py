@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import bitplanes, packing, quality_rules, simhash, suffix_dedup, tokens, toxicity, url_filter, warc, weighted_sampling
+from rasterloom.llm import bitplanes, packing, quality_rules, simhash, suffix_dedup, tokens, toxicity, url_filter, warc, weighted_sampling, wfst
 from rasterloom.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wfst.round_trip(table(spark, sf_dir, "documents"), tokens.vocabulary("piece_bpe_32k.model"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -50,7 +54,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op3_warc, op4_toxicity, op5_token_planes, op6_weighted_sampling, op7_url_filter, op8_suffix_dedup, op9_quality_rules, op10_packing)}
+    return {f.__name__: f for f in (op1_simhash, op2_sentencepiece, op3_warc, op4_toxicity, op5_token_planes, op6_weighted_sampling, op7_url_filter, op8_suffix_dedup, op9_quality_rules, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

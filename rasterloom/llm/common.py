@@ -66,3 +66,8 @@ def words(text: Column) -> Column:
 def prefer_names(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that other columns of the input can't clash."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def text_hash() -> Column:
+    """64 bits of a text; null and empty are alike."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))

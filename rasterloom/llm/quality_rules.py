@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import NOT_SPACE, SPACE_CHARS, words, written
+from rasterloom.llm.common import NOT_SPACE, SPACE_CHARS, text_hash, words, written
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -111,3 +111,11 @@ def judge(docs: DataFrame, host: str = "source", max_host_rate: float = MAX_HOST
     found = rows.join(hosts, F.col(f"`{host}`").eqNullSafe(F.col("_host")), "left")
     kept = ~F.col("base_failed") & (F.col("host_rate") <= max_host_rate)
     return found.select(*carry, *BASE, "base_failed", "host_rate", kept.alias("kept"))
+
+
+def only_kept(docs: DataFrame, host: str = "source", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
+    """The rows of docs that are kept, unchanged. Verdicts meet rows by text and host, on
+    which alone they depend; so rows without a doc_id are judged like any other."""
+    hashed = docs.select(F.lit(None).cast("long").alias("doc_id"), text_hash().alias("_hash"), "text", F.col(f"`{host}`").alias("_judged"))
+    kept = judge(hashed, "_judged", max_host_rate, ("_hash", "_judged")).where("kept").select("_hash", "_judged").distinct()
+    return docs.join(kept, (text_hash() == F.col("_hash")) & F.col(f"`{host}`").eqNullSafe(F.col("_judged")), "left_semi")

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import prefer_names, written
+from rasterloom.llm.common import prefer_names, text_hash, written
 from rasterloom.llm.components import connected_components
 
 SEED, SHINGLE, MAX_BITS, LIST_LIMIT = 42, 3, 3, 50_000
@@ -53,17 +53,17 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp as a signed long. A null text has no words."""
+    """(doc_id, text_hash, fp): fp as a signed long. A null text has no words."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             fps = [fingerprint(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=["doc_id", "text_hash", "fp"])
 
-    docs = prefer_names(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return docs.mapInArrow(run, "doc_id long, fp long")
+    docs = prefer_names(docs, "doc_id", "text").withColumns({"doc_id": F.col("doc_id").cast("long"), "text_hash": text_hash()})
+    return docs.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def byte(at: int):
@@ -161,7 +161,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, list_limit: int = LIST_LIMIT
 
 
 def groups(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """(doc_id, fp, component_id) for each row; component_id is the least doc_id reachable.
+    """(doc_id, text_hash, fp, component_id) for each row; component_id is the least doc_id reachable.
 
     Texts without words have fingerprint zero and are linked like any other. Rows of
     equal doc_id are each judged by their own text; a null doc_id is never the least one
@@ -174,7 +174,7 @@ def groups(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     named = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    return rows.join(named, "fp", "left").select("doc_id", "text_hash", "fp", "component_id")
 
 
 def hex_digits(fp):
@@ -182,6 +182,10 @@ def hex_digits(fp):
 
 
 def first_of_each(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of docs that are the first of their group, unchanged."""
-    kept = groups(docs, max_bits).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
+    """The rows of docs with the least doc_id of their group, unchanged.
+
+    In a group where no row has a doc_id, all stay; so do rows that repeat the one that stays.
+    """
+    kept = groups(docs, max_bits).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = kept.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (text_hash() == F.col("_hash")), "left_semi")

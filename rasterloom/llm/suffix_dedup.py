@@ -31,8 +31,9 @@ import functools
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from rasterloom.llm.common import prefer_names, shards_for
+from rasterloom.llm.common import shards_for
 
 WINDOW, PREFIX, CODE_BITS = 13, 5, 40
 SHARD_MB = 6
@@ -229,8 +230,8 @@ def _answers(table, step: int, n: int) -> list[np.ndarray]:
     return out
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, shard_mb: float = SHARD_MB, common_shards: int = COMMON_SHARDS) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept): kept is the words that stay, joined by one space.
+def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, shard_mb: float = SHARD_MB, common_shards: int = COMMON_SHARDS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept), and the columns of carry as a struct row: kept is the words that stay, joined by one space.
 
     A word goes if a window of ``window`` words covers it that also starts in a document
     with a smaller doc_id. A null text has no words. Rows without a doc_id are neither
@@ -241,7 +242,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, shard_m
     shards = shards_for(docs, shard_mb)
     bits = max(1, (shards - 1).bit_length())
     shift = _U(CODE_BITS - bits)
-    dealt = prefer_names(docs, "doc_id", "text").select(F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))), F.lit(shards)).cast("int").alias("shard"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    row = F.struct(*[F.col(f"`{c}`") for c in carry], F.lit(0).alias("_none"))
+    dealt = docs.select("doc_id", "text", row.alias("row")).select(F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))), F.lit(shards)).cast("int").alias("shard"), F.col("doc_id").cast("long").alias("doc_id"), "text", "row")
     dealt = dealt.repartition(shards, "shard")
 
     def census(table):
@@ -288,11 +290,12 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, shard_m
         edges = np.cumsum([0, *sizes])
         return _rows(ANSWER, [(2, name, group, n, _bits(smaller[a : a + n])) for name, n, a in zip(names, sizes, edges)])
 
-    result = "doc_id long, n_words long, n_removed long, kept string"
+    own_schema = "doc_id long, n_words long, n_removed long, kept string"
+    result = StructType([*StructType.fromDDL(own_schema).fields, dealt.schema["row"]])
 
     def mark(table, answers):
         if not table.num_rows:
-            return _rows(result, [])
+            return _rows(own_schema, []).append_column("row", table.column("row"))
         own = Shard(table, window, prefix)
         elsewhere, common = _answers(answers, 1, len(own.prefixes()[0]))
         group, _, _, least, sent, node = own.nodes(elsewhere, common, shards)
@@ -308,10 +311,18 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, shard_m
                 words = [words[i] for i in np.flatnonzero(~covered)]
             doc_id = table.column("doc_id")[own.rows[k]].as_py()
             out.append((doc_id, len(covered), n, b" ".join(words).decode()))
-        return _rows(result, out)
+        return _rows(own_schema, out).append_column("row", table.column("row").take(own.rows))
 
     asked = dealt.groupBy("shard").applyInArrow(census, MESSAGE)
     first = asked.groupBy("bucket").applyInArrow(count, ANSWER)
     asked = dealt.groupBy("shard").cogroup(first.groupBy("shard")).applyInArrow(ask, MESSAGE)
     second = asked.groupBy("bucket").applyInArrow(subtree, ANSWER)
     return dealt.groupBy("shard").cogroup(first.unionByName(second).groupBy("shard")).applyInArrow(mark, result)
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """docs with the repeats taken out of text and n_chars counted anew; texts without a repeat stay as they are."""
+    found = repeats(docs, carry=tuple(docs.columns))
+    changed = F.col("n_removed") > 0
+    own = {"text": F.when(changed, F.col("kept")).otherwise(F.col("row.text")), "n_chars": F.when(changed, F.length("kept").cast("long")).otherwise(F.col("row.n_chars"))}
+    return found.select(*[own.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

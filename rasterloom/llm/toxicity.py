@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import prefer_names, written
+from rasterloom.llm.common import prefer_names, text_hash, written
 
 #: Bound of the labelled rows that are fitted to.
 SAMPLE_ROWS = 20_000
@@ -170,14 +170,14 @@ def _pick_terms(toxic_counts: Counter, other_counts: Counter, n_toxic: int, n_ot
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[DataFrame, "Index"]:
-    """(vectors of all documents as written: doc_id, ids, counts; the index of the examples)."""
+    """(vectors of all documents as written: doc_id, text_hash, ids, counts; the index of the examples)."""
     spark = docs.sparkSession
     docs = prefer_names(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     chosen = sample_labels(labels, sample_rows).collect()  # bounded by sample_rows
     label_of = {r.doc_id: r.toxic for r in chosen}
     examples = docs.join(F.broadcast(spark.createDataFrame(list(label_of.items()), "doc_id long, toxic int")), "doc_id")
     # Copies count once.
-    examples = written(examples.withColumn("h", F.xxhash64(F.coalesce("text", F.lit("")))).groupBy("h").agg(F.min(F.struct("doc_id", "text", "toxic")).alias("r")).select("r.*"), "examples")
+    examples = written(examples.withColumn("h", text_hash()).groupBy("h").agg(F.min(F.struct("doc_id", "text", "toxic")).alias("r")).select("r.*"), "examples")
 
     def counted(rows: DataFrame, known: frozenset | None) -> DataFrame:
         stems = None if known is None else stems_of(known)
@@ -212,9 +212,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> t
                 found = sorted((known[t], n) for t, n in terms(text, known, stems).items())
                 ids.append([i for i, _ in found])
                 counts.append([n for _, n in found])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int64()))], names=["doc_id", "ids", "counts"])
+            cols = [batch.column(0), batch.column(2), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_hash", "ids", "counts"])
 
-    vectored = written(docs.mapInArrow(vectors, "doc_id long, ids array<int>, counts array<long>"), "toxicity-vectors")
+    hashed = docs.withColumn("text_hash", text_hash())
+    vectored = written(hashed.mapInArrow(vectors, "doc_id long, text_hash long, ids array<int>, counts array<long>"), "toxicity-vectors")
     n = vectored.count()
     df = np.zeros(len(names))
     for r in vectored.select(F.explode("ids").alias("i")).groupBy("i").agg(F.count(F.lit(1)).alias("n")).collect():
@@ -263,7 +265,7 @@ def score(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         seen: dict[bytes, tuple[float, list]] = {}
         for batch in batches:
             scores, proof = [], []
-            for ids, counts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for ids, counts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 ids, counts = np.array(ids, dtype=np.int64), np.array(counts, dtype=float)
                 key = ids.tobytes() + counts.tobytes()
                 if key not in seen:
@@ -274,8 +276,15 @@ def score(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
                 scores.append(p)
                 proof.append([{"doc_id": o, "cosine": c, "toxic": t} for o, c, t in near])
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(proof, kind)], names=["doc_id", "score", "evidence"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array(proof, kind)], names=["doc_id", "text_hash", "score", "evidence"])
 
-    found = vectored.mapInArrow(run, "doc_id long, score double, evidence array<struct<doc_id:long,cosine:double,toxic:int>>")
+    found = vectored.mapInArrow(run, "doc_id long, text_hash long, score double, evidence array<struct<doc_id:long,cosine:double,toxic:int>>")
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
-    return found.select("doc_id", fold.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+    return found.select("doc_id", fold.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", "text_hash")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that aren't predicted to be toxic, unchanged. Verdicts meet rows by the
+    text, on which alone they depend; so rows without a doc_id are judged like any other."""
+    toxic = score(docs, labels).where("predicted = 1").select(F.col("text_hash").alias("_toxic")).distinct()
+    return docs.join(toxic, text_hash() == F.col("_toxic"), "left_anti")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from rasterloom.llm.common import prefer_names, shards_for, words
 
 ROUNDS, BINS = 8, 16
-SHARD_MB = 4
+SHARD_MB = 1.5
 
 
 
@@ -93,7 +93,8 @@ def in_order(docs: DataFrame, buckets: int) -> DataFrame:
     firsts = docs.groupBy("bucket").agg(F.min("doc_id").alias("first_id"))
     order = Window.orderBy("bucket")
     after = firsts.select("bucket", F.coalesce(F.lead("bucket").over(order), F.first("bucket").over(order)).alias("after"))
-    found = docs.join(firsts.withColumnRenamed("bucket", "first_bucket"), (F.col("bucket") == F.col("first_bucket")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
+    # One small row a bucket, and shards_for() bounds the buckets.
+    found = docs.join(F.broadcast(firsts.withColumnRenamed("bucket", "first_bucket")), (F.col("bucket") == F.col("first_bucket")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
     found = found.groupBy("first_bucket").agg(F.min("text").alias("after_text"))
     after = after.join(found, F.col("after") == F.col("first_bucket")).select(F.col("bucket").alias("of"), "after_text")
     by = Window.partitionBy("bucket").orderBy(F.col("doc_id").asc_nulls_first(), "text")
@@ -111,6 +112,10 @@ def fingerprint_edits(docs: DataFrame, rounds: int = ROUNDS, bins: int = BINS, s
     Rows of equal or null doc_id follow one another by text. An empty table gives no
     rows; a single row is its own next. Columns besides doc_id and text aren't read.
     """
+    # Both sides of the join below are dealt by bucket, which is enough; else Spark would deal
+    # all samples anew by bucket and row number. Plans are made when the caller acts on them,
+    # so the setting stays.
+    docs.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     rows = in_order(docs, shards_for(docs, shard_mb))
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")

@@ -75,15 +75,20 @@ def is_second_family(content: Column) -> Column:
     return F.substring(content, 1, 6) == F.lit(bytearray(b"Lerc2 "))
 
 
-@pandas_udf("struct<count:int, error_kind:string, error_message:string>")
-def band_count(content: pd.Series) -> pd.DataFrame:
-    rows = []
-    for c in content:
-        try:
-            rows.append((None if c is None else bands.band_count(c), None, None))
-        except RasterError as e:
-            rows.append((None, e.kind, e.message))
-    return pd.DataFrame(rows, columns=["count", "error_kind", "error_message"])
+def band_count(content: Column) -> Column:
+    """A struct of the number of bands that follow one another, or of the error."""
+
+    @pandas_udf("struct<count:int, error_kind:string, error_message:string>")
+    def read(content: pd.Series) -> pd.DataFrame:
+        rows = []
+        for c in content:
+            try:
+                rows.append((None if c is None else bands.band_count(c), None, None))
+            except RasterError as e:
+                rows.append((None, e.kind, e.message))
+        return pd.DataFrame(rows, columns=["count", "error_kind", "error_message"])
+
+    return read(content)
 
 
 def _id_type(blobs: DataFrame) -> str:

@@ -13,12 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def from_key(df: DataFrame, key: str, width: int, values: list[Column], valid: Column | None = None, strip: int = STRIP) -> DataFrame:
+def from_key(df: DataFrame, key: str, width: int, values: list[Column], valid: Column | None = None, strip: int = STRIP, keep: tuple[str, ...] = ()) -> DataFrame:
     """raster_id, y, x, dim, value, valid: key // width is the row of all strips, key % width the column."""
     row = F.floor(F.col(key) / width)
     value = F.posexplode(F.array(*[v.cast("double") for v in values])).alias("dim", "value")
     ok = F.lit(True) if valid is None else valid
-    return df.select(F.floor(row / strip).alias("raster_id"), (row % strip).cast("int").alias("y"), (F.col(key) % width).cast("int").alias("x"), ok.alias("valid"), value)
+    return df.select(F.floor(row / strip).alias("raster_id"), (row % strip).cast("int").alias("y"), (F.col(key) % width).cast("int").alias("x"), ok.alias("valid"), *keep, value)
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,5 +54,4 @@ def event_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A band for each event type, in alphabetical order; a pixel is valid in its own type's band."""
     types = ["click", "error", "purchase", "signup", "view"]
     df = table(spark, sf_dir, "events")
-    found = from_key(df.withColumn("band", F.explode(F.array(*map(F.lit, range(len(types)))))), "event_id", 100, [F.col("value")], F.col("event_type") == F.element_at(F.array(*map(F.lit, types)), F.col("band") + 1))
-    return found
+    return from_key(df.withColumn("band", F.explode(F.array(*map(F.lit, range(len(types)))))), "event_id", 100, [F.col("value")], F.col("event_type") == F.element_at(F.array(*map(F.lit, types)), F.col("band") + 1), keep=("band",))

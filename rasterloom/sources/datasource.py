@@ -24,7 +24,7 @@ import os
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, SimpleDataSourceStreamReader, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
 from rasterloom.codec import bands
 from rasterloom.codec.model import RasterError
@@ -98,8 +98,8 @@ class FilteringReader(Reader):
                 yield f
 
 
-class StreamReader(SimpleDataSourceStreamReader):
-    """Each micro-batch reads the files that came since the last, in order of their names."""
+class StreamReader(DataSourceStreamReader):
+    """Each micro-batch reads the files that came since the last, in order of their names, a partition each."""
 
     def __init__(self, options: dict):
         self.options = options
@@ -107,12 +107,14 @@ class StreamReader(SimpleDataSourceStreamReader):
     def initialOffset(self):
         return {"after": ""}
 
-    def read(self, start):
-        files = [f for f in _files(self.options["path"]) if f > start["after"]]
-        return (r for f in files for r in rows_of(f, self.options)), {"after": files[-1] if files else start["after"]}
+    def latestOffset(self):
+        return {"after": max(_files(self.options["path"]), default="")}
 
-    def readBetweenOffsets(self, start, end):
-        return (r for f in _files(self.options["path"]) if start["after"] < f <= end["after"] for r in rows_of(f, self.options))
+    def partitions(self, start, end):
+        return [Part(f) for f in _files(self.options["path"]) if start["after"] < f <= end["after"]]
+
+    def read(self, partition):
+        yield from rows_of(partition.path, self.options)
 
 
 class Message(WriterCommitMessage):
@@ -163,7 +165,7 @@ class RasterSource(DataSource):
         options = dict(self.options)
         return (FilteringReader if options.get("pushfilters", options.get("pushFilters", "false")).lower() == "true" else Reader)(options)
 
-    def simpleStreamReader(self, schema):
+    def streamReader(self, schema):
         return StreamReader(dict(self.options))
 
     def writer(self, schema, overwrite):

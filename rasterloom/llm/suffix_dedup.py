@@ -124,9 +124,11 @@ class Shard:
 
     def prefixes(self):
         """Distinct codes, each suffix's place among them, and whether two documents have the code."""
+        if not len(self.code):  # no text here has a whole window
+            return self.code, np.zeros(0, np.int64), np.zeros(0, bool)
         order = np.argsort(self.code, kind="stable")
         code = self.code[order]
-        first = np.concatenate(([True], code[1:] != code[:-1])) if len(code) else np.zeros(0, bool)
+        first = np.concatenate(([True], code[1:] != code[:-1]))
         place = np.empty(len(code), dtype=np.int64)
         place[order] = np.cumsum(first) - 1
         begin = np.flatnonzero(first)

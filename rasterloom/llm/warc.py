@@ -88,7 +88,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, arch
     full = with_digest(pages)
     originals = decide(full, min_bytes)
     key = ["page_id", "payload_digest"]
-    dealt = full.repartition(shards_for(pages, archive_mb), *key).alias("p")
+    dealt = full.repartition(shards_for(pages, archive_mb, "html"), *key).alias("p")
     met = dealt.join(originals.alias("o"), F.col("p.page_id").eqNullSafe(F.col("o.page_id")) & (F.col("p.payload_digest") == F.col("o.payload_digest")))
     met.select("p.*", "o.original").select(render(met, date).alias("value")).write.option("lineSep", "\r\n\r\n").text(path)
 

@@ -119,3 +119,22 @@ def only_kept(docs: DataFrame, host: str = "source", max_host_rate: float = MAX_
     hashed = docs.select(F.lit(None).cast("long").alias("doc_id"), text_hash().alias("_hash"), "text", F.col(f"`{host}`").alias("_judged"))
     kept = judge(hashed, "_judged", max_host_rate, ("_hash", "_judged")).where("kept").select("_hash", "_judged").distinct()
     return docs.join(kept, (text_hash() == F.col("_hash")) & F.col(f"`{host}`").eqNullSafe(F.col("_judged")), "left_semi")
+
+
+#: judge() with its defaults in DuckDB; host_rate is rounded in the query, as sums may differ in their last bits.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS g FROM d, unnest(range(1, len(w) - 1)) u(i)),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g), range(3) r(k) WHERE c > 1 GROUP BY doc_id),
+b AS (SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+             CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+             CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+      FROM (SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \t\n\x0B\f\r]')) AS l FROM d) LEFT JOIN r USING (doc_id)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b),
+h AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed) AS failed FROM f GROUP BY source),
+m AS (SELECT sum(failed) / sum(n) AS mean, sum(n * (failed / n) * (failed / n)) / sum(n) - (sum(failed) / sum(n)) ** 2 AS variance, count(*) / sum(n) AS drawn, sum(n) / count(*) AS usual FROM h),
+w AS (SELECT mean, CASE WHEN variance - mean * (1 - mean) * drawn > 0 THEN greatest(1, mean * (1 - mean) / (variance - mean * (1 - mean) * drawn) - 1) ELSE usual END AS weight FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       round((failed + weight * mean) / (n + weight), 9) AS host_rate, NOT base_failed AND (failed + weight * mean) / (n + weight) <= 0.8 AS kept
+FROM f JOIN h ON f.source IS NOT DISTINCT FROM h.source, w
+"""

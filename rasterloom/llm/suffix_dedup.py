@@ -328,3 +328,15 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     changed = F.col("n_removed") > 0
     own = {"text": F.when(changed, F.col("kept")).otherwise(F.col("row.text")), "n_chars": F.when(changed, F.length("kept").cast("long")).otherwise(F.col("row.n_chars"))}
     return found.select(*[own.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
+#: The query's digest in DuckDB.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM d, unnest(range(1, len(w) - 11)) u(i)),
+f AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS least FROM g) WHERE least < doc_id),
+c AS (SELECT DISTINCT doc_id, i + k AS pos FROM f, range(13) r(k)),
+p AS (SELECT d.doc_id, u.pos, w[u.pos] AS word, c.pos IS NOT NULL AS gone FROM d, unnest(range(1, len(w) + 1)) u(pos) LEFT JOIN c ON c.doc_id = d.doc_id AND c.pos = u.pos),
+a AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (WHERE NOT gone) AS kept FROM p GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN a USING (doc_id)
+"""

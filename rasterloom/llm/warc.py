@@ -12,6 +12,7 @@ and parsed by their declared lengths.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -86,16 +87,20 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, arch
     """
     date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     full = with_digest(pages)
-    originals = decide(full, min_bytes)
-    key = ["page_id", "payload_digest"]
-    dealt = full.repartition(shards_for(pages, archive_mb, "html"), *key).alias("p")
-    met = dealt.join(originals.alias("o"), F.col("p.page_id").eqNullSafe(F.col("o.page_id")) & (F.col("p.payload_digest") == F.col("o.payload_digest")))
-    met.select("p.*", "o.original").select(render(met, date).alias("value")).write.option("lineSep", "\r\n\r\n").text(path)
+    # One key that is never null, so that the join takes the payloads as they are dealt.
+    key = F.concat_ws(" ", F.coalesce(F.col("page_id").cast("string"), F.lit("none")), "payload_digest")
+    originals = decide(full, min_bytes).select(key.alias("key"), "original")
+    dealt = full.withColumn("key", key).repartition(shards_for(pages, archive_mb, "html"), "key")
+    met = dealt.join(originals, "key")
+    met.select(render(met, date).alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
 def parse(content) -> Iterator[tuple]:
-    """(fields, block) of each record of an archive; fields by lower-case name."""
-    view, at, raw = memoryview(content), 0, bytes(content)
+    """(fields, block) of each record of an archive, gzipped or not; fields by lower-case name."""
+    at, raw = 0, bytes(content)
+    if raw[:2] == b"\x1f\x8b":
+        raw = gzip.decompress(raw)
+    view = memoryview(raw)
     while at < len(view):
         top = raw.index(b"\r\n\r\n", at)
         lines = raw[at:top].split(b"\r\n")

@@ -5,13 +5,17 @@ then split into words by Viterbi under a unigram model of the corpus: counts of
 of ``documents``. Only words that occur in some name are needed, so the names' substrings
 (bounded by the names' lengths) are joined with the counts; no dictionary is broadcast.
 
-Multinomial naive Bayes compares two sources of tokens: those of all pages that no rule
-blocks, as the corpus counts them, and those of unwanted pages, a mixture of listed words
-(``UNWANTED``) with a share of ``LISTED_SHARE`` and, since such pages have ordinary words
-too, of the first. Rules do not train it: they block by place and language, not by what a
-site is. Without a rule a page is blocked if its tokens' log ratios sum to over 0. Scores of
-hosts and of path shapes are made once for each distinct one and joined
-back, so a host that has a third of all pages is scored once.
+Multinomial naive Bayes compares the tokens of unwanted and of other sites. A host counts
+once, and so does a path shape in each class that it occurs in, however many pages they
+have: a host that has a third of all pages can't vouch for itself. A host with a listed
+word (``UNWANTED``) is unwanted, and so is a shape that has one or is of such a host; the
+tokens beside listed words are so learned from the pages. Listed words count as
+``LISTED_COUNTS`` more unwanted tokens. Counts are smoothed by ``SMOOTHING`` tokens dealt as the classes are: a
+token that nothing is known of has a log ratio of 0. Hosts and paths have counts of their
+own. Rules do not train either class: they block by place and language, not by what a site
+is. Without a rule a page is blocked if the prior (the classes' hosts) and its tokens' log
+ratios sum to over 0. Scores of hosts and of path shapes are made once for each distinct
+one and joined back.
 """
 
 from __future__ import annotations
@@ -47,14 +51,14 @@ RULES = (
     Rule("example.com", "/de/", "block"),
     Rule("org", "/fr/", "allow"),
 )
-#: Words of hosts and paths that tell unwanted sites; each is as likely as any other there.
+#: Words of hosts and paths that tell unwanted sites.
 UNWANTED = (
     "ads", "adult", "bait", "banner", "bets", "betting", "bonus", "casino", "cheap", "click", "crack", "dating",
     "escort", "farm", "free", "gambling", "jackpot", "keygen", "loans", "lottery", "malware", "pharmacy", "phish",
     "pills", "poker", "popup", "porn", "replica", "sex", "slots", "spam", "torrent", "track", "viagra", "warez",
     "win", "winner", "xxx",
 )
-LISTED_SHARE = 0.2
+LISTED_COUNTS, SMOOTHING = 20, 4.0
 #: So often does each listed word count where names are split.
 LISTED_COUNT = 1000
 
@@ -139,7 +143,7 @@ def judge(pages: DataFrame, texts: DataFrame, rules: tuple[Rule, ...] = RULES) -
     """page_id, host, path, rule, verdict, score and tokens for each row of pages.
 
     A null url, or one without ``://``, has an empty host and path, no rule and no tokens,
-    and a score of 0: it is allowed. score is the log ratio of block to allow. Repeated rows are judged alike; a null page_id is
+    and a score of 0: it is allowed. score is the log ratio of block to allow, prior included. Repeated rows are judged alike; a null page_id is
     kept. Empty pages give no rows; without texts, names are single words. Other columns
     are not read.
     """
@@ -147,8 +151,7 @@ def judge(pages: DataFrame, texts: DataFrame, rules: tuple[Rule, ...] = RULES) -
     rows = prefer_names(pages, "page_id", "url").select("page_id", host.alias("host"), path.alias("path"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.select("*", name.alias("rule"), verdict.alias("ruled"), path_shape(F.col("path")).alias("shape"))
-    shapes = rows.groupBy("host", "shape", "ruled").agg(F.count(F.lit(1)).alias("pages"))
-    shapes = written(shapes, "url-shapes")
+    shapes = written(rows.select("host", "shape", "ruled").distinct(), "url-shapes")
     hosts = shapes.select("host").distinct().withColumn("names", host_names(F.col("host")))
     paths = shapes.select("shape").distinct().withColumn("names", F.array_remove(F.split("shape", " "), ""))
     names = hosts.select(F.explode("names").alias("name")).unionByName(paths.select(F.explode("names").alias("name"))).distinct()
@@ -160,23 +163,37 @@ def judge(pages: DataFrame, texts: DataFrame, rules: tuple[Rule, ...] = RULES) -
         return found.groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
 
     host_tokens, path_tokens = written(tokens_of(hosts, "host"), "host-tokens"), written(tokens_of(paths, "shape"), "path-tokens")
-    wanted = shapes.where("ruled is null or ruled <> 'block'")
-    seen = [wanted.groupBy(key).agg(F.sum("pages").alias("pages")).join(own, key).select("token", (F.col("pages") * F.col("n")).alias("n")) for key, own in (("host", host_tokens), ("shape", path_tokens))]
-    listed = pages.sparkSession.createDataFrame([(w, 0) for w in UNWANTED], "token string, n long")
-    seen = written(seen[0].unionByName(seen[1]).unionByName(listed).groupBy("token").agg(F.sum("n").alias("n")), "url-counts")
-    sums = seen.agg(F.sum("n"), F.count(F.lit(1))).first()
-    usual = (F.col("n") + 1) / F.lit(float(sums[0] + sums[1]))
-    unwanted = F.when(F.col("token").isin(*UNWANTED), 1 / len(UNWANTED)).otherwise(0.0)
-    ratios = seen.select("token", F.ln(LISTED_SHARE * unwanted / usual + (1 - LISTED_SHARE)).alias("ratio"))
+    # What rules block trains neither class. One row a host and shape, whatever its pages.
+    taught = shapes.where("ruled is null or ruled <> 'block'").select("host", "shape").distinct()
+    listed = F.col("token").isin(*UNWANTED)
+    of_listed = lambda own, key: own.where(listed).select(key, F.lit(True).alias(f"{key}_listed")).distinct()
+    taught = taught.join(of_listed(path_tokens, "shape"), "shape", "left").select("host", "shape", F.coalesce("shape_listed", F.lit(False)).alias("shape_listed"))
+    sites = taught.select("host").distinct().join(of_listed(host_tokens, "host"), "host", "left")
+    sites = written(sites.select("host", F.coalesce("host_listed", F.lit(False)).alias("bad")), "url-sites")
+    both = taught.join(sites, "host").withColumn("bad", F.col("bad") | F.col("shape_listed")).groupBy("shape")
+    both = both.agg(F.max(F.col("bad").cast("int")).alias("block"), F.max((~F.col("bad")).cast("int")).alias("allow"))
+    sites_as = sites.select("host", F.col("bad").cast("int").alias("block"), (~F.col("bad")).cast("int").alias("allow"))
+    seen = [owners.join(own, key).select(F.lit(key).alias("field"), "token", *[(F.col(c) * F.col("n")).alias(c) for c in ("block", "allow")]) for key, owners, own in (("host", sites_as, host_tokens), ("shape", both, path_tokens))]
+    known = pages.sparkSession.createDataFrame([(field, w, 0, 0) for field in ("host", "shape") for w in UNWANTED], "field string, token string, block long, allow long")
+    seen = written(seen[0].unionByName(seen[1]).unionByName(known).groupBy("field", "token").agg(F.sum("block").alias("block"), F.sum("allow").alias("allow")), "url-counts")
+    ratios = F.lit(0.0)
+    for field, block, allow in seen.groupBy("field").agg(F.sum("block"), F.sum("allow")).collect():  # two rows
+        share = (block + 1) / (block + allow + 2)
+        more = F.when(listed, float(LISTED_COUNTS)).otherwise(0.0)
+        own = F.ln((F.col("block") + more + SMOOTHING * share) / (F.col("allow") + SMOOTHING * (1 - share))) - math.log(share / (1 - share))
+        ratios = F.when(F.col("field") == field, own).otherwise(ratios)
+    ratios = seen.select("field", "token", ratios.alias("ratio"))
+    n_block, n_allow = (x or 0 for x in sites_as.agg(F.sum("block"), F.sum("allow")).first())
+    prior = min(0.0, math.log((n_block + 1) / (n_allow + 1)))
 
     def scores(owned: DataFrame, key: str, score: str) -> DataFrame:
-        """A token that only blocked pages have counts as any ordinary one."""
-        found = owned.join(ratios, "token", "left")
-        return found.groupBy(key).agg(F.sum(F.col("n") * F.coalesce("ratio", F.lit(math.log(1 - LISTED_SHARE)))).alias(score), F.sort_array(F.collect_set("token")).alias(f"{key}_tokens"))
+        """A token that only pages under blocking rules have tells nothing."""
+        found = owned.join(ratios.where(F.col("field") == key), "token", "left")
+        return found.groupBy(key).agg(F.sum(F.col("n") * F.coalesce("ratio", F.lit(0.0))).alias(score), F.sort_array(F.collect_set("token")).alias(f"{key}_tokens"))
 
     rows = rows.join(scores(host_tokens, "host", "host_score"), "host", "left").join(scores(path_tokens, "shape", "path_score"), "shape", "left")
     # Rounded, so that the order of sums can't tip a verdict.
-    score = F.round(F.coalesce("host_score", F.lit(0.0)) + F.coalesce("path_score", F.lit(0.0)), 6)
-    rows = rows.withColumn("score", score)
+    score = F.round(F.coalesce("host_score", F.lit(0.0)) + F.coalesce("path_score", F.lit(0.0)) + prior, 6)
+    rows = rows.withColumn("score", F.when(F.col("host_score").isNull() & F.col("path_score").isNull(), 0.0).otherwise(score))
     verdict = F.coalesce("ruled", F.when(F.col("score") > 0, "block").otherwise("allow"))
     return rows.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score", F.col("host_tokens"), F.col("shape_tokens").alias("path_tokens"))

@@ -344,6 +344,14 @@ def test_urls(spark, frame, multiset):
     assert url_filter.judge(pages, frame.limit(0)).count() == 400 + len(urls) + 2
 
 
+def test_a_hot_unwanted_host_is_blocked(spark, frame):
+    """A third of all pages are of one unwanted host: it can't vouch for itself."""
+    urls = [f"http://m.casino-win.example.com/en/{k}" for k in range(200)] + [f"http://site{'abcdefghij'[k % 10]}.example.com/en/{k}" for k in range(400)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_filter.judge(pages, frame).collect()}
+    assert {got[k] for k in range(200)} == {"block"} and {got[k] for k in range(200, 600)} == {"allow"}
+
+
 def test_viterbi():
     counts = {"the": 50, "them": 20, "me": 30, "park": 10, "mepark": 1}
     assert url_filter.viterbi("themepark", counts, 200) == ["the", "me", "park"]

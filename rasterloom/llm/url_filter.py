@@ -7,9 +7,11 @@ of ``documents``. Only words that occur in some name are needed, so the names' s
 
 Multinomial naive Bayes compares the tokens of unwanted and of other sites. A host counts
 once, and so does a path shape in each class that it occurs in, however many pages they
-have: a host that has a third of all pages can't vouch for itself. A host with a listed
-word (``UNWANTED``) is unwanted, and so is a shape that has one or is of such a host; the
-tokens beside listed words are so learned from the pages. Listed words count as
+have: a host that has a third of all pages can't vouch for itself. A host is unwanted if a
+word of its name is a seed (``SEEDS``, the ``UNWANTED`` words that are not ``AMBIGUOUS``),
+or if at least half of its path shapes have one; a shape is unwanted if it has a seed or
+is of such a host. So the tokens beside seeds are learned from the pages, and a site
+without any seed or learned token is allowed. Seeds count as
 ``LISTED_COUNTS`` more unwanted tokens. Counts are smoothed by ``SMOOTHING`` tokens dealt as the classes are: a
 token that nothing is known of has a log ratio of 0. Hosts and paths have counts of their
 own. Rules do not train either class: they block by place and language, not by what a site
@@ -58,6 +60,9 @@ UNWANTED = (
     "pills", "poker", "popup", "porn", "replica", "sex", "slots", "spam", "torrent", "track", "viagra", "warez",
     "win", "winner", "xxx",
 )
+#: Listed words that ordinary names have too: they only count as what the pages teach of them.
+AMBIGUOUS = ("bait", "banner", "bonus", "cheap", "click", "crack", "farm", "free", "replica", "slots", "track", "win", "winner")
+SEEDS = tuple(w for w in UNWANTED if w not in AMBIGUOUS)
 LISTED_COUNTS, SMOOTHING = 20, 4.0
 #: So often does each listed word count where names are split.
 LISTED_COUNT = 1000
@@ -81,8 +86,8 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -> tupl
 
 
 def host_names(host: Column) -> Column:
-    """A host's names but for its last label, which tells a registry and not a site."""
-    return F.array_remove(F.split(F.regexp_replace(host, "\\.?[^.]*$", ""), "[^\\p{L}\\p{N}]+"), "")
+    """A host's names, those of its last label too."""
+    return F.array_remove(F.split(host, "[^\\p{L}\\p{N}]+"), "")
 
 
 def path_shape(path: Column) -> Column:
@@ -165,16 +170,16 @@ def judge(pages: DataFrame, texts: DataFrame, rules: tuple[Rule, ...] = RULES) -
     host_tokens, path_tokens = written(tokens_of(hosts, "host"), "host-tokens"), written(tokens_of(paths, "shape"), "path-tokens")
     # What rules block trains neither class. One row a host and shape, whatever its pages.
     taught = shapes.where("ruled is null or ruled <> 'block'").select("host", "shape").distinct()
-    listed = F.col("token").isin(*UNWANTED)
+    listed = F.col("token").isin(*SEEDS)
     of_listed = lambda own, key: own.where(listed).select(key, F.lit(True).alias(f"{key}_listed")).distinct()
     taught = taught.join(of_listed(path_tokens, "shape"), "shape", "left").select("host", "shape", F.coalesce("shape_listed", F.lit(False)).alias("shape_listed"))
-    sites = taught.select("host").distinct().join(of_listed(host_tokens, "host"), "host", "left")
-    sites = written(sites.select("host", F.coalesce("host_listed", F.lit(False)).alias("bad")), "url-sites")
+    sites = taught.groupBy("host").agg(F.avg(F.col("shape_listed").cast("int")).alias("share")).join(of_listed(host_tokens, "host"), "host", "left")
+    sites = written(sites.select("host", (F.coalesce("host_listed", F.lit(False)) | (F.col("share") >= 0.5)).alias("bad")), "url-sites")
     both = taught.join(sites, "host").withColumn("bad", F.col("bad") | F.col("shape_listed")).groupBy("shape")
     both = both.agg(F.max(F.col("bad").cast("int")).alias("block"), F.max((~F.col("bad")).cast("int")).alias("allow"))
     sites_as = sites.select("host", F.col("bad").cast("int").alias("block"), (~F.col("bad")).cast("int").alias("allow"))
     seen = [owners.join(own, key).select(F.lit(key).alias("field"), "token", *[(F.col(c) * F.col("n")).alias(c) for c in ("block", "allow")]) for key, owners, own in (("host", sites_as, host_tokens), ("shape", both, path_tokens))]
-    known = pages.sparkSession.createDataFrame([(field, w, 0, 0) for field in ("host", "shape") for w in UNWANTED], "field string, token string, block long, allow long")
+    known = pages.sparkSession.createDataFrame([(field, w, 0, 0) for field in ("host", "shape") for w in SEEDS], "field string, token string, block long, allow long")
     seen = written(seen[0].unionByName(seen[1]).unionByName(known).groupBy("field", "token").agg(F.sum("block").alias("block"), F.sum("allow").alias("allow")), "url-counts")
     ratios = F.lit(0.0)
     for field, block, allow in seen.groupBy("field").agg(F.sum("block"), F.sum("allow")).collect():  # two rows

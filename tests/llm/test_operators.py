@@ -352,6 +352,16 @@ def test_a_hot_unwanted_host_is_blocked(spark, frame):
     assert {got[k] for k in range(200)} == {"block"} and {got[k] for k in range(200, 600)} == {"allow"}
 
 
+def test_unwanted_words_are_learned_from_the_pages(spark, frame):
+    """Words beside seeds, in hosts and by paths, block other hosts; single ambiguous words don't; last labels count."""
+    hosts = ["a.site.xxx", "online.casino", "nude-cams.example.com", "nude-cams.example.info", "nude-cams.other.info", "www.family-farm.example.org", "track.example.org", "spam-farm.example.com"]
+    urls = [f"http://{h}/en/{k}" for h in hosts for k in range(3)]
+    urls += [f"http://nude-cams.shop{k}.example.com/casino/porn/{k}" for k in range(6)] + [f"http://site{'abcdefghijklmnopqrstuvwxyz'[k % 26]}{'abcdefghij'[k // 26]}.example.com/en/{k}" for k in range(200)]
+    got = {r.host: r.verdict for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), frame).collect()}
+    assert [h for h in hosts if got[h] == "allow"] == ["www.family-farm.example.org", "track.example.org"]
+    assert all(v == "allow" for h, v in got.items() if h.startswith("site"))
+
+
 def test_viterbi():
     counts = {"the": 50, "them": 20, "me": 30, "park": 10, "mepark": 1}
     assert url_filter.viterbi("themepark", counts, 200) == ["the", "me", "park"]

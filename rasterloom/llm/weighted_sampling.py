@@ -1,16 +1,18 @@
 """Document fingerprints by consistent weighted sampling, by DataFrame operations only.
 
-A text is a bag of words weighted by their counts. A sample keeps the word (and the
-level of its weight) with the smallest ``a = c / (y * exp(r))`` where ``r`` and ``c``
-follow Gamma(2, 1), ``b`` is uniform, ``t = floor(ln(w) / r + b)`` and
-``y = exp(r * (t - b))``, all drawn from hashes of the word. Two texts keep the same
-sample with a probability equal to their generalised Jaccard similarity,
-sum(min(w)) / sum(max(w)).
-
-A word takes part in one of ``bins`` samples in each of ``rounds`` independent rounds
-(bin-wise sampling), not in all of them: ``rounds * bins`` samples for ``rounds``
-draws a word. A sample is empty if no word of the text falls into its bin; samples
-that are empty in both texts don't count.
+A text is a bag of words weighted by their counts. Each occurrence of a word (its first,
+its second, ...) is an element of weight one, so that min and max of two counts are the
+intersection and union of elements. A sample keeps the element with the smallest
+``a = c / (y * exp(r))`` where ``r`` and ``c`` follow Gamma(2, 1), ``b`` is uniform,
+``t = floor(ln(w) / r + b)`` and ``y = exp(r * (t - b))``, all drawn from hashes of the
+element; as w is 1, t is 0. Two texts keep the same sample with a probability equal to
+their generalised Jaccard similarity, sum(min(w)) / sum(max(w)).
+
+An element takes part in one of ``bins`` samples in each of ``rounds`` independent rounds
+(bin-wise sampling). Elements, not words, are dealt to bins: a word has samples in
+proportion to its weight, and a bin's elements are a random part of all, so the collision
+rate of samples that are not empty in both texts is unbiased, whatever the lengths and
+counts. Texts of few words fill few bins, and so have larger errors, but no bias.
 """
 
 from __future__ import annotations
@@ -42,22 +44,21 @@ def signatures(texts: DataFrame, keys: list[str], rounds: int = ROUNDS, bins: in
     If texts are dealt by the first key, nothing is shuffled.
     """
     tf = texts.select(*keys, F.explode(words(F.col("text"))).alias("word")).groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("w"))
-    drawn = tf.select(*keys, "word", F.when(F.col("w") == 1, 0.0).otherwise(F.ln("w")).alias("lnw"), F.explode(F.array(*map(F.lit, range(rounds)))).alias("round"))
-    drawn = drawn.select(*keys, "lnw", "round", F.xxhash64("word", "round").alias("h"))
+    drawn = tf.select(*keys, "word", F.explode(F.sequence(F.lit(1), F.col("w").cast("int"))).alias("nth"))
+    drawn = drawn.select(*keys, F.xxhash64("word", "nth").alias("element")).select(*keys, "element", F.explode(F.array(*map(F.lit, range(rounds)))).alias("round"))
+    drawn = drawn.select(*keys, "round", F.xxhash64("element", "round").alias("h"))
     # h gives the bin and b; hashes of h give r and c.
     drawn = drawn.select(
         *keys,
-        "lnw",
         "h",
         (F.col("round") * bins + F.pmod("h", F.lit(bins)).cast("int")).alias("slot"),
         _gamma2(F.xxhash64("h", F.lit(1))).alias("r"),
         F.ln(_gamma2(F.xxhash64("h", F.lit(2)))).alias("lnc"),
         ((F.shiftrightunsigned("h", 32) + 0.5) * 2.0**-32).alias("b"),
     )
-    drawn = drawn.select(*keys, "slot", "h", "r", "lnc", "b", F.floor(F.col("lnw") / F.col("r") + F.col("b")).alias("t"))
-    lna = F.col("lnc") - F.col("r") * (F.col("t") - F.col("b") + 1)
-    # Order by a first; the lower half tells word and level. ln(a) is above -200 for any count below 2**63.
-    packed = F.shiftleft(((lna + 1024) * 2.0**20).cast("long"), 32).bitwiseOR(F.xxhash64("h", "t").bitwiseAND(F.lit(0xFFFFFFFF)))
+    lna = F.col("lnc") - F.col("r") * (1 - F.col("b"))
+    # Order by a first; the lower half tells the element. ln(a) is above -200.
+    packed = F.shiftleft(((lna + 1024) * 2.0**20).cast("long"), 32).bitwiseOR(F.xxhash64("h", F.lit(0)).bitwiseAND(F.lit(0xFFFFFFFF)))
     least = drawn.select(*keys, "slot", packed.alias("packed")).groupBy(*keys, "slot").agg(F.min("packed").alias("packed"))
     return least.select(*keys, "slot", F.col("packed").bitwiseAND(F.lit(0xFFFFFFFF)).alias("id"))
 

@@ -322,6 +322,17 @@ def test_collision_rate_is_generalised_jaccard(spark):
     assert abs((found - truth).mean()) < 0.02 and np.abs(found - truth).max() < 0.2
 
 
+@pytest.mark.parametrize("a, b, own", [(300, 300, 200), (100, 100, 1), (250, 50, 30)])
+def test_skewed_counts_have_no_bias(spark, a, b, own):
+    """One heavy word, and words of each text's own: the heavy word counts by its weight."""
+    rows = []
+    for k in range(20):
+        rows += [(2 * k + side, " ".join([f"buy{k}"] * n + [f"o{k}.{side}.{i}" for i in range(own)])) for side, n in enumerate((a, b))]
+    got = [r.near_next for r in weighted_sampling.fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.doc_id % 2 == 0]
+    truth = min(a, b) / (max(a, b) + 2 * own)
+    assert abs(np.mean(got) - truth) < 0.03 and np.abs(np.array(got) - truth).max() < 0.2
+
+
 def test_sampling_runs_no_python(frame):
     plan = weighted_sampling.fingerprint_edits(frame.limit(5))._jdf.queryExecution().toString()
     assert not any(w in plan for w in ("Python", "Pandas", "Arrow"))

@@ -191,11 +191,12 @@ def in_layout(pixels: DataFrame, layout: str, width: int, height: int, bands: in
 
 
 def checksum(content: Column) -> Column:
-    """Fletcher's sums of a binary of even length, in closed form over its 16-bit words."""
-    n = F.length(content) / 2
-    word = lambda i: F.conv(F.hex(F.substring(content, (2 * i + 1).cast("int"), F.lit(2))), 16, 10).cast("long")
-    words = F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), word)
-    weighed = F.transform(words, lambda w, i: w * (n.cast("long") - i))
+    """Fletcher's sums of a binary of any length, in closed form over its 16-bit words; an odd last byte is the high one of a word."""
+    n = F.ceil(F.length(content) / 2).cast("int")
+    digits = lambda i: F.rpad(F.hex(F.substring(content, 2 * i + 1, F.lit(2))), 4, "0")
+    word = lambda i: F.conv(digits(i), 16, 10).cast("long")
+    words = F.when(n == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), n - 1), word))
+    weighed = F.transform(words, lambda w, i: w * (n - i))
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
     fold = lambda s: F.when(s % 65535 == 0, 65535).otherwise(s % 65535)
     return fold(total(weighed)) * 65536 + fold(total(words))

@@ -346,6 +346,17 @@ def checksum_fletcher32(spark, sf_dir):
     return df.select("event_id", tiles.checksum(F.col("event_type").cast("binary")).cast("long").alias("checksum"))
 
 
+@query(
+    "WITH w AS (SELECT event_id, i, ascii(event_type[2 * i + 1]) * 256 + CASE WHEN 2 * i + 2 <= length(event_type) THEN ascii(event_type[2 * i + 2]) ELSE 0 END AS w, (length(event_type) + 1) // 2 AS n FROM events, range(10) t(i) WHERE i < (length(event_type) + 1) // 2), "
+    "s AS (SELECT event_id, CAST(sum(w) % 65535 AS BIGINT) AS a, CAST(sum(w * (n - i)) % 65535 AS BIGINT) AS b FROM w GROUP BY event_id) "
+    "SELECT event_id, CASE b WHEN 0 THEN 65535 ELSE b END * 65536 + CASE a WHEN 0 THEN 65535 ELSE a END AS checksum FROM s"
+)
+def checksum_fletcher32_all(spark, sf_dir):
+    """Of all events, those of odd length too."""
+    df = rasters.table(spark, sf_dir, "events")
+    return df.select("event_id", tiles.checksum(F.col("event_type").cast("binary")).cast("long").alias("checksum"))
+
+
 @query(f"SELECT raster_id, y, x, value FROM {EVENTS} WHERE valid")
 def external_mask_join(spark, sf_dir):
     """Blobs whose masks are kept in a table of their own, met by an equi-join."""

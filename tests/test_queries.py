@@ -43,3 +43,16 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_checksums_of_all_lengths(spark):
+    """Odd lengths too, as the codec's own."""
+    from pyspark.sql import functions as F
+
+    from rasterloom.codec import bits
+    from rasterloom.operators import tiles
+
+    raws = [b"", b"a", b"ab", b"click", b"error", b"\xff" * 7, b"\x00", bytes(range(256)) * 4 + b"z"]
+    got = spark.createDataFrame([(k, bytearray(r)) for k, r in enumerate(raws)], "k int, content binary").select("k", tiles.checksum(F.col("content")).cast("long").alias("c"))
+    assert {r.k: r.c for r in got.collect()} == {k: bits.fletcher32(r) for k, r in enumerate(raws)}
+    assert queries.checksum_fletcher32_all(spark, SF).count() == queries.rasters.table(spark, SF, "events").count()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,13 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, a single machine) is a folder below
-    the session's warehouse used instead.
+    Where it is unset, a session of one process uses a folder below its warehouse; on a cluster
+    that is an error, as a folder that executors don't share would lose files.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/llm-work"
     if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    return found or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/llm-work"
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return found
 
 
 def work_path(spark: SparkSession, what: str) -> str:
@@ -47,6 +50,21 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def tidy() -> None:
+    """Called at the end of a task in a Python worker: hands memory that is no longer used back,
+    as workers outlive their tasks and stand beside the executor's heap."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def plan_bytes(df: DataFrame, column: str) -> float:
     """About the bytes of df as Parquet: for a plain scan the size of its files, without a job;
     else, where Catalyst only multiplies bounds, from one aggregation of the column's lengths."""
@@ -60,7 +78,7 @@ def plan_bytes(df: DataFrame, column: str) -> float:
 def shards_for(df: DataFrame, megabytes: float, column: str = "text") -> int:
     """So many partitions that each holds about so many MB of df as Parquet."""
     least = df.sparkSession.sparkContext.defaultParallelism
-    return max(least, min(200_000, math.ceil(plan_bytes(df, column) / (megabytes * 1e6))))
+    return max(least, math.ceil(plan_bytes(df, column) / (megabytes * 1e6)))
 
 
 def words(text: Column) -> Column:

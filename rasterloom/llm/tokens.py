@@ -5,7 +5,8 @@ has seen before. A text is therefore cut at places that its pre-tokenizer cuts
 too, each distinct piece is encoded once by the library (a plain word by its model
 alone, as the library's own pre-tokenizer would hand it on), and the ids are joined.
 Texts with white space of another kind than single spaces and line feeds between
-words (where the byte-level pre-tokenizer looks ahead) are encoded whole.
+words (where the byte-level pre-tokenizer looks ahead) are encoded whole, and so are texts
+that may have the string of a special token, which the library then takes as that token.
 """
 
 from __future__ import annotations
@@ -15,9 +16,12 @@ import re
 from array import array
 from collections.abc import Iterator
 
+from rasterloom.llm.common import tidy
+
 END_ID = 1
-#: Units kept by a worker process; about 250 bytes each. It only saves time: a full cache is emptied.
-CACHE_UNITS = 1_000_000
+#: Bytes of units kept by a worker process, and about what an entry takes besides its unit and ids.
+#: It only saves time.
+KEPT_BYTES, ENTRY_BYTES = 48_000_000, 190
 
 _ODD_SPACE = re.compile(r"\s\s|[^\S \n]|\A\s|\s\Z")
 #: Punctuation that both pre-tokenizers cut off the letters before it, as one piece.
@@ -39,39 +43,55 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class _Known(dict):
-    """The ids of units, as bytes; one that is missing is encoded when it is asked for."""
+class Kept:
+    """The ids of units, as bytes, in two generations: when the younger is full, it becomes the
+    older, whose units go unless they are asked for again. So memory is bounded by bytes, and
+    what is frequent stays. Long units are of no use here."""
 
-    def __init__(self, encode):
-        super().__init__({"": b""})
-        self.encode = encode
+    def __init__(self, limit: int = KEPT_BYTES):
+        self.limit, self.held, self.young, self.old = limit // 2, 0, {}, {}
 
-    def __missing__(self, unit: str) -> bytes:
-        ids = self.encode(unit)
-        if len(unit) < 100:  # a whole text, or junk, is of no use here
-            self[unit] = ids
+    def get(self, unit: str) -> bytes | None:
+        ids = self.young.get(unit)
+        if ids is None and (ids := self.old.get(unit)) is not None:
+            self.put(unit, ids)
         return ids
 
+    def put(self, unit: str, ids: bytes) -> None:
+        if len(unit) < 100:
+            self.young[unit] = ids
+            self.held += ENTRY_BYTES + len(unit) + len(ids)
+            if self.held > self.limit:
+                self.old, self.young, self.held = self.young, {}, 0
+
 
 class Encoder:
     """kind "word": white space only separates (word_bpe); "byte": byte-level BPE."""
 
-    def __init__(self, path: str, kind: str, cache_units: int = CACHE_UNITS):
+    def __init__(self, path: str, kind: str, kept_bytes: int = KEPT_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.tokenizer.model
-        self.kind, self.cache_units = kind, cache_units
+        self.kind = kind
         self.letters = _byte_letters()
-        self.known = _Known(self._encode_unit)
+        #: The first two letters of added tokens' strings.
+        self.marks = sorted({t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()})
+        self.known = Kept(kept_bytes)
+
+    def ids_of(self, unit: str) -> bytes:
+        ids = self.known.get(unit)
+        if ids is None:
+            ids = self._encode_unit(unit) if unit else b""
+            self.known.put(unit, ids)
+        return ids
 
     def _encode_unit(self, unit: str) -> bytes:
         core = unit.rstrip(_TAIL)
         bare = core[1:] if self.kind == "byte" and core[:1] == " " else core
         if len(core) < len(unit) and bare:
-            return self.known[core] + self.known[unit[len(core) :]] if bare[-1].isalpha() else self._whole(unit)
+            return self.ids_of(core) + self.ids_of(unit[len(core) :]) if bare[-1].isalpha() else self._whole(unit)
         if bare.isalpha() and max(bare) < "\u0100":
             # One pre-token of Latin letters, to which normalisation does nothing but lower them: straight to the model.
             if self.kind == "word":
@@ -91,9 +111,10 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """The text's ids as little-endian unsigned 32-bit integers."""
-        if len(self.known) > self.cache_units:
-            self.known = _Known(self._encode_unit)
-        return b"".join(map(self.known.__getitem__, self._units(text)))
+        if any(m in text for m in self.marks):
+            return self._whole(text)
+        young, ids_of = self.known.young, self.ids_of
+        return b"".join([young.get(u) or ids_of(u) for u in self._units(text)])
 
 
 def encoder(path: str, kind: str) -> Encoder:
@@ -111,3 +132,4 @@ def encoded_rows(batches, path: str, kind: str, rows: int = 100) -> Iterator[tup
             part = batch.slice(at, rows)
             for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 yield doc_id, enc.encode(text or "") + end
+    tidy()

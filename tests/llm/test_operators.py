@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -20,23 +21,40 @@ ODD = st.lists(st.sampled_from(["a", "The", " ", "  ", "\n", "\t", ".", "'s", "!
 # 5 and 10: tokens
 
 
+def plain_tokenizer(name):
+    """The library as the contract calls it."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokens.vocabulary(name))
+
+
 @pytest.mark.parametrize("kind, name", [("word", WORD_BPE), ("byte", BYTE_BPE)])
 def test_cached_encoding_is_the_library_s(kind, name, docs):
-    own = tokens.Encoder(tokens.vocabulary(name), kind, cache_units=50)
+    own, theirs = tokens.Encoder(tokens.vocabulary(name), kind, kept_bytes=20_000), plain_tokenizer(name)
 
     @settings(max_examples=300, deadline=None)
     @given(ODD)
     def check(text):
-        assert list(array("I", own.encode(text))) == own.tokenizer.encode(text, add_special_tokens=False).ids
+        assert list(array("I", own.encode(text))) == theirs.encode(text, add_special_tokens=False).ids
 
     check()
-    for _, text in docs:
-        assert list(array("I", own.encode(text or ""))) == own.tokenizer.encode(text or "", add_special_tokens=False).ids
+    for text in [t or "" for _, t in docs] + ["hello <|endoftext|> world", "<|ENDOFTEXT|>", "a<|startoftext|>b", "<|", "x" * 5000]:
+        assert list(array("I", own.encode(text))) == theirs.encode(text, add_special_tokens=False).ids
+
+
+def test_kept_units_are_bounded_and_frequent_ones_stay():
+    kept = tokens.Kept(40_000)
+    for k in range(2000):
+        kept.put(f"unit{k}", b"1234")
+        assert kept.get("unit0") == b"1234" and len(kept.young) + len(kept.old) < 250
+    assert kept.get("unit1") is None
+    kept.put("y" * 200, b"1")
+    assert kept.get("y" * 200) is None
 
 
 def encoded(docs, name, kind):
-    own = tokens.Encoder(tokens.vocabulary(name), kind)
-    return [(i, np.frombuffer(own.encode(t or "") + (1).to_bytes(4, "little"), "<u4")) for i, t in docs]
+    theirs = plain_tokenizer(name)
+    return [(i, np.array([*theirs.encode(t or "", add_special_tokens=False).ids, 1], "<u4")) for i, t in docs]
 
 
 @settings(max_examples=100, deadline=None)
@@ -175,21 +193,80 @@ def test_transducer_is_the_library_s(docs):
     from sentencepiece import SentencePieceProcessor
 
     path = tokens.vocabulary(PIECES)
-    own, theirs = wfst.Transducer(path), SentencePieceProcessor(model_file=path)
+    own, theirs = wfst.Transducer(wfst.read_model(path)), SentencePieceProcessor(model_file=path)
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.lists(st.one_of(ODD, st.text(max_size=20)), max_size=5))
+    def check(texts):
+        texts = [t for t in texts if not any(0xD800 <= ord(c) < 0xE000 for c in t)]
+        for text, ids in zip(texts, own.encode_all(texts)):
+            ids = list(array("I", ids))
+            assert ids == theirs.encode(text) and own.decode(ids) == theirs.decode(ids)
+
+    check()
+    for text in [t or "" for _, t in docs] + ["a" * 300, "\u4e00" * 50 + "ab" * 90]:
+        assert list(array("I", own.encode(text))) == theirs.encode(text)
+        assert own.decode(array("I", own.encode(text))) == text
+
+
+def tiny_model(merges, **more):
+    """Pieces over a and b, bytes for the rest."""
+    names = ["<unk>", *[f"<0x{b:02X}>" for b in range(256)], "▁", "a", "b", "ab", "ba", "aa", "▁a", "aba", "▁ab", "bab", "abab"]
+    scores = [0.0] * 257 + [-20.0, -21.0, -22.0, -1.0, -3.0, -2.0, -4.0, -5.0, -6.0, -7.0, -8.0]
+    return wfst.Model(tuple(names), tuple(scores), (2, *[6] * 256, *[1] * 11), merges, **more)
+
+
+def least_cost_paths(model, text):
+    """By trying every sequence of pieces: ids of the cheapest (all, if costs are equal)."""
+    pieces = {p: (i, -s) for i, (p, s, k) in enumerate(zip(model.pieces, model.scores, model.kinds)) if k == 1}
+    dear = max(w for _, w in pieces.values()) + wfst.FALLBACK_COST
+
+    def merged(symbols):
+        while True:
+            pairs = [(pieces[a + b][1], k) for k, (a, b) in enumerate(zip(symbols, symbols[1:])) if a + b in pieces]
+            if not pairs:
+                return symbols
+            k = min(pairs)[1]
+            symbols = symbols[:k] + [symbols[k] + symbols[k + 1]] + symbols[k + 2 :]
+
+    def paths(rest):
+        if not rest:
+            yield 0.0, []
+        for k in range(1, len(rest) + 1):
+            if rest[:k] in pieces or k == 1:
+                for cost, tail in paths(rest[k:]):
+                    yield cost + pieces.get(rest[:k], (0, dear))[1], [rest[:k], *tail]
+
+    found = [(round(c, 6), p) for c, p in paths(text) if not model.merges or all(merged(list(a + b)) == [a, b] for a, b in zip(p, p[1:]))]
+    spell = lambda p: [pieces[p][0]] if p in pieces else [1 + b for b in p.encode()]
+    return [sum(map(spell, p), []) for c, p in found if c == min(found)[0]], [p for _, p in found], merged(list(text))
+
+
+@pytest.mark.parametrize("merges", [True, False])
+def test_shortest_paths_are_those_of_all_paths(merges):
+    model = tiny_model(merges)
+    own = wfst.Transducer(model)
 
     @settings(max_examples=300, deadline=None)
-    @given(st.one_of(ODD, st.text(max_size=20).filter(lambda t: t.isprintable() or True)))
+    @given(st.text("ab é", max_size=8))
     def check(text):
-        try:
-            text.encode()
-        except UnicodeEncodeError:
-            return
-        ids = list(array("I", own.encode(text)))
-        assert ids == theirs.encode(text) and own.decode(ids) == theirs.decode(ids)
+        line = own.normalised(text)
+        best, finite, by_merging = least_cost_paths(model, line)
+        assert list(array("I", own.encode(text))) in (best or [[]])
+        assert not merges or finite == [by_merging]  # the acceptor leaves one path
 
     check()
-    for _, text in docs:
-        assert own.decode(array("I", own.encode(text or ""))) == (text or "")
+
+
+def test_the_model_s_normaliser_is_honoured(tmp_path):
+    assert wfst.Transducer(tiny_model(True, strip_spaces=True)).normalised("  a   b ") == "▁a▁b"
+    assert wfst.Transducer(tiny_model(True, first_space=False)).normalised("a b") == "a▁b"
+    raw = open(tokens.vocabulary(PIECES), "rb").read()
+    (tmp_path / "charsmap.model").write_bytes(raw + bytes([0x1A, 4, 0x12, 2, 1, 2]))  # a normaliser with a table of characters
+    with pytest.raises(ValueError):
+        wfst.read_model(str(tmp_path / "charsmap.model"))
+    with pytest.raises(ValueError):
+        wfst.Transducer(wfst.Model(("x", "y"), (0.0, -1.0), (1, 4)))
 
 
 def test_sentencepiece_frames(frame, empty, docs):
@@ -286,7 +363,8 @@ def test_nearest_is_exact():
 
 def test_weighted_sampling(frame, empty, docs):
     got = weighted_sampling.fingerprint_edits(frame).collect()
-    order = sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0, d[1] or ""))
+    signed = lambda h: h - 2**64 if h >= 2**63 else h
+    order = sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0, signed(xxhash.xxh64((d[1] or "").encode(), seed=42).intdigest()), d[1] or ""))
     want = Counter()
     errors, seen = [], {}
     by = {(r.doc_id, r.n_chars, r.edited_sha256): r for r in got}
@@ -333,6 +411,38 @@ def test_skewed_counts_have_no_bias(spark, a, b, own):
     assert abs(np.mean(got) - truth) < 0.03 and np.abs(np.array(got) - truth).max() < 0.2
 
 
+def test_likeness_of_zipf_and_short_texts(spark):
+    """Counts with a heavy tail, short texts, and one word 200 times: no bias, and the printed fingerprints tell the likeness."""
+    rng = np.random.default_rng(9)
+    pairs = [(["b"] * 200 + [f"x{i}" for i in range(20)], ["b"] * 200 + [f"y{i}" for i in range(20)])]
+    for k in range(60):
+        p = 1 / np.arange(1, 301)
+        size = 400 if k % 2 else 12
+        pairs.append(tuple([f"z{k}.{i}" for i in rng.choice(300, size, p=p / p.sum())] for _ in range(2)))
+    rows = [(2 * k + side, " ".join(w)) for k, both in enumerate(pairs) for side, w in enumerate(both)]
+    got = {r.doc_id: r for r in weighted_sampling.fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = np.array([got[2 * k].near_next for k in range(len(pairs))])
+    truth = np.array([brute.generalised_jaccard(" ".join(a), " ".join(b)) for a, b in pairs])
+    assert abs(found[0] - truth[0]) < 0.1 and abs((found - truth).mean()) < 0.02 and np.sqrt(((found - truth) ** 2).mean()) < 0.06
+    six = lambda text: {text[i : i + 6] for i in range(0, len(text), 6)}
+    for k in range(len(pairs)):
+        a, b = six(got[2 * k].fingerprint), six(got[2 * k + 1].fingerprint)
+        assert got[2 * k].near_next == pytest.approx(len(a & b) / len({x[:2] for x in a | b}))
+
+
+def test_order_of_extreme_hot_and_missing_ids(spark):
+    """Ids at both ends of a long, an id and nulls with a third of the rows each: ranges are split by texts too."""
+    rows = [(-(2**63), "low a"), (2**63 - 1, "high b")] + [(None, f"null {k}") for k in range(50)] + [(7, f"hot {k}") for k in range(50)] + [(k, f"own {k}") for k in range(100, 140)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = weighted_sampling.in_order(df, 9).collect()
+    signed = lambda t: (lambda h: h - 2**64 if h >= 2**63 else h)(xxhash.xxh64(t.encode(), seed=42).intdigest())
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, signed(r[1])))
+    after = {t: order[(i + 1) % len(order)][1] for i, (_, t) in enumerate(order)}
+    assert {r.text: r.next_text for r in got} == after
+    sizes = Counter(r.range for r in got)
+    assert len(sizes) >= 7 and max(sizes.values()) < 60
+
+
 def test_sampling_runs_no_python(frame):
     plan = weighted_sampling.fingerprint_edits(frame.limit(5))._jdf.queryExecution().toString()
     assert not any(w in plan for w in ("Python", "Pandas", "Arrow"))

@@ -86,6 +86,14 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
+def unlike(names: list[str], start: str = "own") -> str:
+    """A column name that none of names is, in whatever case."""
+    taken = {n.lower() for n in names}
+    while start in taken:
+        start += "_"
+    return start
+
+
 def prefer_names(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that other columns of the input can't clash."""
     return df.select(*[F.col(f"`{n}`") for n in names])

@@ -1,23 +1,23 @@
 """Toxicity by the nearest labelled examples under TF-IDF cosine.
 
-Terms are lower-case words, the starts of words (3 to 8 letters), and either with a count
-that they reach in the text ("twice or more" is a term of its own). Labelled examples
-are a bounded sample of the labelled rows (``sample_rows``, taken by a hash of doc_id);
-the terms that tell toxic examples from others, by a test on document counts, span the
-vector space. Everything else covers all documents: vectors are made of whole texts in
-one pass, and document frequencies are counted over all of them.
-
-The examples' inverted index is cut into blocks of like examples, with each term's
-largest weight in each block. A query sums these into a bound for each block and visits
-blocks from the highest bound down, until no block left can beat its k-th best cosine:
+Terms are lower-case words and starts of words (4 and 6 letters), known by 64-bit hashes.
+Examples are a bounded sample of the distinct labelled texts (``SAMPLE_ROWS`` rows and
+``SAMPLE_CHARS`` code points, in order of the texts' hashes); all their terms span the
+vector space, so every text that shares a term with any example has a vector. A term's
+weight is (1 + ln tf) * idf * evidence: document frequencies are counted over all
+documents, and evidence, between ``FLOOR`` and ``FLOOR + 2``, grows with how many standard
+deviations toxic examples have a term beyond their share. No term is dropped.
+
+The examples' inverted index is cut into blocks of like examples, with each term's largest
+weight in each block. A query sums these into a bound for each block, computes the blocks
+of the highest bounds, and then all whose bound is not below its k-th best cosine so far:
 the k nearest are exact. Their cosine-weighted votes are smoothed by the share of toxic
 examples, and turned into a probability by isotonic regression on the examples
-themselves, each scored without itself and its copies.
+themselves, each scored without itself.
 """
 
 from __future__ import annotations
 
-import math
 import re
 
 from collections import Counter, defaultdict
@@ -27,48 +27,70 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import prefer_names, text_hash, written
+from rasterloom.llm.common import prefer_names, text_hash, tidy, unlike, written
 
-#: Bound of the labelled rows that are fitted to.
-SAMPLE_ROWS = 20_000
-NEIGHBOURS, BLOCK = 15, 64
-#: A term must be in this share of the toxic examples, in so many at least, and this many
-#: standard deviations above what the examples' toxic share gives. The share bounds the terms.
-MIN_SHARE, MIN_DOCS, MIN_Z = 0.01, 3, 5.0
+#: Bounds of the labelled texts that are fitted to.
+SAMPLE_ROWS, SAMPLE_CHARS = 4000, 40_000_000
+NEIGHBOURS, BLOCK, FIRST_BLOCKS = 15, 64, 6
+FLOOR, MOST_DEVIATIONS = 0.05, 20.0
 PRIOR_WEIGHT = 0.5
-STARTS, LEVELS = range(3, 9), (2, 3, 4)
+STARTS = (4, 6)
+#: Words whose terms a worker remembers, and texts whose scores it does; both only save time.
+KEPT_WORDS, KEPT_TEXTS = 150_000, 5_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def terms(text: str | None, known: dict[str, int] | frozenset | None = None, stems: frozenset | None = None) -> Counter:
-    """Counts of a text's terms; only of those known, if given (stems: the first 3 letters of each)."""
-    counts = Counter(_WORD.findall((text or "").lower()))
-    sums: Counter = Counter()
-    for w, n in counts.items():
-        if stems is None or w[:3] in stems:
-            sums[w] += n
-            for k in STARTS:
-                if len(w) > k:
-                    sums[w[:k] + "-"] += n
-    for t, n in list(sums.items()):
-        for level in LEVELS:
-            if n >= level:
-                sums[f"{t}#{level}"] = 1
-    return sums if known is None else Counter({t: n for t, n in sums.items() if t in known})
+class Terms:
+    """Terms of texts as hashes, or, with a vocabulary (sorted hashes), as places in it."""
 
+    def __init__(self, vocabulary: np.ndarray | None = None):
+        self.vocabulary, self.known = vocabulary, {}
 
-def stems_of(names) -> frozenset:
-    return frozenset(re.split("[-#]", t)[0][:3] for t in names)
+    def _of_word(self, word: str) -> tuple[int, ...]:
+        from xxhash import xxh64_intdigest
+
+        names = [word, *[word[:k] + "-" for k in STARTS if len(word) > k]]
+        hashes = np.array([xxh64_intdigest(n) >> 1 for n in names], dtype=np.int64)
+        if self.vocabulary is not None:
+            at = np.searchsorted(self.vocabulary, hashes)
+            hashes = at[self.vocabulary[np.minimum(at, len(self.vocabulary) - 1)] == hashes] if len(self.vocabulary) else at[:0]
+        if len(self.known) > KEPT_WORDS:
+            self.known.clear()
+        self.known[word] = found = tuple(hashes.tolist())
+        return found
+
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """(terms in ascending order, counts) of a whole text."""
+        sums: dict[int, int] = {}
+        known, of_word = self.known, self._of_word
+        for w, n in Counter(_WORD.findall((text or "").lower())).items():
+            for t in known.get(w) or of_word(w):
+                sums[t] = sums.get(t, 0) + n
+        terms = np.fromiter(sums.keys(), np.int64, len(sums))
+        order = np.argsort(terms)
+        return terms[order], np.fromiter(sums.values(), float, len(sums))[order]
+
+
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each of starts, so many as sizes tells."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
 @dataclass
 class Index:
-    """Examples' unit vectors in blocks, with block maxima."""
-
-    weights: np.ndarray  # idf by term
-    names: list[str]
-    blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
-    peaks: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
+    """Examples' unit vectors as an inverted index in blocks. of_term: the entries of each term, one
+    for each block that has it, with the term's largest weight there and the place of its postings."""
+
+    weights: np.ndarray  # by term
+    labels: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    owners: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    of_term: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    block: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    peak: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    posting: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    example: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
     base: float = 0.0
     steps: tuple[np.ndarray, np.ndarray] = (np.zeros(0), np.zeros(0))
 
@@ -77,52 +99,65 @@ class Index:
         return w / np.sqrt(np.sum(w * w)) if len(w) else w
 
     @staticmethod
-    def build(names, weights, vectors, labels, owners) -> "Index":
-        """vectors: (ids, counts) of each example, sorted ids; owners: the examples' doc_ids."""
-        self = Index(np.asarray(weights, dtype=float), list(names))
-        units = [(np.asarray(i, dtype=np.int64), self.unit(np.asarray(i, dtype=np.int64), np.asarray(c, dtype=float))) for i, c in vectors]
+    def build(weights, vectors, labels, owners) -> "Index":
+        """vectors: (ids, counts) of each example, sorted ids; owners: what evidence names the examples by."""
+        self = Index(np.asarray(weights, dtype=float))
+        units = [(i := np.asarray(ids, dtype=np.int64), self.unit(i, np.asarray(c, dtype=float))) for ids, c in vectors]
         # Examples with the same heaviest terms stand together, so that block maxima are tight.
         lead = [tuple(i[np.argsort(-w, kind="stable")][:3].tolist()) for i, w in units]
-        order = [k for k in sorted(range(len(units)), key=lambda k: (lead[k], k)) if len(units[k][0])]
-        peaks: dict[int, list[tuple[int, float]]] = defaultdict(list)
-        for b, at in enumerate(range(0, len(order), BLOCK)):
-            own = order[at : at + BLOCK]
-            cols = np.unique(np.concatenate([units[k][0] for k in own]))
-            dense = np.zeros((len(own), len(cols)))
-            for r, k in enumerate(own):
-                dense[r, np.searchsorted(cols, units[k][0])] = units[k][1]
-            self.blocks.append((cols, dense, np.array([labels[k] for k in own], dtype=float), np.array([owners[k] for k in own], dtype=np.int64)))
-            for t, m in zip(cols.tolist(), dense.max(axis=0).tolist()):
-                peaks[t].append((b, m))
-        self.peaks = {t: tuple(map(np.array, zip(*x))) for t, x in peaks.items()}
+        order = sorted(range(len(units)), key=lambda k: (lead[k], k))
+        self.labels = np.array([labels[k] for k in order], dtype=float)
+        self.owners = np.array([owners[k] for k in order], dtype=np.int64)
+        term = np.concatenate([np.zeros(0, np.int64), *[units[k][0] for k in order]])
+        weight = np.concatenate([np.zeros(0), *[units[k][1] for k in order]])
+        example = np.repeat(np.arange(len(order)), [len(units[k][0]) for k in order])
+        by_term = np.lexsort((example, term))
+        term, self.weight, self.example = term[by_term], weight[by_term], example[by_term]
+        new = np.concatenate(([True], (term[1:] != term[:-1]) | (self.example[1:] // BLOCK != self.example[:-1] // BLOCK))) if len(term) else np.zeros(0, bool)
+        first = np.flatnonzero(new)
+        self.block = self.example[first] // BLOCK
+        self.peak = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        self.posting = np.append(first, len(term))
+        self.of_term = np.searchsorted(term[first], np.arange(len(self.weights) + 1))
         return self
 
     def nearest(self, ids: np.ndarray, q: np.ndarray, k: int, but: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(cosine, label, doc_id) of the k nearest with a positive cosine, exactly; ties by doc_id.
-        but: the doc_id of an example that doesn't count."""
-        bound = np.zeros(len(self.blocks))
-        for t, w in zip(ids.tolist(), q.tolist()):
-            if t in self.peaks:
-                b, m = self.peaks[t]
-                bound[b] += w * m
-        best = (np.zeros(0), np.zeros(0), np.zeros(0, dtype=np.int64))
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best[0]) == k and bound[b] < best[0][-1] - 1e-12:
+        """(cosine, label, owner) of the k nearest with a positive cosine, exactly; ties in the index's order.
+        but: the owner of an example that doesn't count."""
+        size = self.of_term[ids + 1] - self.of_term[ids]
+        entry, of = _runs(self.of_term[ids], size), np.repeat(q, size)
+        block = self.block[entry]
+        bound = np.bincount(block, weights=of * self.peak[entry], minlength=-(-len(self.labels) // BLOCK))
+        cosine, least = np.zeros(len(self.labels)), 0.0
+        order = np.argsort(-bound, kind="stable")
+        todo = order[:FIRST_BLOCKS]
+        while len(todo):
+            chosen = np.zeros(len(bound), dtype=bool)
+            chosen[todo] = True
+            some = chosen[block]
+            a, b = self.posting[entry[some]], self.posting[entry[some] + 1]
+            at = _runs(a, b - a)
+            cosine += np.bincount(self.example[at], weights=np.repeat(of[some], b - a) * self.weight[at], minlength=len(cosine))
+            if least < 0:
                 break
-            cols, dense, labels, owners = self.blocks[b]
-            at = np.searchsorted(cols, ids)
-            there = (at < len(cols)) & (cols[np.minimum(at, len(cols) - 1)] == ids)
-            cosine = np.round(dense[:, at[there]] @ q[there], 12)
-            some = cosine > 0 if but is None else (cosine > 0) & (owners != but)
-            best = tuple(np.concatenate((x, y[some])) for x, y in zip(best, (cosine, labels, owners)))
-            top = np.lexsort((best[2], -best[0]))[:k]
-            best = tuple(x[top] for x in best)
-        return best
+            if but is not None:
+                cosine[self.owners == but] = 0.0
+            seen = np.sort(cosine)[-k:]
+            least = seen[0] if len(seen) == k else 0.0
+            todo = order[FIRST_BLOCKS:]
+            todo = todo[(bound[todo] > 0) & (bound[todo] >= least - 1e-9)]
+            least = -1.0
+        if but is not None:
+            cosine[self.owners == but] = 0.0
+        cosine = np.round(cosine, 12)
+        top = np.argsort(-cosine, kind="stable")[:k]
+        top = top[cosine[top] > 0]
+        return cosine[top], self.labels[top], self.owners[top]
 
     def vote(self, cosine: np.ndarray, labels: np.ndarray) -> float:
-        """The toxic share of the neighbours' votes; without a neighbour, that of examples without terms."""
+        """The toxic share of the neighbours' votes, and of all examples with a small weight."""
         w = cosine**2
-        return float((np.sum(w * labels) + PRIOR_WEIGHT * self.base) / (np.sum(w) + PRIOR_WEIGHT))
+        return float((np.sum(w * labels) + PRIOR_WEIGHT * self.base * np.mean(w)) / (np.sum(w) + PRIOR_WEIGHT * np.mean(w))) if len(w) else self.base
 
     def calibrate(self, votes: list[float], labels: list[float]) -> None:
         """Isotonic regression of labels on votes, each level smoothed by one vote of each label."""
@@ -151,140 +186,138 @@ class Index:
         return min(1.0, max(0.0, 0.999 * p + 0.001 * v)), [(int(o), float(c), int(y)) for c, y, o in zip(found[0][:3], found[1], found[2])]
 
 
-def sample_labels(labels: DataFrame, sample_rows: int) -> DataFrame:
-    """(doc_id, toxic): at most sample_rows rows outside the held-out fold, one for each doc_id."""
+def pick_examples(docs: DataFrame, labels: DataFrame, sample_rows: int, sample_chars: int) -> DataFrame:
+    """(text_hash, text, toxic, doc_id): distinct labelled texts outside the held-out fold, in order of
+    their hashes until either bound is reached. doc_id, the least, only names an example."""
     rows = prefer_names(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null")
-    rows = rows.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
-    rows = rows.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-
-
-def _pick_terms(toxic_counts: Counter, other_counts: Counter, n_toxic: int, n_other: int) -> list[str]:
-    p = (n_toxic + 1) / (n_toxic + n_other + 2)
-    out = []
-    for t, a in toxic_counts.items():
-        n = a + other_counts[t]
-        if (a - n * p) / math.sqrt(n * p * (1 - p)) >= MIN_Z and a / n >= min(0.9, 3 * p):
-            out.append(t)
-    return sorted(out)
-
-
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[DataFrame, "Index"]:
-    """(vectors of all documents as written: doc_id, text_hash, ids, counts; the index of the examples)."""
+    rows = rows.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).withColumn("doc_id", F.col("doc_id").cast("long"))
+    own = docs.select("doc_id", text_hash().alias("text_hash"), F.length("text").alias("n"))
+    found = rows.join(own, "doc_id").groupBy("text_hash").agg(F.max("toxic").cast("int").alias("toxic"), F.min("doc_id").alias("doc_id"), F.max(F.coalesce("n", F.lit(0))).alias("n"))
+    chosen, held = [], 0
+    for r in found.orderBy("text_hash").limit(sample_rows).collect():  # bounded by sample_rows
+        held += r.n
+        if held > sample_chars:
+            break
+        chosen.append((r.text_hash, r.toxic, r.doc_id))
+    picked = F.broadcast(docs.sparkSession.createDataFrame(chosen, "text_hash long, toxic int, doc_id long"))
+    texts = docs.select("text", text_hash().alias("text_hash")).join(picked.select("text_hash"), "text_hash")
+    return texts.groupBy("text_hash").agg(F.min("text").alias("text")).join(picked, "text_hash")
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> tuple[np.ndarray, Index]:
+    """(the vocabulary, the index of the examples). Both are bounded by sample_rows and sample_chars."""
     spark = docs.sparkSession
     docs = prefer_names(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    chosen = sample_labels(labels, sample_rows).collect()  # bounded by sample_rows
-    label_of = {r.doc_id: r.toxic for r in chosen}
-    examples = docs.join(F.broadcast(spark.createDataFrame(list(label_of.items()), "doc_id long, toxic int")), "doc_id")
-    # Copies count once.
-    examples = written(examples.withColumn("h", text_hash()).groupBy("h").agg(F.min(F.struct("doc_id", "text", "toxic")).alias("r")).select("r.*"), "examples")
-
-    def counted(rows: DataFrame, known: frozenset | None) -> DataFrame:
-        stems = None if known is None else stems_of(known)
-
-        def run(batches):
-            import pyarrow as pa
-
-            total: Counter = Counter()
-            for batch in batches:
-                for text in batch.column(0).to_pylist():
-                    total.update(terms(text, known, stems).keys())
-            if total:
-                yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["term", "n"])
-
-        return rows.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-
-    sizes = {r.toxic: r.n for r in examples.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_toxic, n_other = sizes.get(1, 0), sizes.get(0, 0)
-    # At most (terms of a toxic example) / MIN_SHARE terms can be in that share of the toxic examples.
-    first = counted(examples.where("toxic = 1"), None).where(F.col("n") >= max(MIN_DOCS, MIN_SHARE * n_toxic))
-    toxic_counts = Counter({r.term: r.n for r in first.collect()})
-    other_counts = Counter({r.term: r.n for r in counted(examples.where("toxic = 0"), frozenset(toxic_counts)).collect()})
-    names = _pick_terms(toxic_counts, other_counts, n_toxic, n_other)
-    known, stems = {t: i for i, t in enumerate(names)}, stems_of(names)
+    examples = written(pick_examples(docs, labels, sample_rows, sample_chars), "examples")
 
     def vectors(batches):
         import pyarrow as pa
 
+        own = Terms()
         for batch in batches:
-            ids, counts = [], []
-            for text in batch.column(1).to_pylist():
-                found = sorted((known[t], n) for t, n in terms(text, known, stems).items())
-                ids.append([i for i, _ in found])
-                counts.append([n for _, n in found])
-            cols = [batch.column(0), batch.column(2), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_hash", "ids", "counts"])
-
-    hashed = docs.withColumn("text_hash", text_hash())
-    vectored = written(hashed.mapInArrow(vectors, "doc_id long, text_hash long, ids array<int>, counts array<long>"), "toxicity-vectors")
-    n = vectored.count()
-    df = np.zeros(len(names))
-    for r in vectored.select(F.explode("ids").alias("i")).groupBy("i").agg(F.count(F.lit(1)).alias("n")).collect():
-        df[r.i] = r.n
-    rows = examples.select("doc_id", "toxic", "text").mapInArrow(_example_vectors(known, stems), "doc_id long, toxic int, ids array<int>, counts array<long>").collect()  # bounded by sample_rows
-    rows.sort(key=lambda r: r.doc_id)
-    y = [float(r.toxic) for r in rows]
-    index = Index.build(names, np.log1p(n / (1 + df)), [(r.ids, r.counts) for r in rows], y, [r.doc_id for r in rows])
-    bare = [t for r, t in zip(rows, y) if not r.ids]
-    index.base = (sum(bare) + 0.5) / (len(bare) + 1) if rows else 0.0
-    votes = []
-    for r in rows:
-        ids = np.array(r.ids, dtype=np.int64)
-        votes.append(index.vote(*index.nearest(ids, index.unit(ids, np.array(r.counts, dtype=float)), NEIGHBOURS, r.doc_id)[:2]))
-    index.calibrate(votes, y)
-    return vectored, index
-
-
-def _example_vectors(known: dict[str, int], stems: frozenset):
-    def run(batches):
+            found = [own.counts(t) for t in batch.column(1).to_pylist()]
+            cols = [batch.column(0), batch.column(2), batch.column(3), pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["text_hash", "toxic", "doc_id", "terms", "counts"])
+
+    found = examples.select("text_hash", "text", "toxic", "doc_id").mapInArrow(vectors, "text_hash long, toxic int, doc_id long, terms array<long>, counts array<double>").toArrow().sort_by("text_hash")
+    y = np.array(found.column("toxic").to_pylist(), dtype=float)
+    owners = found.column("doc_id").to_pylist()
+    split = lambda name: [v.values.to_numpy() for v in found.column(name)]
+    terms, counts = split("terms"), split("counts")
+    vocabulary = np.unique(np.concatenate([np.zeros(0, np.int64), *terms]))
+    ids = [np.searchsorted(vocabulary, t) for t in terms]
+    of = np.concatenate([np.zeros(0, np.int64), *ids])
+    have = np.bincount(of, minlength=len(vocabulary))
+    toxic = np.bincount(of, weights=np.repeat(y, [len(i) for i in ids]), minlength=len(vocabulary))
+    p = (y.sum() + 1) / (len(y) + 2)
+    evidence = FLOOR + np.clip((toxic - have * p) / np.sqrt(np.maximum(have, 1) * p * (1 - p)), 0, MOST_DEVIATIONS) / 10
+    shared = spark.sparkContext.broadcast(vocabulary)
+
+    def frequencies(batches):
         import pyarrow as pa
 
+        own, df, n = Terms(shared.value), np.zeros(len(shared.value), np.int64), 0
         for batch in batches:
-            found = [sorted((known[t], n) for t, n in terms(text, known, stems).items()) for text in batch.column(2).to_pylist()]
-            cols = [batch.column(0), batch.column(1), pa.array([[i for i, _ in f] for f in found], pa.list_(pa.int32())), pa.array([[n for _, n in f] for f in found], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "toxic", "ids", "counts"])
+            for text in batch.column(0).to_pylist():
+                df[own.counts(text)[0]] += 1
+                n += 1
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], n))], names=["term", "n"])
+        tidy()
+
+    df, n = np.zeros(len(vocabulary)), 0
+    counted = docs.select("text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # as many rows as terms
+    at, values = counted.column("term").to_numpy(), counted.column("n").to_numpy()
+    df[at[at >= 0]], n = values[at >= 0], values[at < 0].sum()
+    index = Index.build(np.log1p(n / (1 + df)) * evidence, list(zip(ids, counts)), y, owners)
+    index.base = float((y.sum() + 0.5) / (len(y) + 1)) if len(y) else 0.0
+    unsteady = spark.sparkContext.broadcast(index)
+
+    def votes(batches):
+        import pyarrow as pa
 
-    return run
+        own, index = Terms(shared.value), unsteady.value
+        for batch in batches:
+            out = []
+            for text, doc_id in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                i, c = own.counts(text)
+                out.append(index.vote(*index.nearest(i, index.unit(i, c), NEIGHBOURS, doc_id)[:2]))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.float64()), batch.column(1)], names=["vote", "toxic"])
+
+    rows = examples.select("text", "toxic", "doc_id").mapInArrow(votes, "vote double, toxic int").collect() if len(y) else []  # bounded by sample_rows
+    index.calibrate([r.vote for r in rows], [float(r.toxic) for r in rows])
+    return vocabulary, index
 
 
 def score(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted and evidence (doc_id, cosine and label of the three
     nearest examples) for each row of docs.
 
-    A null or empty text has no terms and scores as examples without terms do. Equal texts
-    score alike. Rows of equal or null doc_id are scored each; a null doc_id is not held
-    out. Labels that are null, or whose document is missing, teach nothing; without labels
-    every score is 0. An empty table gives no rows. Other columns are not read.
+    A null or empty text, or one without any example's term, scores as examples do on the
+    whole. Equal texts score alike; texts are read whole, however long. Rows of equal or null
+    doc_id are scored each; a null doc_id is not held out. Labels that are null, or whose
+    document is missing, teach nothing; without labels every score is 0. An empty table gives
+    no rows. Other columns are not read.
     """
-    vectored, index = fit(docs, labels, sample_rows)
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by sample_rows examples
+    judged = _judged(docs, labels, sample_rows, [])
+    fold = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    return judged.select("doc_id", fold.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+
+
+def _judged(docs: DataFrame, labels: DataFrame, sample_rows: int, carry: list[str]) -> DataFrame:
+    """doc_id, score, evidence and a struct row of the columns of carry, in one pass: verdicts need no way back to rows."""
+    vocabulary, index = fit(docs, labels, sample_rows)
+    context = docs.sparkSession.sparkContext
+    shared = context.broadcast((vocabulary, index))  # bounded by SAMPLE_ROWS and SAMPLE_CHARS
 
     def run(batches):
         import pyarrow as pa
 
-        seen: dict[bytes, tuple[float, list]] = {}
+        (vocabulary, index), seen = shared.value, {}
+        own = Terms(vocabulary)
+        kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
         for batch in batches:
             scores, proof = [], []
-            for ids, counts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                ids, counts = np.array(ids, dtype=np.int64), np.array(counts, dtype=float)
-                key = ids.tobytes() + counts.tobytes()
-                if key not in seen:
-                    if len(seen) > 50_000:
+            for text in batch.column(1).to_pylist():
+                if text not in seen:
+                    if len(seen) > KEPT_TEXTS:
                         seen.clear()
-                    seen[key] = shared.value.score(ids, counts)
-                p, near = seen[key]
+                    seen[text] = index.score(*own.counts(text))
+                p, near = seen[text]
                 scores.append(p)
                 proof.append([{"doc_id": o, "cosine": c, "toxic": t} for o, c, t in near])
-            kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array(proof, kind)], names=["doc_id", "text_hash", "score", "evidence"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(proof, kind), batch.column(2)], names=["doc_id", "score", "evidence", "row"])
+        seen.clear()
+        tidy()
 
-    found = vectored.mapInArrow(run, "doc_id long, text_hash long, score double, evidence array<struct<doc_id:long,cosine:double,toxic:int>>")
-    fold = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
-    return found.select("doc_id", fold.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", "text_hash")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(F.lit(0).alias(unlike(carry)), *[F.col(f"`{c}`") for c in carry]).alias("row"))
+    kind = rows.schema["row"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id long, score double, evidence array<struct<doc_id:long,cosine:double,toxic:int>>, row {kind}")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that aren't predicted to be toxic, unchanged. Verdicts meet rows by the
-    text, on which alone they depend; so rows without a doc_id are judged like any other."""
-    toxic = score(docs, labels).where("predicted = 1").select(F.col("text_hash").alias("_toxic")).distinct()
-    return docs.join(toxic, text_hash() == F.col("_toxic"), "left_anti")
+    """The rows of docs that aren't predicted to be toxic, unchanged, whatever their columns are called.
+    A verdict depends on the text alone; null and empty texts, repeated rows, missing ids and empty
+    tables are as in score()."""
+    kept = _judged(docs, labels, SAMPLE_ROWS, docs.columns).where("score < 0.5")
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -1,6 +1,7 @@
 """Each operator against its plain version on one small corpus with every odd case."""
 
 import hashlib
+import re
 import zlib
 from array import array
 from collections import Counter, defaultdict
@@ -341,21 +342,59 @@ def test_toxicity(spark, frame, empty):
 def test_nearest_is_exact():
     rng = np.random.default_rng(8)
     vectors = []
-    for _ in range(500):
+    for _ in range(700):
         ids = np.sort(rng.choice(40, rng.integers(0, 6), False))
         vectors.append((ids, rng.integers(1, 4, len(ids))))
-    index = toxicity.Index.build([str(i) for i in range(40)], rng.random(40) + 0.1, vectors, [float(x) for x in rng.integers(0, 2, 500)], list(range(500)))
-    dense = np.zeros((500, 40))
+    index = toxicity.Index.build(rng.random(40) + 0.1, vectors, [float(x) for x in rng.integers(0, 2, 700)], list(range(700)))
+    dense = np.zeros((700, 40))
     for k, (ids, counts) in enumerate(vectors):
         dense[k, ids] = index.unit(ids, counts.astype(float))
-    for ids, counts in vectors[:80]:
+    for n, (ids, counts) in enumerate(vectors[:120]):
         q = np.zeros(40)
         q[ids] = index.unit(ids, counts.astype(float))
         cosine = np.round(dense @ q, 12)
-        want = [(c, k) for c, k in sorted(((c, k) for k, c in enumerate(cosine) if c > 0), key=lambda x: (-x[0], x[1]))[:10]]
-        found = index.nearest(ids, index.unit(ids, counts.astype(float)), 10)
-        assert np.allclose(found[0], [c for c, _ in want]) and len(found[0]) == len(want)
-        assert [k for _, k in want if cosine[k] > found[0][-1]] == [int(o) for c, o in zip(found[0], found[2]) if c > found[0][-1]]
+        but = n if n % 2 else None
+        want = sorted((c for k, c in enumerate(cosine) if c > 0 and k != but), reverse=True)[:10]
+        found = index.nearest(ids, index.unit(ids, counts.astype(float)), 10, but)
+        assert np.allclose(found[0], want) and len(found[0]) == len(want) and but not in found[2]
+        assert all(np.isclose(cosine[o], c) for c, o in zip(found[0], found[2]))
+
+
+def test_scores_are_those_of_brute_force(spark):
+    """Vote, calibration and score of the whole query against plain dictionaries."""
+    rows, labels, _ = toxic_corpus()
+    docs = spark.createDataFrame(rows + [(700, rows[1][1]), (701, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in toxicity.score(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    texts = dict(rows) | {700: rows[1][1], 701: ""}
+    split = lambda t: Counter(x for w in re.findall(r"[^\W\d_]+", t.lower()) for x in [w, *[w[:k] + "-" for k in (4, 6) if len(w) > k]])
+    examples = {}
+    for i, y in labels:
+        if zlib.crc32(str(i).encode()) % 5:
+            examples[texts[i]] = max(y, examples.get(texts[i], 0))
+    bags, p = {t: split(t) for t in examples}, (sum(examples.values()) + 1) / (len(examples) + 2)
+    have, bad = Counter(x for b in bags.values() for x in b), Counter(x for t, b in bags.items() if examples[t] for x in b)
+    df = Counter(x for t in texts.values() for x in set(split(t)))
+    weight = {x: np.log1p(len(texts) / (1 + df[x])) * (0.05 + min(max((bad[x] - n * p) / np.sqrt(n * p * (1 - p)), 0), 20) / 10) for x, n in have.items()}
+
+    def unit(bag):
+        v = {x: (1 + np.log(n)) * weight[x] for x, n in bag.items() if x in weight}
+        size = np.sqrt(sum(w * w for w in v.values()))
+        return {x: w / size for x, w in v.items()}
+
+    units, base = {t: unit(b) for t, b in bags.items()}, (sum(examples.values()) + 0.5) / (len(examples) + 1)
+
+    def vote(text, but=None):
+        q = unit(split(text))
+        near = sorted(((round(sum(w * u.get(x, 0) for x, w in q.items()), 12), examples[t]) for t, u in units.items() if t != but), reverse=True)[:15]
+        w = np.array([c**2 for c, _ in near if c > 0])
+        return (sum(w * [y for c, y in near if c > 0]) + 0.5 * base * w.mean()) / (w.sum() + 0.5 * w.mean()) if len(w) else base
+
+    levels = toxicity.Index(np.zeros(0))
+    levels.calibrate([vote(t, t) for t in examples], [float(y) for y in examples.values()])
+    for i, t in texts.items():
+        v = vote(t)
+        assert abs(got[i].score - (0.999 * np.interp(round(v, 3), *levels.steps) + 0.001 * v)) < 0.02, i
+    assert sum(abs(got[i].score - (0.999 * np.interp(round(vote(t), 3), *levels.steps) + 0.001 * vote(t))) > 1e-6 for i, t in list(texts.items())[:200]) < 5
 
 
 # 6: consistent weighted sampling

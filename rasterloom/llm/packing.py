@@ -7,9 +7,9 @@ room; one that fits nowhere is cut to fill the cheapest sequence with any room,
 and its rest goes on. A group of rests gets exactly as many sequences as its
 tokens need, so that less than one sequence of padding remains in each group.
 
-Groups are runs of a partition's documents, closed at ``group_tokens``: nothing
-is shuffled, a task keeps only one group in memory, and a task that is run again
-gives the same rows, since a split of the input is always read in one order.
+Groups are runs of a partition's documents in order of doc_id and text, closed at
+``group_tokens``: nothing is shuffled, a task keeps only one group in memory, and a task
+that is run again gives the same rows, in whatever order a shuffle brings its input.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from rasterloom.llm import tokens
-from rasterloom.llm.common import prefer_names
+from rasterloom.llm.common import prefer_names, text_hash
 
 CAPACITY = 2048
 GROUP_TOKENS = 4_000_000
@@ -120,4 +120,4 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, group_token
         if rows:
             yield flush()
 
-    return prefer_names(docs, "doc_id", "text").mapInArrow(run, SCHEMA)
+    return prefer_names(docs, "doc_id", "text").sortWithinPartitions("doc_id", text_hash()).mapInArrow(run, SCHEMA)

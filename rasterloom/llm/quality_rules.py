@@ -5,7 +5,7 @@ in repeated three-word windows. A document fails if it is short or repetitive.
 Failures are then added up by host; a host's rate is shrunk towards the rate of all
 hosts by a beta prior fitted to the hosts' rates (method of moments), so that a host
 with a few documents isn't judged on them alone; documents of a host whose shrunk
-rate is above the limit are not kept.
+rate is above a limit, a multiple of the prior's mean within bounds, are not kept.
 """
 
 from __future__ import annotations
@@ -13,13 +13,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import NOT_SPACE, SPACE_CHARS, text_hash, words, written
+from rasterloom.llm.common import NOT_SPACE, SPACE_CHARS, unlike, words, written
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: A host goes only if well over half of what it holds fails, after shrinking.
-MAX_HOST_RATE = 0.8
+#: A host goes if its shrunk rate is over so many times the rate of all documents: but never at or
+#: under half, and always over the second.
+TIMES_MEAN, LEAST_LIMIT, MOST_LIMIT = 4.0, 0.5, 0.8
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -77,7 +78,8 @@ def base_failed() -> Column:
 
 
 def host_rates(docs: DataFrame, host: str = "source") -> DataFrame:
-    """host, n, failed, rate: failures by host, shrunk by the beta prior of all hosts.
+    """host, n, failed, rate and goes: failures by host, shrunk by the beta prior of all hosts, and
+    whether the host goes by the limit that the prior's mean gives.
 
     The prior's mean is the rate over all documents and its weight comes from the
     variance of the hosts' rates beyond that of drawing so many documents; where there
@@ -94,10 +96,11 @@ def host_rates(docs: DataFrame, host: str = "source") -> DataFrame:
     )
     rate = (F.col("failed") + F.col("weight") * F.col("mean")) / (F.col("n") + F.col("weight"))
     # The prior is one row.
-    return by.join(F.broadcast(prior)).select(host, "n", "failed", rate.alias("rate"))
+    limit = F.least(F.lit(MOST_LIMIT), F.greatest(F.lit(LEAST_LIMIT), TIMES_MEAN * F.col("mean")))
+    return by.join(F.broadcast(prior)).select(F.col(f"`{host}`"), "n", "failed", rate.alias("rate"), (rate > limit).alias("goes"))
 
 
-def judge(docs: DataFrame, host: str = "source", max_host_rate: float = MAX_HOST_RATE, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def judge(docs: DataFrame, host: str = "source", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """carry, the base counts, base_failed, host_rate and kept for each row.
 
     A null text has no words and fails. A null host is one host of its own. Repeated
@@ -107,18 +110,22 @@ def judge(docs: DataFrame, host: str = "source", max_host_rate: float = MAX_HOST
     """
     names = list(dict.fromkeys([*carry, host]))
     rows = written(base_rules(docs, names).withColumn("base_failed", base_failed()), "quality-rules")
-    hosts = host_rates(rows, host).select(F.col(f"`{host}`").alias("_host"), F.col("rate").alias("host_rate"))
-    found = rows.join(hosts, F.col(f"`{host}`").eqNullSafe(F.col("_host")), "left")
-    kept = ~F.col("base_failed") & (F.col("host_rate") <= max_host_rate)
+    named = unlike(rows.columns, "host")
+    hosts = host_rates(rows, host).select(F.col(f"`{host}`").alias(named), F.col("rate").alias("host_rate"), "goes")
+    found = rows.join(hosts, F.col(f"`{host}`").eqNullSafe(F.col(named)), "left")
+    kept = ~F.col("base_failed") & ~F.col("goes")
     return found.select(*carry, *BASE, "base_failed", "host_rate", kept.alias("kept"))
 
 
-def only_kept(docs: DataFrame, host: str = "source", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """The rows of docs that are kept, unchanged. Verdicts meet rows by text and host, on
-    which alone they depend; so rows without a doc_id are judged like any other."""
-    hashed = docs.select(F.lit(None).cast("long").alias("doc_id"), text_hash().alias("_hash"), "text", F.col(f"`{host}`").alias("_judged"))
-    kept = judge(hashed, "_judged", max_host_rate, ("_hash", "_judged")).where("kept").select("_hash", "_judged").distinct()
-    return docs.join(kept, (text_hash() == F.col("_hash")) & F.col(f"`{host}`").eqNullSafe(F.col("_judged")), "left_semi")
+def only_kept(docs: DataFrame, host: str = "source") -> DataFrame:
+    """The rows of docs that are kept, unchanged. Verdicts meet rows by host and 128 bits of the
+    text, on which alone they depend; so rows without a doc_id are judged like any other. Nulls,
+    repeated rows and empty tables are as in judge(); other columns may have any name."""
+    keys = [F.xxhash64(F.coalesce("text", F.lit(""))), F.xxhash64(F.lit(1), F.coalesce("text", F.lit("")))]
+    own = [unlike(docs.columns, n) for n in ("key_a", "key_b", "judged_host")]
+    hashed = docs.select(*[k.alias(n) for k, n in zip(keys, own)], "text", F.col(f"`{host}`").alias(own[2]))
+    kept = judge(hashed, own[2], tuple(own)).where("kept").select(*own).distinct()
+    return docs.join(kept, (keys[0] == F.col(own[0])) & (keys[1] == F.col(own[1])) & F.col(f"`{host}`").eqNullSafe(F.col(own[2])), "left_semi")
 
 
 #: judge() with its defaults in DuckDB; host_rate is rounded in the query, as sums may differ in their last bits.
@@ -135,6 +142,6 @@ h AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed) AS faile
 m AS (SELECT sum(failed) / sum(n) AS mean, sum(n * (failed / n) * (failed / n)) / sum(n) - (sum(failed) / sum(n)) ** 2 AS variance, count(*) / sum(n) AS drawn, sum(n) / count(*) AS usual FROM h),
 w AS (SELECT mean, CASE WHEN variance - mean * (1 - mean) * drawn > 0 THEN greatest(1, mean * (1 - mean) / (variance - mean * (1 - mean) * drawn) - 1) ELSE usual END AS weight FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       round((failed + weight * mean) / (n + weight), 9) AS host_rate, NOT base_failed AND (failed + weight * mean) / (n + weight) <= 0.8 AS kept
+       round((failed + weight * mean) / (n + weight), 9) AS host_rate, NOT base_failed AND (failed + weight * mean) / (n + weight) <= least(0.8, greatest(0.5, 4 * mean)) AS kept
 FROM f JOIN h ON f.source IS NOT DISTINCT FROM h.source, w
 """

@@ -6,14 +6,16 @@ their 8 bytes at least 5 are equal at the same position: the guaranteed minimum.
 The inverted index has a list for each set of four positions with their four bytes.
 The 14 sets are the blocks of the Steiner system S(3, 4, 8): whichever three positions
 differ lie in a block, and its complement, a block too, is equal. So each link meets in
-a list, and lists are told apart by 32 bits, not by the 8 of a single byte. In a list,
-equal positional bytes are tallied for each pair, pairs below the minimum are dropped,
-and the rest are verified on the bits.
-
-Only distinct fingerprints are indexed. A list yields a spanning forest of its links, at
-most one edge for each entry, whatever the number of links. Lists over ``list_limit``
-entries are split by a fifth byte, of which four linked entries share at least one;
-after that 24 bits are left, which bounds any list.
+a list, and lists are told apart by 32 bits, not by the 8 of a single byte. Within a list
+the shared positional bytes of each pair are tallied; pairs of fewer than the minimum
+(those that share the list's four bytes alone) are dropped, and only the retained ones are
+verified on their bits.
+
+Only distinct fingerprints are indexed. A list yields edges that join its links, a few for
+each entry at most, whatever the number of links. Lists over ``list_limit`` entries are
+split by a fifth byte, of which four linked entries share at least one. What is still large
+is split in memory by parts of the bits that differ in it: of ``max_bits`` + 1 parts, two
+linked entries agree in one.
 """
 
 from __future__ import annotations
@@ -22,10 +24,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import prefer_names, text_hash, written
+from rasterloom.llm.common import prefer_names, text_hash, tidy, unlike, written
 from rasterloom.llm.components import connected_components
 
 SEED, SHINGLE, MAX_BITS, LIST_LIMIT = 42, 3, 3, 50_000
+#: So many entries of a list are compared directly.
+DIRECT = 2000
 #: The 14 blocks of S(3, 4, 8), as positions of bytes.
 BLOCKS = [
     (0, 1, 2, 3), (4, 5, 6, 7), (0, 1, 4, 5), (2, 3, 6, 7), (0, 1, 6, 7), (2, 3, 4, 5), (0, 2, 4, 6),
@@ -61,6 +65,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for batch in batches:
             fps = [fingerprint(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=["doc_id", "text_hash", "fp"])
+        tidy()
 
     docs = prefer_names(docs, "doc_id", "text").withColumns({"doc_id": F.col("doc_id").cast("long"), "text_hash": text_hash()})
     return docs.mapInArrow(run, "doc_id long, text_hash long, fp long")
@@ -78,28 +83,45 @@ def differing_bytes(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x & np.uint64(0x0101010101010101))
 
 
+def retained(x: np.ndarray, max_bits: int) -> np.ndarray:
+    """Places of the xors whose pairs share as many positional bytes as a link must."""
+    return np.flatnonzero(8 - differing_bytes(x) >= 8 - max_bits)
+
+
 def linked(x: np.ndarray, max_bits: int) -> np.ndarray:
-    """Of xors: the tally of equal bytes reaches the minimum, and the bits verify."""
-    return (8 - differing_bytes(x) >= 8 - max_bits) & (np.bitwise_count(x) <= max_bits)
+    """Places of the xors of linked pairs: tallied, and those retained verified on their bits."""
+    at = retained(x, max_bits)
+    return at[np.bitwise_count(x[at]) <= max_bits]
 
 
 def forest(fps: np.ndarray, max_bits: int = MAX_BITS) -> list[tuple[np.ndarray, np.ndarray]]:
     """Edges that join what is linked, directly or through others, in one list.
 
     An entry that has been reached is not compared again with others reached, so groups
-    of like entries, however large, cost little more than their size.
+    of like entries, however large, cost little more than their size. Over DIRECT entries
+    are split by parts of the bits that differ among them: links agree in a part.
     """
     rest, edges = np.unique(fps), []
+    if len(rest) > DIRECT:
+        differ = int(np.bitwise_or.reduce(rest ^ rest[0]))
+        bits = [b for b in range(64) if differ >> b & 1]
+        for part in np.array_split(np.array(bits, dtype=np.uint64), max_bits + 1):
+            keys = rest & np.uint64(sum(1 << int(b) for b in part))
+            order = np.argsort(keys, kind="stable")
+            for group in np.split(rest[order], np.flatnonzero(np.diff(keys[order])) + 1):
+                if len(group) > 1:
+                    edges.extend(forest(group, max_bits))
+        return edges
     while len(rest) > 1:
         reached, rest = [rest[0]], rest[1:]
         while reached and len(rest):
             at = reached.pop()
             hit = linked(rest ^ at, max_bits)
-            if hit.any():
+            if len(hit):
                 new = rest[hit]
                 edges.append((np.full(len(new), at), new))
                 reached.extend(new)
-                rest = rest[~hit]
+                rest = np.delete(rest, hit)
     return edges
 
 
@@ -185,7 +207,10 @@ def first_of_each(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of docs with the least doc_id of their group, unchanged.
 
     In a group where no row has a doc_id, all stay; so do rows that repeat the one that stays.
+    Null and empty texts are alike, and a group like any other. An empty table gives no rows;
+    other columns may have any name.
     """
+    own_id, own_hash = unlike(docs.columns, "kept_id"), unlike(docs.columns, "kept_hash")
     kept = groups(docs, max_bits).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (text_hash() == F.col("_hash")), "left_semi")
+    kept = kept.select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash))
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(own_id)) & (text_hash() == F.col(own_hash)), "left_semi")

@@ -33,10 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from rasterloom.llm.common import shards_for
+from rasterloom.llm.common import shards_for, tidy, unlike
 
 WINDOW, PREFIX, CODE_BITS = 13, 5, 40
-SHARD_MB = 6
+SHARD_MB = 4
 #: From so many shards on, a prefix is too common for a group of its own.
 COMMON_SHARDS = 1000
 CHUNK_BYTES = 2_000_000
@@ -244,7 +244,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, shard_m
     shards = shards_for(docs, shard_mb)
     bits = max(1, (shards - 1).bit_length())
     shift = _U(CODE_BITS - bits)
-    row = F.struct(*[F.col(f"`{c}`") for c in carry], F.lit(0).alias("_none"))
+    row = F.struct(*[F.col(f"`{c}`") for c in carry], F.lit(0).alias(unlike(list(carry))))
     dealt = docs.select("doc_id", "text", row.alias("row")).select(F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))), F.lit(shards)).cast("int").alias("shard"), F.col("doc_id").cast("long").alias("doc_id"), "text", "row")
     dealt = dealt.repartition(shards, "shard")
 
@@ -313,7 +313,9 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, shard_m
                 words = [words[i] for i in np.flatnonzero(~covered)]
             doc_id = table.column("doc_id")[own.rows[k]].as_py()
             out.append((doc_id, len(covered), n, b" ".join(words).decode()))
-        return _rows(own_schema, out).append_column("row", table.column("row").take(own.rows))
+        found = _rows(own_schema, out).append_column("row", table.column("row").take(own.rows))
+        tidy()
+        return found
 
     asked = dealt.groupBy("shard").applyInArrow(census, MESSAGE)
     first = asked.groupBy("bucket").applyInArrow(count, ANSWER)
@@ -323,10 +325,14 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, shard_m
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """docs with the repeats taken out of text and n_chars counted anew; texts without a repeat stay as they are."""
+    """docs with the repeats taken out of text and n_chars, if there is one, counted anew; texts without a
+    repeat stay as they are. Nulls, rows of equal doc_id, short texts and empty tables are as in repeats();
+    other columns may have any name."""
     found = repeats(docs, carry=tuple(docs.columns))
     changed = F.col("n_removed") > 0
-    own = {"text": F.when(changed, F.col("kept")).otherwise(F.col("row.text")), "n_chars": F.when(changed, F.length("kept").cast("long")).otherwise(F.col("row.n_chars"))}
+    own = {"text": F.when(changed, F.col("kept")).otherwise(F.col("row.text"))}
+    if "n_chars" in docs.columns:
+        own["n_chars"] = F.when(changed, F.length("kept").cast("long")).otherwise(F.col("row.n_chars"))
     return found.select(*[own.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 

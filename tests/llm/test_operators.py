@@ -125,6 +125,23 @@ def test_assignment_fills_sequences(lengths):
         assert [a for a, _ in sorted(p)] == [sum(n for _, n in sorted(p)[:k]) for k in range(len(p))] and sum(n for _, n in p) == lengths[i]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 20), max_size=25))
+def test_each_piece_goes_to_the_cheapest_sequence(lengths):
+    """The assignment as stated, with lists alone."""
+    n, cost = -(-sum(lengths) // 20), packing.Cost()
+    used, load, want = [0] * n, [0.0] * n, []
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        start, left = 0, lengths[i]
+        while left:
+            fits = [s for s in range(n) if used[s] + left <= 20] or [s for s in range(n) if used[s] < 20]
+            s = min(fits, key=lambda s: (load[s], s))
+            size = min(left, 20 - used[s])
+            want.append((i, start, size, s, used[s]))
+            used[s], load[s], start, left = used[s] + size, load[s] + cost.of(size), start + size, left - size
+    assert packing.assign(lengths, capacity=20) == want
+
+
 def test_costs_are_balanced():
     lengths = [2000, 1000, 1000, 500, 500, 500, 500] * 20
     cost, load = packing.Cost(), Counter()
@@ -149,6 +166,37 @@ def test_simhash_groups(frame, empty, docs, multiset):
     assert simhash.groups(empty).count() == 0
 
 
+def test_the_tally_drops_pairs_before_they_are_verified():
+    """Of pairs that meet in a list, those that share only its four bytes are dropped; no link is."""
+    rng = np.random.default_rng(5)
+    fps = rng.integers(0, 2**63, 4000, dtype=np.uint64)
+    fps[1::2] = fps[::2] ^ (rng.integers(0, 2**32, 2000, dtype=np.uint64) & rng.integers(0, 2**32, 2000, dtype=np.uint64))  # four equal bytes
+    x = fps[::2] ^ fps[1::2]
+    shared = np.array([sum((int(v) >> 8 * k & 255) == 0 for k in range(8)) for v in x])
+    assert simhash.retained(x, 3).tolist() == np.flatnonzero(shared >= 5).tolist() and 0 < len(simhash.retained(x, 3)) < 1000
+    near = fps[:50] ^ np.array([(1 << a) | (1 << b) | (1 << c) for a, b, c in rng.integers(0, 64, (50, 3)).tolist()], dtype=np.uint64)
+    assert len(simhash.linked(fps[:50] ^ near, 3)) == 50
+
+
+def test_large_lists_lose_no_link(monkeypatch):
+    rng = np.random.default_rng(7)
+    fps = np.unique(rng.integers(0, 2**14, 900, dtype=np.uint64) << np.uint64(20))
+    want = brute.components([int(f) for f in fps])
+    monkeypatch.setattr(simhash, "DIRECT", 10)
+    root = {int(f): int(f) for f in fps}
+
+    def find(f):
+        while root[f] != f:
+            f = root[f]
+        return f
+
+    for a, b in simhash.forest(fps):
+        for u, v in zip(a.tolist(), b.tolist()):
+            assert bin(u ^ v).count("1") <= 3
+            root[max(find(u), find(v))] = min(find(u), find(v))
+    assert [find(int(f)) for f in fps] == [int(fps[k]) for k in want]
+
+
 @pytest.mark.parametrize("limit", [3, 50_000])
 def test_links_keep_all_components(spark, limit):
     rng = np.random.default_rng(3)
@@ -558,7 +606,8 @@ def test_quality_rules(frame, empty, docs, multiset):
         n, chars, symbols, lines, repeats = brute.base_rules(t)
         want.append((i, n, chars, symbols, lines, repeats, n < 50 or 100 * repeats > 50 * n))
     assert multiset((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got) == multiset(want)
-    assert all(r.kept == (not r.base_failed and r.host_rate <= quality_rules.MAX_HOST_RATE) for r in got)
+    limit = min(0.8, max(0.5, 4 * sum(r.base_failed for r in got) / len(got)))
+    assert all(r.kept == (not r.base_failed and r.host_rate <= limit) for r in got)
     kept = quality_rules.only_kept(frame)
     assert kept.columns == frame.columns and kept.count() == sum(r.kept for r in got)
     assert quality_rules.judge(empty).count() == 0 and quality_rules.only_kept(empty).count() == 0

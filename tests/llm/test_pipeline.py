@@ -31,6 +31,35 @@ def test_stages(spark):
     assert {r.doc_id for r in seen[-1].select("doc_id").collect()} == {i for i, _ in cut}
 
 
+ODD = ("_id", "_hash", "_judged", "_toxic", "_none", "own", "row", "kept", "kept_id", "kept_hash", "key_a", "judged_host", "host", "score", "range", "shard", "bucket", "h", "n", "w", "fp", "evidence")
+
+
+def test_stages_take_odd_rows_and_any_column_names(spark, docs):
+    """Nulls, empty and very long texts, repeated rows, and columns named as the operators name their own."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in ODD)
+    rows = [(i, t, None, f"host{n % 3}" if n % 5 else None, len(t or ""), *[c if n % 2 else None for c in ODD]) for n, (i, t) in enumerate(docs)]
+    for data in (rows, []):
+        got = spark.createDataFrame(data, schema).repartition(2)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            found = written(stage(spark, got, SF), "stage")
+            assert found.columns == got.columns, name
+            if name != "substring dedup":
+                assert set(found.collect()) <= set(got.collect()), name
+            assert found.count() > len(data) // 4 or not data
+            got = found
+        packed = corpus_pipeline.STAGES[-1][1](spark, got, SF).collect()
+        assert sum(r.length for r in packed if r.doc_id is None or r.doc_id >= -5) == sum(r.length for r in packed) and bool(packed) == bool(data)
+
+
+def test_run_is_its_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = written(stage(spark, docs, SF), "stage")
+    run = corpus_pipeline.run(spark, SF).collect()
+    total = lambda rows: {i: sum(r.length for r in rows if r.doc_id == i) for i in {r.doc_id for r in rows}}
+    assert total(run) == total(docs.collect()) and run
+
+
 def test_decisions_do_not_need_a_doc_id(spark):
     rows = [(None, "short", "en", "a", 5), (None, " ".join(f"w{i}" for i in range(60)), "en", "a", 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")

@@ -1,12 +1,12 @@
 """Toxicity by the nearest labelled examples under TF-IDF cosine.
 
-Terms are lower-case words and starts of words (4 and 6 letters), known by 64-bit hashes.
+Terms are lower-case words, known by 64-bit hashes.
 Examples are a bounded sample of the distinct labelled texts (``SAMPLE_ROWS`` rows and
 ``SAMPLE_CHARS`` code points, in order of the texts' hashes); all their terms span the
 vector space, so every text that shares a term with any example has a vector. A term's
 weight is (1 + ln tf) * idf * evidence: document frequencies are counted over all
 documents, and evidence, between ``FLOOR`` and ``FLOOR + 2``, grows with how many standard
-deviations toxic examples have a term beyond their share. No term is dropped.
+deviations above ``CHANCE`` toxic examples have a term beyond their share. No term is dropped.
 
 The examples' inverted index is cut into blocks of like examples, with each term's largest
 weight in each block. A query sums these into a bound for each block, computes the blocks
@@ -27,16 +27,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import prefer_names, text_hash, tidy, unlike, written
+from rasterloom.llm.common import prefer_names, text_hash, tidy, written
 
 #: Bounds of the labelled texts that are fitted to.
-SAMPLE_ROWS, SAMPLE_CHARS = 4000, 40_000_000
-NEIGHBOURS, BLOCK, FIRST_BLOCKS = 15, 64, 6
-FLOOR, MOST_DEVIATIONS = 0.05, 20.0
+SAMPLE_ROWS, SAMPLE_CHARS = 2000, 20_000_000
+NEIGHBOURS, BLOCK, FIRST_BLOCKS, ROWS = 15, 128, 3, 250
+FLOOR, CHANCE, MOST_DEVIATIONS = 0.05, 3.0, 20.0
 PRIOR_WEIGHT = 0.5
-STARTS = (4, 6)
 #: Words whose terms a worker remembers, and texts whose scores it does; both only save time.
-KEPT_WORDS, KEPT_TEXTS = 150_000, 5_000
+KEPT_WORDS, KEPT_TEXTS = 100_000, 5_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -44,33 +43,42 @@ class Terms:
     """Terms of texts as hashes, or, with a vocabulary (sorted hashes), as places in it."""
 
     def __init__(self, vocabulary: np.ndarray | None = None):
-        self.vocabulary, self.known = vocabulary, {}
+        self.place = None if vocabulary is None else dict(zip(vocabulary.tolist(), range(len(vocabulary))))
+        self.known: dict[str, int] = {}
 
-    def _of_word(self, word: str) -> tuple[int, ...]:
+    def _of_word(self, word: str) -> int:
+        """-1 for a word that the vocabulary doesn't have."""
         from xxhash import xxh64_intdigest
 
-        names = [word, *[word[:k] + "-" for k in STARTS if len(word) > k]]
-        hashes = np.array([xxh64_intdigest(n) >> 1 for n in names], dtype=np.int64)
-        if self.vocabulary is not None:
-            at = np.searchsorted(self.vocabulary, hashes)
-            hashes = at[self.vocabulary[np.minimum(at, len(self.vocabulary) - 1)] == hashes] if len(self.vocabulary) else at[:0]
+        term = xxh64_intdigest(word) >> 1
+        if self.place is not None:
+            term = self.place.get(term, -1)
         if len(self.known) > KEPT_WORDS:
             self.known.clear()
-        self.known[word] = found = tuple(hashes.tolist())
-        return found
+        self.known[word] = term
+        return term
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """(terms in ascending order, counts) of a whole text."""
         sums: dict[int, int] = {}
         known, of_word = self.known, self._of_word
         for w, n in Counter(_WORD.findall((text or "").lower())).items():
-            for t in known.get(w) or of_word(w):
+            t = known.get(w)
+            if t is None:
+                t = of_word(w)
+            if t >= 0:
                 sums[t] = sums.get(t, 0) + n
         terms = np.fromiter(sums.keys(), np.int64, len(sums))
         order = np.argsort(terms)
         return terms[order], np.fromiter(sums.values(), float, len(sums))[order]
 
 
+def in_parts(batch):
+    """A batch in slices of few rows, so that little of it is held as Python objects at a time."""
+    for at in range(0, batch.num_rows, ROWS):
+        yield batch.slice(at, ROWS)
+
+
 def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """start, start + 1, ... for each of starts, so many as sizes tells."""
     ends = np.cumsum(sizes)
@@ -116,6 +124,7 @@ class Index:
         new = np.concatenate(([True], (term[1:] != term[:-1]) | (self.example[1:] // BLOCK != self.example[:-1] // BLOCK))) if len(term) else np.zeros(0, bool)
         first = np.flatnonzero(new)
         self.block = self.example[first] // BLOCK
+        self.example = self.example.astype(np.int32)
         self.peak = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
         self.posting = np.append(first, len(term))
         self.of_term = np.searchsorted(term[first], np.arange(len(self.weights) + 1))
@@ -230,15 +239,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, samp
     have = np.bincount(of, minlength=len(vocabulary))
     toxic = np.bincount(of, weights=np.repeat(y, [len(i) for i in ids]), minlength=len(vocabulary))
     p = (y.sum() + 1) / (len(y) + 2)
-    evidence = FLOOR + np.clip((toxic - have * p) / np.sqrt(np.maximum(have, 1) * p * (1 - p)), 0, MOST_DEVIATIONS) / 10
+    evidence = FLOOR + np.clip((toxic - have * p) / np.sqrt(np.maximum(have, 1) * p * (1 - p)) - CHANCE, 0, MOST_DEVIATIONS) / 10
     shared = spark.sparkContext.broadcast(vocabulary)
 
     def frequencies(batches):
         import pyarrow as pa
 
         own, df, n = Terms(shared.value), np.zeros(len(shared.value), np.int64), 0
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
+        for part in (p for batch in batches for p in in_parts(batch)):
+            for text in part.column(0).to_pylist():
                 df[own.counts(text)[0]] += 1
                 n += 1
         at = np.flatnonzero(df)
@@ -279,13 +288,13 @@ def score(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     document is missing, teach nothing; without labels every score is 0. An empty table gives
     no rows. Other columns are not read.
     """
-    judged = _judged(docs, labels, sample_rows, [])
+    judged = _judged(docs, labels, sample_rows, ["doc_id"]).select(F.col("row.doc_id").cast("long").alias("doc_id"), "score", "evidence")
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     return judged.select("doc_id", fold.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
 def _judged(docs: DataFrame, labels: DataFrame, sample_rows: int, carry: list[str]) -> DataFrame:
-    """doc_id, score, evidence and a struct row of the columns of carry, in one pass: verdicts need no way back to rows."""
+    """A struct row of the columns of carry and the text, score and evidence, in one pass: verdicts need no way back to rows."""
     vocabulary, index = fit(docs, labels, sample_rows)
     context = docs.sparkSession.sparkContext
     shared = context.broadcast((vocabulary, index))  # bounded by SAMPLE_ROWS and SAMPLE_CHARS
@@ -293,26 +302,29 @@ def _judged(docs: DataFrame, labels: DataFrame, sample_rows: int, carry: list[st
     def run(batches):
         import pyarrow as pa
 
+        from xxhash import xxh3_128_digest
+
         (vocabulary, index), seen = shared.value, {}
         own = Terms(vocabulary)
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
-        for batch in batches:
+        for part in (p for batch in batches for p in in_parts(batch)):
             scores, proof = [], []
-            for text in batch.column(1).to_pylist():
-                if text not in seen:
+            for text in part.column(0).field("text").to_pylist():
+                key = xxh3_128_digest(text or "")
+                if key not in seen:
                     if len(seen) > KEPT_TEXTS:
                         seen.clear()
-                    seen[text] = index.score(*own.counts(text))
-                p, near = seen[text]
+                    seen[key] = index.score(*own.counts(text))
+                p, near = seen[key]
                 scores.append(p)
                 proof.append([{"doc_id": o, "cosine": c, "toxic": t} for o, c, t in near])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(proof, kind), batch.column(2)], names=["doc_id", "score", "evidence", "row"])
-        seen.clear()
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64()), pa.array(proof, kind)], names=["row", "score", "evidence"])
         tidy()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(F.lit(0).alias(unlike(carry)), *[F.col(f"`{c}`") for c in carry]).alias("row"))
+    names = list(dict.fromkeys([*carry, "text"]))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
     kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id long, score double, evidence array<struct<doc_id:long,cosine:double,toxic:int>>, row {kind}")
+    return rows.mapInArrow(run, f"row {kind}, score double, evidence array<struct<doc_id:long,cosine:double,toxic:int>>")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:

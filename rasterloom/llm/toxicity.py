@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from rasterloom.llm.common import prefer_names, text_hash, tidy, written
 
 #: Bounds of the labelled texts that are fitted to.
-SAMPLE_ROWS, SAMPLE_CHARS = 2000, 20_000_000
-NEIGHBOURS, BLOCK, FIRST_BLOCKS, ROWS = 15, 128, 3, 250
+SAMPLE_ROWS, SAMPLE_CHARS = 1200, 20_000_000
+NEIGHBOURS, BLOCK, FIRST_BLOCKS, ROWS = 15, 256, 2, 250
 FLOOR, CHANCE, MOST_DEVIATIONS = 0.05, 3.0, 20.0
 PRIOR_WEIGHT = 0.5
 #: Words whose terms a worker remembers, and texts whose scores it does; both only save time.
@@ -82,7 +82,9 @@ def in_parts(batch):
 def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """start, start + 1, ... for each of starts, so many as sizes tells."""
     ends = np.cumsum(sizes)
-    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+    out = np.repeat((starts - ends + sizes).astype(np.int32), sizes)
+    out += np.arange(len(out), dtype=np.int32)
+    return out
 
 
 @dataclass
@@ -124,8 +126,9 @@ class Index:
         new = np.concatenate(([True], (term[1:] != term[:-1]) | (self.example[1:] // BLOCK != self.example[:-1] // BLOCK))) if len(term) else np.zeros(0, bool)
         first = np.flatnonzero(new)
         self.block = self.example[first] // BLOCK
-        self.example = self.example.astype(np.int32)
-        self.peak = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        self.example, self.block = self.example.astype(np.int32), self.block.astype(np.int32)
+        self.weight = self.weight.astype(np.float32)
+        self.peak = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0, np.float32)
         self.posting = np.append(first, len(term))
         self.of_term = np.searchsorted(term[first], np.arange(len(self.weights) + 1))
         return self
@@ -133,7 +136,7 @@ class Index:
     def nearest(self, ids: np.ndarray, q: np.ndarray, k: int, but: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(cosine, label, owner) of the k nearest with a positive cosine, exactly; ties in the index's order.
         but: the owner of an example that doesn't count."""
-        size = self.of_term[ids + 1] - self.of_term[ids]
+        size, q = self.of_term[ids + 1] - self.of_term[ids], q.astype(np.float32)
         entry, of = _runs(self.of_term[ids], size), np.repeat(q, size)
         block = self.block[entry]
         bound = np.bincount(block, weights=of * self.peak[entry], minlength=-(-len(self.labels) // BLOCK))
@@ -154,11 +157,11 @@ class Index:
             seen = np.sort(cosine)[-k:]
             least = seen[0] if len(seen) == k else 0.0
             todo = order[FIRST_BLOCKS:]
-            todo = todo[(bound[todo] > 0) & (bound[todo] >= least - 1e-9)]
+            todo = todo[(bound[todo] > 0) & (bound[todo] >= least - 1e-6)]  # a float's error
             least = -1.0
         if but is not None:
             cosine[self.owners == but] = 0.0
-        cosine = np.round(cosine, 12)
+        cosine = np.round(cosine, 6)
         top = np.argsort(-cosine, kind="stable")[:k]
         top = top[cosine[top] > 0]
         return cosine[top], self.labels[top], self.owners[top]

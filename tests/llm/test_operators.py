@@ -400,12 +400,12 @@ def test_nearest_is_exact():
     for n, (ids, counts) in enumerate(vectors[:120]):
         q = np.zeros(40)
         q[ids] = index.unit(ids, counts.astype(float))
-        cosine = np.round(dense @ q, 12)
+        cosine = np.round(dense @ q, 6)
         but = n if n % 2 else None
         want = sorted((c for k, c in enumerate(cosine) if c > 0 and k != but), reverse=True)[:10]
         found = index.nearest(ids, index.unit(ids, counts.astype(float)), 10, but)
-        assert np.allclose(found[0], want) and len(found[0]) == len(want) and but not in found[2]
-        assert all(np.isclose(cosine[o], c) for c, o in zip(found[0], found[2]))
+        assert np.allclose(found[0], want, atol=1e-5) and len(found[0]) == len(want) and but not in found[2]
+        assert all(np.isclose(cosine[o], c, atol=1e-5) for c, o in zip(found[0], found[2]))
 
 
 def test_scores_are_those_of_brute_force(spark):

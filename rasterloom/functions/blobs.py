@@ -9,6 +9,7 @@ one group: strips of bounded height (see ``rasterloom.sources.rasters``) bound i
 from __future__ import annotations
 
 import dataclasses
+import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from rasterloom.codec import bands, writing
-from rasterloom.codec.model import BlobInfo, RasterError
+from rasterloom.codec.model import BlobInfo, RasterError, fail
 
 INFO = (
     "family int, version int, data_type string, width long, height long, depth long, min_values array<double>, "
@@ -110,6 +111,9 @@ def split_bands(blobs: DataFrame) -> DataFrame:
             rows = []
             for blob_id, content, mask in frame.itertuples(index=False):
                 n = -1
+                if content is None:
+                    rows.append({"blob_id": blob_id, "band": 0, "at": None, "content": None, "band_mask": None} | info_row(None))
+                    continue
                 try:
                     for n, b in enumerate(bands.each(content, _mask(mask), samples=False)):
                         own = None if b.mask is None else b.mask.astype(np.uint8).tobytes()
@@ -123,13 +127,16 @@ def split_bands(blobs: DataFrame) -> DataFrame:
 
 def decode(blobs: DataFrame, strict: bool = True) -> DataFrame:
     """blob_id, values (in order of row, column, dimension), valid (a byte a pixel, or null) and
-    metadata or error, a row for each blob. strict: bytes behind it are an error."""
+    metadata or error, a row for each blob (all null for a null one). strict: bytes behind it are an error."""
     schema = f"blob_id {_id_type(blobs)}, values array<double>, valid binary, {INFO}, {ERROR}"
 
     def run(frames):
         for frame in frames:
             rows = []
             for blob_id, content, mask in frame.itertuples(index=False):
+                if content is None:
+                    rows.append({"blob_id": blob_id, "values": None, "valid": None} | info_row(None))
+                    continue
                 try:
                     b = (bands.decode if strict else bands.decode_first)(content, _mask(mask))
                     own = None if b.mask is None else b.mask.astype(np.uint8).tobytes()
@@ -141,15 +148,67 @@ def decode(blobs: DataFrame, strict: bool = True) -> DataFrame:
     return _with_mask(blobs).mapInPandas(run, schema)
 
 
-def pixels(blobs: DataFrame) -> DataFrame:
-    """A row for each sample of each band; invalid pixels have value 0. An error ends the task with it."""
+#: Spark's type for each sample type: unsigned ones take the next larger.
+NATIVE = {"i8": "tinyint", "u8": "smallint", "i16": "smallint", "u16": "int", "i32": "int", "u32": "bigint", "f32": "float", "f64": "double"}
+
+
+def decode_native(blobs: DataFrame, data_type: str) -> DataFrame:
+    """blob_id, shape (rows, columns and, if above 1, depth) and samples in the blob's own type, which
+    must be data_type, a row for each blob; all null for a null blob. An error ends the task with it."""
+
+    def run(frames):
+        for frame in frames:
+            rows = []
+            for blob_id, content, mask in frame.itertuples(index=False):
+                own = None if content is None else bands.typed(bands.decode(content, _mask(mask)), data_type)
+                rows.append((blob_id, None, None) if own is None else (blob_id, list(own.shape), own.reshape(-1)))
+            yield pd.DataFrame(rows, columns=["blob_id", "shape", "samples"])
+
+    return _with_mask(blobs).mapInPandas(run, f"blob_id {_id_type(blobs)}, shape array<int>, samples array<{NATIVE[data_type]}>")
+
+
+def mask_bytes(content: Column | str) -> Column:
+    """The mask of each blob, a byte a pixel, without decoding a sample; null for no mask or no blob."""
+
+    @pandas_udf("binary")
+    def read(contents: pd.Series) -> pd.Series:
+        def one(data):
+            found = None if data is None else bands.decode_mask(data)
+            return None if found is None else found.astype(np.uint8).tobytes()
+
+        return contents.map(one)
+
+    return read(content)
+
+
+def frame_lengths(blobs: DataFrame, content: str = "content") -> DataFrame:
+    """blob_id, frame, n_bytes: the blobs of each byte stream, one after the other, each by its own header.
+    An end within a blob ends the task with Truncated; a null or empty stream has no rows."""
+
+    def run(frames):
+        for frame in frames:
+            rows = [(i, k, len(f)) for i, data in frame.itertuples(index=False) if data is not None for k, f in enumerate(bands.frames(io.BytesIO(data)))]
+            yield pd.DataFrame(rows, columns=["blob_id", "frame", "n_bytes"])
+
+    return blobs.select("blob_id", content).mapInPandas(run, f"blob_id {_id_type(blobs)}, frame int, n_bytes long")
+
+
+def pixels(blobs: DataFrame, permissive: bool = False) -> DataFrame:
+    """A row for each sample of each band; invalid pixels have value 0. A null blob has no rows.
+    An error ends the task with it; permissive: a blob with an error has no rows."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             for blob_id, content, mask in zip(*[c.to_pylist() for c in batch.columns]):
-                for band, b in enumerate(bands.decode_set(content, _mask(mask))):
+                try:
+                    found = [] if content is None else bands.decode_set(content, _mask(mask))
+                except RasterError:
+                    if not permissive:
+                        raise
+                    found = []
+                for band, b in enumerate(found):
                     h, w, depth = b.values.shape
                     y, x, d = np.indices((h, w, depth), dtype=np.int32).reshape(3, -1)
                     ok = np.ones(h * w, bool) if b.mask is None else b.mask
@@ -164,17 +223,24 @@ def pixels(blobs: DataFrame) -> DataFrame:
     return _with_mask(blobs).mapInArrow(run, PIXELS.format(id=_id_type(blobs)))
 
 
-def grid_of(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(values (height, width, depth), mask (height, width)) of one raster's pixel rows; places without a row are invalid."""
-    h, w, depth = (int(frame[c].max()) + 1 for c in ("y", "x", "dim"))
+def grid_of(frame: pd.DataFrame, shape: tuple[int, int, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(values (height, width, depth), mask (height, width)) of one raster's pixel rows; places without a
+    row are invalid, and two rows for a place are an error. shape: if not what the largest indices give."""
+    h, w, depth = shape or shape_of(frame)
     values, valid = np.zeros((h, w, depth)), np.zeros((h, w, depth), bool)
     at = frame["y"].to_numpy(), frame["x"].to_numpy(), frame["dim"].to_numpy()
+    if len(np.unique(np.ravel_multi_index(at, (h, w, depth)))) < len(frame):
+        fail("InvalidArgument", "a place of a raster has more than one row")
     ok = frame["valid"].to_numpy(dtype=bool) & frame["value"].notna().to_numpy()
     values[at] = np.where(ok, frame["value"].to_numpy(dtype=float), 0.0)
     valid[at] = ok
     return values, valid.all(axis=2)
 
 
+def shape_of(frame: pd.DataFrame) -> tuple[int, int, int]:
+    return tuple(int(frame[c].max()) + 1 for c in ("y", "x", "dim"))
+
+
 def encode(rows: DataFrame, data_type: str, options: writing.Options = writing.Options()) -> DataFrame:
     """blob_id, content: a blob for each raster_id of a pixel table. A mask is stored if a pixel is invalid."""
     kind = rows.schema["raster_id"].dataType.simpleString()
@@ -188,14 +254,22 @@ def encode(rows: DataFrame, data_type: str, options: writing.Options = writing.O
 
 
 def encode_bands(rows: DataFrame, data_type: str, options: writing.Options = writing.Options()) -> DataFrame:
-    """blob_id, content: the bands (column band) of each raster_id as blobs that follow one another, each with its own mask."""
+    """blob_id, content: the bands (column band) of each raster_id as blobs that follow one another.
+
+    All bands of a raster have the extent of the largest. One mask for all is stored with the first
+    band and taken over by the rest, unless no-data takes pixels out of a band; else each has its own.
+    """
     kind = rows.schema["raster_id"].dataType.simpleString()
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        parts = [grid_of(part) for _, part in frame.groupby("band", sort=True)]
-        ready = [writing.prepare(v, data_type, None if m.all() else m, options) for v, m in parts]
-        strict = options.profile == "strict"
-        blob = b"".join(writing.blob(p, strict, len(ready) - 1 - i) for i, p in enumerate(ready))
+        shape = shape_of(frame)
+        parts = [grid_of(part, shape) for _, part in frame.groupby("band", sort=True)]
+        first = parts[0][1]
+        if all(np.array_equal(m, first) for _, m in parts):
+            blob = writing.encode_bands([v for v, _ in parts], data_type, None if first.all() else first, options)
+        else:
+            ready = [writing.prepare(v, data_type, m, options) for v, m in parts]
+            blob = b"".join(writing.blob(p, options.profile == "strict", len(ready) - 1 - i) for i, p in enumerate(ready))
         return pd.DataFrame({"blob_id": [frame["raster_id"].iloc[0]], "content": [blob]})
 
     return rows.select("raster_id", "band", "y", "x", "dim", "value", "valid").groupBy("raster_id").applyInPandas(run, f"blob_id {kind}, content binary")

@@ -337,15 +337,38 @@ def lut_distinct(spark, sf_dir):
 
 
 @query(
-    "WITH w AS (SELECT event_id, i, ascii(event_type[2 * i + 1]) * 256 + ascii(event_type[2 * i + 2]) AS w, length(event_type) // 2 AS n FROM events, range(10) t(i) WHERE length(event_type) % 2 = 0 AND i < length(event_type) // 2), "
+    "WITH w AS (SELECT event_id, i, ascii(event_type[2 * i + 1]) * 256 + CASE WHEN 2 * i + 2 <= length(event_type) THEN ascii(event_type[2 * i + 2]) ELSE 0 END AS w, (length(event_type) + 1) // 2 AS n FROM events, range(10) t(i) WHERE i < (length(event_type) + 1) // 2), "
     "s AS (SELECT event_id, CAST(sum(w) % 65535 AS BIGINT) AS a, CAST(sum(w * (n - i)) % 65535 AS BIGINT) AS b FROM w GROUP BY event_id) "
     "SELECT event_id, CASE b WHEN 0 THEN 65535 ELSE b END * 65536 + CASE a WHEN 0 THEN 65535 ELSE a END AS checksum FROM s"
 )
 def checksum_fletcher32(spark, sf_dir):
-    df = rasters.table(spark, sf_dir, "events").where(F.length("event_type") % 2 == 0)
+    df = rasters.table(spark, sf_dir, "events")
     return df.select("event_id", tiles.checksum(F.col("event_type").cast("binary")).cast("long").alias("checksum"))
 
 
+@query("SELECT raster_id, y, x, CAST(value AS INT) AS value FROM " + ORDERS)
+def decode_native_i32(spark, sf_dir):
+    """Samples in the blobs' own type, put back into place by their shape."""
+    found = blobs.decode_native(blobs.encode(rasters.order_customers(spark, sf_dir), "i32"), "i32")
+    rows = found.select("blob_id", "shape", F.posexplode("samples").alias("at", "value"))
+    width = F.col("shape")[1]
+    rows = rows.select(F.col("blob_id").alias("raster_id"), F.floor(F.col("at") / width).cast("int").alias("y"), (F.col("at") % width).alias("x"), "value")
+    return rows.join(rasters.order_customers(spark, sf_dir).select("raster_id", "y", "x"), ["raster_id", "y", "x"], "left_semi")
+
+
+@query(f"SELECT raster_id, count(*) FILTER (WHERE valid) AS n_valid FROM {EVENTS} GROUP BY raster_id")
+def mask_only(spark, sf_dir):
+    """Valid pixels by the masks alone; no sample is decoded."""
+    found = blobs.encode(rasters.events(spark, sf_dir), "f64").withColumn("mask", blobs.mask_bytes("content"))
+    ones = F.length(F.regexp_replace(F.hex("mask"), "00", "")) / 2
+    return found.select(F.col("blob_id").alias("raster_id"), ones.cast("long").alias("n_valid"))
+
+
+@query(f"SELECT raster_id, CAST(band AS INT) AS frame FROM (SELECT DISTINCT raster_id FROM {EVENTS}), {_TYPES}")
+def stream_frames(spark, sf_dir):
+    """The blobs of each raster's byte stream, framed by their headers alone."""
+    found = blobs.frame_lengths(blobs.encode_bands(rasters.event_bands(spark, sf_dir), "f64"))
+    return found.where("n_bytes > 0").select(F.col("blob_id").alias("raster_id"), "frame")
 @query(
     "WITH w AS (SELECT event_id, i, ascii(event_type[2 * i + 1]) * 256 + CASE WHEN 2 * i + 2 <= length(event_type) THEN ascii(event_type[2 * i + 2]) ELSE 0 END AS w, (length(event_type) + 1) // 2 AS n FROM events, range(10) t(i) WHERE i < (length(event_type) + 1) // 2), "
     "s AS (SELECT event_id, CAST(sum(w) % 65535 AS BIGINT) AS a, CAST(sum(w * (n - i)) % 65535 AS BIGINT) AS b FROM w GROUP BY event_id) "

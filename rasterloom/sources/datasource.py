@@ -21,6 +21,7 @@ import glob
 import io
 import operator
 import os
+from urllib.parse import quote
 from collections.abc import Iterator
 
 import numpy as np
@@ -99,19 +100,20 @@ class FilteringReader(Reader):
 
 
 class StreamReader(DataSourceStreamReader):
-    """Each micro-batch reads the files that came since the last, in order of their names, a partition each."""
+    """Each micro-batch reads the files that no batch before it had, a partition each. The offset names
+    all files seen, so a file that comes late is read, whatever its name or time."""
 
     def __init__(self, options: dict):
         self.options = options
 
     def initialOffset(self):
-        return {"after": ""}
+        return {"seen": []}
 
     def latestOffset(self):
-        return {"after": max(_files(self.options["path"]), default="")}
+        return {"seen": sorted(_files(self.options["path"]))}
 
     def partitions(self, start, end):
-        return [Part(f) for f in _files(self.options["path"]) if start["after"] < f <= end["after"]]
+        return [Part(f) for f in sorted(set(end["seen"]) - set(start["seen"]))]
 
     def read(self, partition):
         yield from rows_of(partition.path, self.options)
@@ -123,7 +125,8 @@ class Message(WriterCommitMessage):
 
 
 class Writer(DataSourceWriter):
-    """Writes a column content as one file a row, named by blob_id; files appear when the job commits."""
+    """Writes a column content as one file a row, named by blob_id (escaped, as in a URL); files appear when
+    the job commits. Two rows of one blob_id are an error. Mode overwrite removes other blobs at the commit."""
 
     def __init__(self, options: dict, overwrite: bool):
         self.path, self.overwrite = options["path"].removeprefix("file://"), overwrite
@@ -134,17 +137,26 @@ class Writer(DataSourceWriter):
         os.makedirs(self.path, exist_ok=True)
         attempt, files = TaskContext.get().taskAttemptId(), []
         for row in iterator:
-            at = f"{self.path}/.{row['blob_id']}.{attempt}"
+            at = f"{self.path}/.{quote(str(row['blob_id']), safe='')}.{attempt}"
+            if at in files:
+                raise ValueError(f"two blobs are named {row['blob_id']}")
             with open(at, "wb") as f:
                 f.write(row["content"])
             files.append(at)
         return Message(files)
 
     def commit(self, messages):
-        for m in messages:
-            for f in m.files if m else []:
-                name = os.path.basename(f)[1:].rpartition(".")[0]
-                os.replace(f, f"{self.path}/{name}.blob")
+        files = [f for m in messages for f in (m.files if m else [])]
+        names = [f"{os.path.basename(f)[1:].rpartition('.')[0]}.blob" for f in files]
+        if len(set(names)) < len(names):
+            self.abort(messages)
+            raise ValueError("two blobs have one name")
+        for f, name in zip(files, names):
+            os.replace(f, f"{self.path}/{name}")
+        if self.overwrite and os.path.isdir(self.path):
+            for name in set(os.listdir(self.path)) - set(names):
+                if name.endswith(".blob"):
+                    os.remove(f"{self.path}/{name}")
 
     def abort(self, messages):
         for m in messages:
@@ -171,7 +183,3 @@ class RasterSource(DataSource):
     def writer(self, schema, overwrite):
         return Writer(dict(self.options), overwrite)
 
-
-def read_stream_bytes(data: bytes) -> list[bytes]:
-    """The blobs of a byte stream, each by its own header."""
-    return list(bands.frames(io.BytesIO(data)))

@@ -57,6 +57,47 @@ def test_write_and_stream(spark, tmp_path):
         query.stop()
 
 
+def test_late_files_odd_names_and_overwriting(spark, tmp_path):
+    spark.dataSource.register(RasterSource)
+    out = str(tmp_path / "late")
+    blob = bytearray(writing.encode(np.arange(4).reshape(2, 2), "u8"))
+    put = lambda mode, *names: spark.createDataFrame([(n, blob) for n in names], "blob_id string, content binary").write.format("rasterloom").mode(mode).save(out)
+    put("append", "m", "a/../b c")
+    start = lambda: spark.readStream.format("rasterloom").load(out).writeStream.format("memory").queryName("late_read").outputMode("append").option("checkpointLocation", str(tmp_path / "late_ck")).start()
+    query = start()
+    try:
+        query.processAllAvailable()
+        assert spark.table("late_read").count() == 2
+        put("append", "c")  # before m in order
+        query.processAllAvailable()
+        assert spark.table("late_read").count() == 3
+    finally:
+        query.stop()
+    put("overwrite", "z")
+    assert [r.path.rpartition("/")[2] for r in spark.read.format("rasterloom").load(out).collect()] == ["z.blob"]
+    with pytest.raises(Exception):
+        put("append", "same", "same")
+
+
+def test_bands_of_different_extents_null_blobs_and_native_types(spark):
+    rows = [(1, b, y, x, 0, float(10 * b + y + x), True) for b, size in ((0, 2), (1, 3)) for y in range(size) for x in range(size)]
+    source = spark.createDataFrame(rows, "raster_id long, band int, y int, x int, dim int, value double, valid boolean")
+    found = blobs.encode_bands(source, "f32")
+    got = blobs.pixels(found).where("valid").select("band", "y", "x", "value").collect()
+    assert sorted(map(tuple, got)) == sorted((r[1], r[2], r[3], r[5]) for r in rows)
+    shared = blobs.split_bands(blobs.encode_bands(source.where("band = 1").unionByName(source.where("band = 1").withColumn("band", source.band * 0)).where("x < 2 or y < 2"), "f32")).orderBy("band").collect()
+    assert [r.mask_encoding for r in shared] == ["Explicit", "External"] and shared[0].band_mask == shared[1].band_mask
+    some = found.unionByName(spark.createDataFrame([(2, None), (3, bytearray(b"junk"))], "blob_id long, content binary"))
+    assert {r.blob_id for r in blobs.pixels(some, permissive=True).collect()} == {1}
+    assert {(r.blob_id, r.error_kind is None) for r in blobs.decode(some, strict=False).collect()} == {(1, True), (2, True), (3, False)}
+    assert blobs.split_bands(some).count() == 4
+    one = blobs.encode(source.where("band = 1"), "u16")
+    assert blobs.decode_native(one, "u16").select("shape", "samples").first() == ([3, 3], [10 + 1 * k % 3 + k // 3 for k in range(9)])
+    assert one.select(blobs.mask_bytes("content")).first()[0] is None
+    with pytest.raises(Exception, match="more than one row"):
+        blobs.encode(source.where("band = 1").unionByName(source.where("band = 1")), "u8").collect()
+
+
 def test_masks_are_handed_on_between_batches(spark, tmp_path):
     first = len(writing.encode(np.array([[10, 0], [11, 12]]), "u8", MASK))
     source = tmp_path / "in"

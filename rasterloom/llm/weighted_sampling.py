@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from rasterloom.llm.common import prefer_names, shards_for, text_hash, words
 
 ROUNDS, BINS = 1, 128
-SHARD_MB = 3
+SHARD_MB = 2
 #: Ranges of doc_id are units of balance (sorts and aggregates in them spill), so their number has a bound:
 #: the driver holds so many bounds, of a sample of so many rows a range.
 MOST_RANGES, SAMPLED_A_RANGE = 50_000, 30

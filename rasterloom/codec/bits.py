@@ -18,40 +18,52 @@ def fletcher32(data) -> int:
     words = words[:, 0] << 8 | words[:, 1]
     fold = lambda s: (s & 0xFFFF) + (s >> 16)
     first = second = 0xFFFF
-    for at in range(0, len(words), WORDS_A_FOLD):
-        part = words[at : at + WORDS_A_FOLD]
-        n = len(part)
-        second = fold(second + n * first + int(part @ np.arange(n, 0, -1)))
-        first = fold(first + int(part.sum()))
+    whole = len(words) // WORDS_A_FOLD * WORDS_A_FOLD
+    parts = words[:whole].reshape(-1, WORDS_A_FOLD)
+    sums = [(WORDS_A_FOLD, *pair) for pair in zip(parts.sum(axis=1).tolist(), (parts @ np.arange(WORDS_A_FOLD, 0, -1)).tolist())]
+    if rest := len(words) - whole:
+        sums.append((rest, int(words[whole:].sum()), int(words[whole:] @ np.arange(rest, 0, -1))))
+    for n, plain, weighted in sums:
+        second = fold(second + n * first + weighted)
+        first = fold(first + plain)
     if len(raw) % 2:
         first += int(raw[-1]) << 8
         second += first
     return fold(second) << 16 & 0xFFFFFFFF | fold(first) & 0xFFFF
 
 
+def pack_rows(rows: np.ndarray, bits: int) -> np.ndarray:
+    """Each row's numbers, least significant bits first, as a row of bytes."""
+    planes = (rows.astype(np.uint32)[:, :, None] >> np.arange(bits, dtype=np.uint32)).astype(np.uint8) & 1
+    return np.packbits(planes.reshape(len(rows), -1), axis=1, bitorder="little")
+
+
 def pack_low(values: np.ndarray, bits: int) -> bytes:
     """Least significant bits first."""
-    planes = (np.asarray(values, np.uint32)[:, None] >> np.arange(bits, dtype=np.uint32)) & 1
-    return np.packbits(planes.astype(np.uint8).reshape(-1), bitorder="little").tobytes()
+    return pack_rows(np.asarray(values)[None], bits).tobytes()
 
 
-def unpack_low(data, n: int, bits: int) -> np.ndarray:
+def unpack_rows(rows: np.ndarray, n: int, bits: int, low: bool = True) -> np.ndarray:
+    """n numbers from each row of bytes: least significant bits first, or else most significant bits of
+    32-bit words first; a last word that is cut short holds its top bytes."""
     if not bits or not n:
-        return np.zeros(n, np.int64)
-    planes = np.unpackbits(np.frombuffer(data, np.uint8), count=n * bits, bitorder="little").reshape(n, bits)
-    return planes.astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))
+        return np.zeros((len(rows), n), np.int64)
+    if not low:
+        missing = -rows.shape[1] % 4
+        words = np.ascontiguousarray(np.pad(rows, ((0, 0), (0, missing)))).view("<u4")
+        words[:, -1] <<= np.uint32(8 * missing)
+        rows = words.astype(">u4").view(np.uint8)
+    planes = np.unpackbits(rows, axis=1, count=n * bits, bitorder="little" if low else "big").reshape(len(rows), n, bits)
+    weights = 2.0 ** np.arange(bits)  # sums stay below 2**53, so floats are exact
+    return (planes.astype(np.float64) @ (weights if low else weights[::-1])).astype(np.int64)
+
+
+def unpack_low(data, n: int, bits: int) -> np.ndarray:
+    return unpack_rows(np.frombuffer(data, np.uint8)[None], n, bits)[0]
 
 
 def unpack_high(data, n: int, bits: int) -> np.ndarray:
-    """Most significant bits of 32-bit words first; a last word that is cut short holds its top bytes."""
-    if not bits or not n:
-        return np.zeros(n, np.int64)
-    missing = -len(data) % 4
-    words = np.frombuffer(bytes(data) + bytes(missing), "<u4").copy()
-    if missing:
-        words[-1] = int(words[-1]) << (8 * missing) & 0xFFFFFFFF
-    planes = np.unpackbits(words.astype(">u4").view(np.uint8), count=n * bits).reshape(n, bits)
-    return planes.astype(np.int64) @ (1 << np.arange(bits - 1, -1, -1, dtype=np.int64))
+    return unpack_rows(np.frombuffer(data, np.uint8)[None], n, bits, False)[0]
 
 
 def packed_size(n: int, bits: int) -> int:
@@ -59,7 +71,7 @@ def packed_size(n: int, bits: int) -> int:
 
 
 def dequantise(n: np.ndarray, offset: float, step: float, top: float) -> np.ndarray:
-    """offset + n * step; from the level that reaches top on, top."""
+    """offset + n * step; from the level that reaches top on, top. offset and top: numbers, or a column of them."""
     if step == 0:
         return offset + n * step
     with np.errstate(over="ignore", invalid="ignore"):

@@ -42,8 +42,8 @@ def code_lengths(counts: np.ndarray) -> dict[int, tuple[int, int]] | None:
 
 def _words(text: str) -> bytes:
     """A string of binary digits as 32-bit words, most significant bit first."""
-    text += "0" * (-len(text) % 32)
-    return np.array([int(text[i : i + 32], 2) for i in range(0, len(text), 32)], "<u4").tobytes()
+    digits = np.frombuffer((text + "0" * (-len(text) % 32)).encode(), np.uint8) - ord("0")
+    return np.packbits(digits).view(">u4").astype("<u4").tobytes()
 
 
 def table_bytes(codes: dict[int, tuple[int, int]]) -> bytes:
@@ -139,23 +139,27 @@ class Stream:
         window = np.zeros(len(self.flags), np.int64)
         for k in range(quick):
             window = window << 1 | padded[k : k + len(window)]
-        known, sizes = known[window].tolist(), sizes[window].tolist()
-        out, at, end = np.zeros(n, np.int64), self.at, len(known)
+        sizes = sizes[window]
+        steps, places, longer = sizes.tolist(), [], []
+        at, end, note = self.at, len(steps), places.append
         for i in range(n):
             if at >= end:
                 fail("Truncated", "Huffman data ends early")
-            if sizes[at]:
-                out[i] = known[at]
-                at += sizes[at]
+            note(at)
+            if steps[at]:
+                at += steps[at]
                 continue
             for size in range(quick + 1, self.longest + 1):
                 s = self.codes.get((size, self._peek(at, size)))
                 if s is not None:
-                    out[i] = s
+                    longer.append((i, s))
                     at += size
                     break
             else:
                 fail("InvalidBlob", "no Huffman code fits")
+        out = known[window[places]]
+        for i, s in longer:
+            out[i] = s
         self.at = at
         return out
 

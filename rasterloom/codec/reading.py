@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 
-from rasterloom.codec import bits, huffman, masks
+from rasterloom.codec import bits, blocks, huffman, masks
 from rasterloom.codec.model import TYPES, BlobInfo, Cursor, check_allocation, dtype, fail, is_integer, through
 
 #: How the two families begin.
@@ -125,42 +125,6 @@ def has_mode_byte(data_type: str, max_z: float, version: int) -> bool:
     return takes_huffman(data_type, max_z) or version >= 6 and not is_integer(data_type) and max_z == 0
 
 
-def _tiles(cur: Cursor, info: BlobInfo, tops: np.ndarray, valid: np.ndarray, out: np.ndarray) -> None:
-    """Micro-blocks from top left, in each all dimensions. out: (height, width, depth)."""
-    micro, kind, v = info.micro_block_size, info.data_type, info.version
-    check_mask, step = 15 if v < 5 else 14, 2 * info.max_z_error
-    for y in range(0, info.height, micro):
-        for x in range(0, info.width, micro):
-            here = valid[y : y + micro, x : x + micro]
-            n, block = int(here.sum()), out[y : y + micro, x : x + micro]
-            for d in range(info.depth):
-                head = cur.one("u1")
-                diff, form = v >= 5 and bool(head & 4), head & 3
-                if head >> 2 & check_mask != x >> 3 & check_mask:
-                    fail("InvalidBlob", "a tile's check code is wrong")
-                if diff and d == 0:
-                    fail("InvalidBlob", "a difference tile in the first dimension")
-                before = block[:, :, d - 1][here] if diff else 0.0
-                if form == 2:
-                    values = before + np.zeros(n)
-                elif form == 0:
-                    if diff:
-                        fail("InvalidBlob", "a raw difference tile")
-                    values = cur.array(dtype(kind), n).astype(np.float64)
-                else:
-                    own = bits.widened("i32" if diff and is_integer(kind) else kind, head >> 6)
-                    offset = float(cur.array(dtype(own), 1)[0])
-                    if form == 3:
-                        values = np.full(n, offset)
-                    else:
-                        values = bits.read_stuffed(cur, v, micro * micro, offset, step, np.inf if diff else tops[d])
-                        if len(values) != n:
-                            fail("InvalidBlob", "a tile has another number of values than its mask")
-                    values = np.minimum(before + values, tops[d]) if diff else values
-                    values = through(values, kind)
-                block[:, :, d][here] = values
-
-
 def _huffman(cur: Cursor, info: BlobInfo, delta: bool, valid: np.ndarray, out: np.ndarray) -> None:
     shift, n = huffman.shift_of(info.data_type), info.valid_pixel_count
     stream = huffman.Stream(cur, info.version)
@@ -202,7 +166,7 @@ def _decode_2(p: Parsed, inherited: np.ndarray | None):
             uses_all = True
         else:
             tops = ranges[1] if ranges is not None else np.full(info.depth, p.raw_range[1])
-            _tiles(cur, info, tops, valid, out)
+            blocks.read(cur, info.data_type, info.version, info.micro_block_size, info.max_z_error, tops, valid, out)
     if cur.left and not uses_all:
         fail("InvalidBlob", "bytes behind the samples")
     if info.no_data_value is not None and p.encoded_no_data is not None:

@@ -7,11 +7,11 @@ where it is decided. Nothing is written before its size is known.
 from __future__ import annotations
 
 import struct
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 
-from rasterloom.codec import bits, huffman, masks
+from rasterloom.codec import bits, blocks, huffman, masks
 from rasterloom.codec.model import TYPES, dtype, fail, is_integer, through, type_range
 from rasterloom.codec.reading import MAGIC_2, has_mode_byte, takes_huffman
 
@@ -44,15 +44,6 @@ class Options:
             fail("InvalidArgument", "the strict profile has blocks of 8 and no no-data value")
 
 
-@dataclass
-class Tile:
-    form: int
-    size: int
-    data: bytes = b""
-    diff: bool = False
-    code: int = 0
-
-
 @dataclass
 class Prepared:
     data_type: str
@@ -69,7 +60,8 @@ class Prepared:
     derived: bool = False
     body: str = "constant"
     version: int = 4
-    tiles: list[tuple[int, Tile]] = field(default_factory=list)
+    tiles: tuple | None = None
+    body_size: int = 0
     code: tuple | None = None
     mask_encoding: str = "None"
     mask_data: bytes = b""
@@ -124,77 +116,27 @@ def choose_sentinel(kind: str, original: float, low: float, high: float, max_z:
     return (0.0 if original >= low else max_z), original
 
 
-def quantised(values: np.ndarray, low: float, max_z: float, requested: float) -> np.ndarray | None:
-    """Levels of values, or None if one would come back outside the requested bound."""
-    level = np.floor((values - low) * (1 / (2 * max_z)) + 0.5)
-    allowed = requested + abs(requested) * 1e-12 + 1e-12
-    return None if (np.abs(low + level * (2 * max_z) - values) > allowed).any() else level.astype(np.int64)
-
-
-def plan_tile(values: np.ndarray, kind: str, p: Prepared, diff: bool = False, table: bool = True) -> Tile | None:
-    """The smallest form; raw wins ties, a table must be strictly smaller. Differences have no raw form (None)."""
-    if not len(values):
-        return Tile(2, 1, diff=diff)
-    low, high = float(values.min()), float(values.max())
-    if low == 0 and high == 0:
-        return Tile(2, 1, diff=diff)
-    raw = None if diff else Tile(0, 1 + len(values) * dtype(p.data_type).itemsize)
-    if p.max_z > 0:
-        levels = (high - low) * (1 / (2 * p.max_z))
-    elif low == high:
-        levels = 0.0
-    else:
-        return raw
-    if not levels <= (2**15 - 1 if dtype(kind).itemsize < 4 else 2**30 - 1):
-        return raw
-    code, own = bits.narrow(low, kind)
-    offset = bits.scalar(low, own)
-    if int(levels + 0.5) == 0:
-        if high - low > p.requested:
-            return raw
-        tile = Tile(3, 1 + len(offset), offset, diff, code)
-    else:
-        level = quantised(values, low, p.max_z, p.requested)
-        if level is None:
-            return raw
-        body = bits.stuffed(level)
-        other = bits.tabled(level) if table else None
-        if other is not None and len(other) < len(body):
-            body = other
-        tile = Tile(1, 1 + len(offset) + len(body), offset + body, diff, code)
-    return raw if raw and raw.size <= tile.size else tile
-
-
-def tries_table(values: np.ndarray, all_valid: bool, max_z: float) -> bool:
-    """The strict profile's trigger: over half of the values equal the one before (zero before the first, if all of the raster is valid)."""
-    if len(values) <= 4:
-        return False
-    same = int((values[1:] == values[:-1]).sum()) + (all_valid and values[0] == 0)
-    return values.max() > values.min() + 3 * max_z and 2 * same > len(values)
-
-
-def plan_tiles(p: Prepared, micro: int, strict: bool) -> tuple[list[tuple[int, Tile]], int, int]:
-    """((column, tile) in order of writing, their size, version)."""
-    h, w, depth = p.values.shape
+def plan_tiles(p: Prepared, micro: int, strict: bool) -> tuple[tuple[list[blocks.Plan], np.ndarray, blocks.Grid], int, int]:
+    """((a plan for each dimension, the values they are of, their grid), size, version)."""
+    depth = p.values.shape[2]
+    grid = blocks.Grid(p.valid, micro)
+    values = p.values.reshape(-1, depth)[grid.pixel]
     diffs = depth > 1 and is_integer(p.data_type) and abs(p.max_z - 0.5) < 1e-5 and not strict
-    out, size, version, all_valid = [], 0, 4, bool(p.valid.all())
-    for y in range(0, h, micro):
-        for x in range(0, w, micro):
-            block = p.values[y : y + micro, x : x + micro][p.valid[y : y + micro, x : x + micro]]
-            for d in range(depth):
-                values = block[:, d]
-                tile = plan_tile(values, p.data_type, p, table=not strict or tries_table(values, all_valid, p.max_z))
-                if diffs and d:
-                    delta = values - block[:, d - 1]
-                    if not len(delta) or (delta.min() >= -(2.0**31) and delta.max() < 2.0**31):
-                        other = plan_tile(delta, "i32", p, diff=True)
-                        if other and other.size < tile.size:
-                            tile, version = other, 5
-                if tile.form == 0:
-                    tile.data = values.astype(dtype(p.data_type)).tobytes()
-                out.append((x, tile))
-                size += tile.size
-    return out, size, version
+    out, version, all_tables = [], 4, np.ones(grid.blocks, bool)
+    for d in range(depth):
+        own = values[:, d]
+        tables = blocks.repeating(own, grid, bool(p.valid.all()), p.max_z) if strict else all_tables
+        plan = blocks.plan(own, grid, p.data_type, p.data_type, p.max_z, p.requested, tables)
+        if diffs and d:
+            delta = own - values[:, d - 1]
+            other = blocks.plan(delta, grid, "i32", p.data_type, p.max_z, p.requested, all_tables, diff=True)
+            in_range = (other.low >= -(2.0**31)) & (grid.reduce(np.maximum, delta) < 2.0**31)
+            use = in_range & (other.form != blocks.NONE) & (other.size < plan.size)
+            if use.any():
+                plan.take(other, use, grid)
+                version = 5
+        out.append(plan)
+    return (out, values, grid), sum(int(x.size.sum()) for x in out), version
 
 
 def prepare(values: np.ndarray, data_type: str, mask: np.ndarray | None, options: Options, encoding: str = "Explicit") -> Prepared:
@@ -264,6 +206,7 @@ def _choose_body(p: Prepared, options: Options, no_data: float | None) -> None:
             (tiles, size, version), best, p.micro = larger, None, 2 * p.micro
     p.version = max(newest, 4 if best else version)
     total = best[0] + 1 if best else size + has_mode_byte(p.data_type, p.max_z, p.version)
+    p.body_size = 1 + min(sweep, total)
     if sweep <= total:
         p.body, p.version = "sweep", newest
     elif best:
@@ -289,11 +232,8 @@ def body_bytes(p: Prepared) -> bytes:
     if p.body == "huffman":
         _, mode, symbols, codes = p.code
         return bytes([0, mode]) + huffman.table_bytes(codes) + huffman.body(symbols, codes)
-    out = [b"\x00" + bytes(has_mode_byte(p.data_type, p.max_z, p.version))]
-    for x, t in p.tiles:
-        check = x >> 3 & (15 if p.version < 5 else 14)
-        out += [bytes([t.form | t.diff << 2 | check << 2 | t.code << 6]), t.data]
-    return b"".join(out)
+    plans, values, grid = p.tiles
+    return b"\x00" + bytes(has_mode_byte(p.data_type, p.max_z, p.version)) + blocks.written(plans, values, grid, p.data_type, p.version)
 
 
 def blob(p: Prepared, strict: bool = False, remaining: int = 0) -> bytes:
@@ -319,9 +259,8 @@ def encode(values: np.ndarray, data_type: str, mask: np.ndarray | None = None, o
     return out
 
 
-def encode_bands(bands: list[np.ndarray], data_type: str, mask: np.ndarray | None = None, options: Options = Options(), max_bytes: int | None = None) -> bytes:
-    """Bands of one shape as blobs that follow one another. A shared mask is stored with the
-    first; if no-data takes pixels out of any band, each band stores its own."""
+def prepare_bands(bands: list[np.ndarray], data_type: str, mask: np.ndarray | None, options: Options) -> list[Prepared]:
+    """A shared mask is stored with the first band; if no-data takes pixels out of any band, each stores its own."""
     if not bands:
         fail("InvalidArgument", "a band set is empty")
     if len({np.shape(b) for b in bands}) > 1:
@@ -330,12 +269,30 @@ def encode_bands(bands: list[np.ndarray], data_type: str, mask: np.ndarray | Non
     if any(p.derived for p in found):
         for p in found:
             p.mask_encoding = "Explicit"
+    return found
+
+
+def encode_bands(bands: list[np.ndarray], data_type: str, mask: np.ndarray | None = None, options: Options = Options(), max_bytes: int | None = None) -> bytes:
+    """Bands of one shape as blobs that follow one another, by the rules of prepare_bands()."""
+    found = prepare_bands(bands, data_type, mask, options)
     out = b"".join(blob(p, options.profile == "strict", len(found) - 1 - i) for i, p in enumerate(found))
     if max_bytes is not None and len(out) > max_bytes:
         fail("OutputTooSmall", f"the band set has {len(out)} bytes, {max_bytes} are there")
     return out
 
 
+def size_of(p: Prepared, strict: bool = False) -> int:
+    """The size of blob(p) from its choices, without its bytes."""
+    ranges = 2 * p.values.shape[2] * dtype(p.data_type).itemsize if p.ranges else 0
+    mask = masks.payload(p.valid.reshape(-1), p.mask_encoding, strict)
+    return 14 + 28 + 24 + (24 if p.version >= 6 else 0) + 4 + len(mask) + ranges + p.body_size
+
+
 def encoded_size(values: np.ndarray, data_type: str, mask: np.ndarray | None = None, options: Options = Options()) -> int:
-    """The exact size of encode()'s blob."""
-    return len(encode(values, data_type, mask, options))
+    """The exact size of encode()'s blob, which isn't made."""
+    return size_of(prepare(values, data_type, mask, options), options.profile == "strict")
+
+
+def encoded_bands_size(bands: list[np.ndarray], data_type: str, mask: np.ndarray | None = None, options: Options = Options()) -> int:
+    """The exact size of encode_bands()'s set, which isn't made."""
+    return sum(size_of(p, options.profile == "strict") for p in prepare_bands(bands, data_type, mask, options))

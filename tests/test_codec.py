@@ -246,3 +246,30 @@ def test_type_widths():
     assert [dtype(t).itemsize for t in TYPES] == [1, 1, 2, 2, 4, 4, 4, 8]
     assert through(np.array([200.7, -3.9, -500, np.nan]), "i8").tolist() == [127, -3, -128, 0]
     assert huffman.code_lengths(np.array([5])) == {0: (1, 0)}
+
+
+@pytest.mark.parametrize("kind,e,no_data", (("f32", 0.25, None), ("f32", 0.25, -9999.0), ("u8", 0.5, None), ("i32", 0.5, 7.0)))
+@pytest.mark.parametrize("masked", (False, True))
+def test_sizes_of_band_sets_without_their_bytes(kind, e, no_data, masked):
+    rng = np.random.default_rng(3)
+    bands_ = [np.cumsum(rng.integers(0, 3, (21, 34, 2)), axis=1).astype(float) for _ in range(3)]
+    if no_data is not None:
+        bands_[1][rng.random((21, 34)) < 0.2] = no_data
+        bands_[2][rng.random((21, 34, 2)) < 0.2] = no_data
+    mask = rng.random(21 * 34) < 0.8 if masked else None
+    options = Options(e, 8, no_data)
+    assert writing.encoded_bands_size(bands_, kind, mask, options) == len(writing.encode_bands(bands_, kind, mask, options))
+
+
+@pytest.mark.parametrize("low", (True, False))
+@pytest.mark.parametrize("wide", (1, 7, 8, 17, 31))
+def test_rows_of_packed_numbers(low, wide):
+    rng = np.random.default_rng(wide)
+    rows = rng.integers(0, 1 << wide, (5, 13))
+    if low:
+        packed = bits.pack_rows(rows, wide)
+    else:  # most significant bit first, in 32-bit words whose bytes are reversed
+        text = ["".join(f"{v:0{wide}b}" for v in row) for row in rows.tolist()]
+        words = [[t[i : i + 32].ljust(32, "0") for i in range(0, len(t), 32)] for t in text]
+        packed = np.array([[int(w, 2) for w in row] for row in words], "<u4").view(np.uint8)
+    assert (bits.unpack_rows(packed, 13, wide, low) == rows).all()

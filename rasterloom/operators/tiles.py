@@ -10,7 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterloom.codec.writing import GRIDS
+from rasterloom.codec.bits import NARROWER
+from rasterloom.codec.model import dtype, type_range
+from rasterloom.codec.reading import takes_huffman
+from rasterloom.codec.writing import GRIDS, LARGEST_BLOCK
 
 BLOCK = ["raster_id", "by", "bx", "dim"]
 
@@ -53,18 +56,23 @@ def dequantised(level: Column, offset: Column, step: float, top: Column) -> Colu
 
 def offset_bytes(low: Column, data_type: str) -> Column:
     """Bytes of the narrowest type that holds a block's offset exactly."""
-    whole = low == F.floor(low)
-    fits = lambda a, b: whole & low.between(a, b)
-    if data_type == "i32":
-        return F.when(fits(0, 255), 1).when(fits(-32768, 65535), 2).otherwise(4)
-    if data_type == "f64":
-        return F.when(fits(-32768, 32767), 2).when(fits(-(2**31), 2**31 - 1) | (low.cast("float").cast("double") == low), 4).otherwise(8)
-    raise ValueError(data_type)
-
-
-def tile_plan(pixels: DataFrame, error: float, data_type: str, micro: int = 8) -> DataFrame:
-    """Form (2 zero, 3 constant, 1 stuffed, 0 raw), bytes and whether a table is used, for each block with a valid sample."""
-    width = {"i32": 4, "f64": 8}[data_type]
+
+    def fits(name: str) -> Column:
+        if name == "f32":
+            return low.cast("float").cast("double") == low
+        return (low == F.floor(low)) & low.between(*type_range(name))
+
+    found = F.lit(dtype(data_type).itemsize)
+    for name, _ in reversed(NARROWER[data_type]):
+        found = F.when(fits(name), dtype(name).itemsize).otherwise(found)
+    return found
+
+
+def tile_plan(pixels: DataFrame, error: float, data_type: str, micro: int = 8, requested: float | None = None) -> DataFrame:
+    """Form (2 zero, 3 constant, 1 stuffed, 0 raw), bytes and whether a table is used, for each block with a
+    valid sample, of any of the eight types. error: above zero and, for whole numbers, as effective_error()
+    gives it; requested (error where not given): what no sample may be off by."""
+    requested, width = error if requested is None else requested, dtype(data_type).itemsize
     rows = quantised(pixels, error, micro)
     found = rows.groupBy(*BLOCK).agg(
         F.count(F.lit(1)).alias("n"),
@@ -82,11 +90,11 @@ def tile_plan(pixels: DataFrame, error: float, data_type: str, micro: int = 8) -
     tabled = F.col("others").between(1, 254) & (table < simple)
     stuffed = F.when(tabled, table).otherwise(simple)
     levels = (high - low) * F.lit(1 / (2 * error))
-    bounded = F.col("worst") <= F.lit(error + error * 1e-12 + 1e-12)
+    bounded = F.col("worst") <= F.lit(requested + requested * 1e-12 + 1e-12)
     form = (
         F.when((low == 0) & (high == 0), 2)
-        .when(levels > 2.0**30 - 1, 0)
-        .when(F.floor(levels + 0.5) == 0, F.when(high - low > error, 0).when(raw <= 1 + offset, 0).otherwise(3))
+        .when(levels > most_levels(data_type), 0)
+        .when(F.floor(levels + 0.5) == 0, F.when(high - low > requested, 0).when(raw <= 1 + offset, 0).otherwise(3))
         .when(~bounded | (raw <= stuffed), 0)
         .otherwise(1)
     )
@@ -95,6 +103,34 @@ def tile_plan(pixels: DataFrame, error: float, data_type: str, micro: int = 8) -
     return found.select(*BLOCK, "n", "form", size.cast("long").alias("bytes"), ((F.col("form") == 1) & tabled).alias("tabled"))
 
 
+def most_levels(data_type: str) -> float:
+    return 2.0 ** (15 if dtype(data_type).itemsize < 4 else 30) - 1
+
+
+def body_choice(pixels: DataFrame, error: float, data_type: str, micro: int = 8) -> DataFrame:
+    """(raster_id, body, micro, bytes): what a raster's samples are written as: constant, a sweep of all
+    valid samples, or tiles, with the micro-block doubled where that is no larger. Of one dimension, with an
+    error above zero, where Huffman coding can't apply. All candidates' sizes are aggregates."""
+    if takes_huffman(data_type, error):
+        raise ValueError("samples that Huffman coding may apply to")
+    shape = pixels.groupBy("raster_id").agg(
+        (F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"), F.count_if("valid").alias("valid"),
+        F.min(F.when(F.col("valid"), F.col("value"))).alias("least"), F.max(F.when(F.col("valid"), F.col("value"))).alias("most"),
+    )
+    for name, side in (("small", micro), ("large", 2 * micro)):
+        sizes = tile_plan(pixels, error, data_type, side).groupBy("raster_id").agg(F.sum("bytes").alias(name), F.count(F.lit(1)).alias(f"{name}_n"))
+        blocks_ = F.ceil(F.col("h") / side) * F.ceil(F.col("w") / side)  # one without a valid sample takes a byte
+        shape = shape.join(sizes, "raster_id", "left").withColumn(name, F.coalesce(name, F.lit(0)) + blocks_ - F.coalesce(f"{name}_n", F.lit(0)))
+    small, large, sweep = F.col("small"), F.col("large"), F.col("valid") * dtype(data_type).itemsize
+    larger = (F.lit(2 * micro) <= LARGEST_BLOCK) & (8 * small < 1.5 * F.col("h") * F.col("w")) & (small < 4 * sweep) & (F.greatest("h", "w") > micro) & (large <= small)
+    tiled = F.when(larger, large).otherwise(small)
+    constant = F.coalesce(F.col("least") == F.col("most"), F.lit(True))
+    body = F.when(constant, "constant").when(sweep <= tiled, "sweep").otherwise("tiles")
+    size = F.when(constant, 0).otherwise(1 + F.least(sweep, tiled))
+    side = F.when(~constant & larger, 2 * micro).otherwise(micro)
+    return shape.select("raster_id", body.alias("body"), side.alias("micro"), size.cast("long").alias("bytes"))
+
+
 def tile_offsets(plan: DataFrame) -> DataFrame:
     """Each tile's place in its raster's body: the bytes of the tiles before it."""
     before = Window.partitionBy("raster_id").orderBy("by", "bx", "dim").rowsBetween(Window.unboundedPreceding, -1)

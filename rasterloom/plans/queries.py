@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.codec import writing
+from rasterloom.codec.bits import NARROWER
+from rasterloom.codec.model import dtype, type_range
 from rasterloom.functions import blobs
 from rasterloom.operators import tiles
 from rasterloom.sources import rasters
@@ -91,15 +93,17 @@ def tile_stats(spark, sf_dir):
     return tiles.tile_stats(rasters.events(spark, sf_dir))
 
 
-_LEVELS = f"SELECT *, CAST(floor((value - low) * (1 / (2 * 0.5)) + 0.5) AS BIGINT) AS level FROM (SELECT *, {BLOCKS}, min(value) OVER (PARTITION BY raster_id, y // 8, x // 8, dim) AS low FROM {{rows}} WHERE valid)"
+def _levels_sql(rows: str, error: float = 0.5, micro: int = 8) -> str:
+    inner = f"SELECT *, y // {micro} AS by, x // {micro} AS bx, min(value) OVER (PARTITION BY raster_id, y // {micro}, x // {micro}, dim) AS low FROM {rows} WHERE valid"
+    return f"SELECT *, CAST(floor((value - low) * CAST({1 / (2 * error)!r} AS DOUBLE) + 0.5) AS BIGINT) AS level FROM ({inner})"
 
 
-@query(f"SELECT raster_id, y, x, dim, low, level FROM ({_LEVELS.format(rows=EVENTS)})")
+@query(f"SELECT raster_id, y, x, dim, low, level FROM ({_levels_sql(EVENTS)})")
 def quantize_tiles(spark, sf_dir):
     return tiles.quantised(rasters.events(spark, sf_dir), 0.5).select("raster_id", "y", "x", "dim", "low", "level")
 
 
-@query(f"SELECT raster_id, y, x, dim, CASE WHEN level < ceil((high - low) / 1.0) THEN low + level * 1.0 ELSE high END AS value FROM (SELECT *, max(value) OVER (PARTITION BY raster_id) AS high FROM ({_LEVELS.format(rows=EVENTS)}))")
+@query(f"SELECT raster_id, y, x, dim, CASE WHEN level < ceil((high - low) / 1.0) THEN low + level * 1.0 ELSE high END AS value FROM (SELECT *, max(value) OVER (PARTITION BY raster_id) AS high FROM ({_levels_sql(EVENTS)}))")
 def dequantize_tiles(spark, sf_dir):
     from pyspark.sql import Window
 
@@ -107,26 +111,31 @@ def dequantize_tiles(spark, sf_dir):
     return rows.select("raster_id", "y", "x", "dim", tiles.dequantised(F.col("level"), F.col("low"), 1.0, F.col("high")).alias("value"))
 
 
-def _plan_sql(rows: str, kind: str) -> str:
-    width = {"i32": 4, "f64": 8}[kind]
-    offset = (
-        "CASE WHEN low = floor(low) AND low BETWEEN 0 AND 255 THEN 1 WHEN low = floor(low) AND low BETWEEN -32768 AND 65535 THEN 2 ELSE 4 END"
-        if kind == "i32"
-        else "CASE WHEN low = floor(low) AND low BETWEEN -32768 AND 32767 THEN 2 WHEN low = floor(low) AND low BETWEEN -2147483648 AND 2147483647 OR CAST(CAST(low AS FLOAT) AS DOUBLE) = low THEN 4 ELSE 8 END"
-    )
+def _plan_sql(rows: str, kind: str, error: float = 0.5, micro: int = 8) -> str:
+    width = dtype(kind).itemsize
+
+    def fits(name: str) -> str:
+        if name == "f32":
+            return "CAST(CAST(low AS FLOAT) AS DOUBLE) = low"
+        least, most = type_range(name)
+        return f"low = floor(low) AND low BETWEEN {least:.0f} AND {most:.0f}"
+
+    cases = "".join(f" WHEN {fits(name)} THEN {dtype(name).itemsize}" for name, _ in NARROWER[kind])
+    offset = f"CASE{cases} ELSE {width} END" if cases else f"{width}"
     bits = lambda c: f"CASE WHEN {c} = 0 THEN 0 ELSE length(bin({c})) END"
+    real = lambda x: f"CAST({x!r} AS DOUBLE)"
     return f"""
-WITH q AS ({_LEVELS.format(rows=rows)}),
+WITH q AS ({_levels_sql(rows, error, micro)}),
 b AS (SELECT raster_id, "by", bx, dim, count(*) AS n, min(value) AS low, max(value) AS high, max(level) AS top, count(DISTINCT level) - 1 AS others,
-             max(abs(low + level * 1.0 - value)) AS worst FROM q GROUP BY raster_id, "by", bx, dim),
+             max(abs(low + level * {real(2 * error)} - value)) AS worst FROM q GROUP BY raster_id, "by", bx, dim),
 s AS (SELECT *, {offset} AS o, 1 + n * {width} AS raw, CASE WHEN n <= 255 THEN 1 WHEN n <= 65535 THEN 2 ELSE 4 END AS c,
              CAST({bits('top')} AS BIGINT) AS tb, CAST({bits('others')} AS BIGINT) AS ob FROM b),
 t AS (SELECT *, 2 + o + c + (n * tb + 7) // 8 AS simple, 3 + o + c + (others * tb + 7) // 8 + (n * ob + 7) // 8 AS tab FROM s),
 u AS (SELECT *, others BETWEEN 1 AND 254 AND tab < simple AS use_tab FROM t),
-v AS (SELECT *, CASE WHEN use_tab THEN tab ELSE simple END AS stuffed, (high - low) * 1.0 AS levels FROM u),
-f AS (SELECT *, CASE WHEN low = 0 AND high = 0 THEN 2 WHEN levels > 1073741823 THEN 0
-                     WHEN floor(levels + 0.5) = 0 THEN CASE WHEN high - low > 0.5 OR raw <= 1 + o THEN 0 ELSE 3 END
-                     WHEN worst > 0.5 + 0.5e-12 + 1e-12 OR raw <= stuffed THEN 0 ELSE 1 END AS form FROM v)
+v AS (SELECT *, CASE WHEN use_tab THEN tab ELSE simple END AS stuffed, (high - low) * {real(1 / (2 * error))} AS levels FROM u),
+f AS (SELECT *, CASE WHEN low = 0 AND high = 0 THEN 2 WHEN levels > {2 ** (15 if width < 4 else 30) - 1} THEN 0
+                     WHEN floor(levels + 0.5) = 0 THEN CASE WHEN high - low > {real(error)} OR raw <= 1 + o THEN 0 ELSE 3 END
+                     WHEN worst > {real(error + error * 1e-12 + 1e-12)} OR raw <= stuffed THEN 0 ELSE 1 END AS form FROM v)
 SELECT raster_id, "by", bx, dim, n, CAST(form AS INT) AS form, CAST(CASE form WHEN 2 THEN 1 WHEN 0 THEN raw WHEN 3 THEN 1 + o ELSE stuffed END AS BIGINT) AS bytes, form = 1 AND use_tab AS tabled FROM f"""
 
 
@@ -140,6 +149,52 @@ def tile_plan_i32(spark, sf_dir):
     return tiles.tile_plan(rasters.order_customers(spark, sf_dir), 0.5, "i32")
 
 
+def _plan_query(kind: str, error: float, sql: str, value: Callable[[], object]) -> None:
+    """A plan of each further type: orders, in rasters of 150 columns, with a value made of the customer."""
+
+    def run(spark, sf_dir):
+        return tiles.tile_plan(rasters.from_key(rasters.table(spark, sf_dir, "orders"), "o_orderkey", 150, [value()]), error, kind)
+
+    rows = f"({_KEYED.format(key='o_orderkey', width=150)}, CAST(0 AS INT) AS dim, CAST({sql} AS DOUBLE) AS value, true AS valid FROM orders)"
+    run.__name__ = f"tile_plan_{kind}"
+    query(_plan_sql(rows, kind, error))(run)
+
+
+_plan_query("u8", 0.5, "o_custkey % 23", lambda: F.col("o_custkey") % 23)
+_plan_query("i8", 3.0, "o_custkey % 200 - 100", lambda: F.col("o_custkey") % 200 - 100)
+_plan_query("i16", 2.0, "o_custkey % 3000 - 1500", lambda: F.col("o_custkey") % 3000 - 1500)
+_plan_query("u16", 0.5, "(o_custkey % 40) * 1600", lambda: F.col("o_custkey") % 40 * 1600)
+_plan_query("u32", 7.0, "o_custkey * 1000", lambda: F.col("o_custkey") * 1000)
+_plan_query("f32", 0.125, "CAST(o_totalprice AS FLOAT)", lambda: F.col("o_totalprice").cast("float"))
+
+#: Rasters of 20 columns and 32 rows that take each body in turn: many values, few values, one value, and wide ones.
+_BODY_VALUE = "CASE o_orderkey // 640 % 4 WHEN 0 THEN o_custkey WHEN 1 THEN o_orderkey % 640 // 320 WHEN 2 THEN 7 ELSE (o_custkey * 7919 % 65536) * 30000 END"
+_BODIES = f"(SELECT o_orderkey // 640 AS raster_id, CAST(o_orderkey % 640 // 20 AS INT) AS y, CAST(o_orderkey % 20 AS INT) AS x, CAST(0 AS INT) AS dim, CAST({_BODY_VALUE} AS DOUBLE) AS value, true AS valid FROM orders)"
+
+
+def _bodies(spark, sf_dir) -> DataFrame:
+    return rasters.from_key(rasters.table(spark, sf_dir, "orders"), "o_orderkey", 20, [F.expr(_BODY_VALUE.replace("//", "DIV"))], strip=32)
+
+
+@query(
+    f"WITH a AS (SELECT raster_id, sum(bytes) AS small, count(*) AS small_n FROM ({_plan_sql(_BODIES, 'i32')}) GROUP BY raster_id), c AS (SELECT raster_id, sum(bytes) AS large, count(*) AS large_n FROM ({_plan_sql(_BODIES, 'i32', micro=16)}) GROUP BY raster_id), "
+    f"p AS (SELECT raster_id, max(y) + 1 AS h, max(x) + 1 AS w, count(*) AS valid, min(value) = max(value) AS constant FROM {_BODIES} GROUP BY raster_id), "
+    "s AS (SELECT *, small + ((h + 7) // 8) * ((w + 7) // 8) - small_n AS s8, large + ((h + 15) // 16) * ((w + 15) // 16) - large_n AS s16, 4 * valid AS sweep FROM p JOIN a USING (raster_id) JOIN c USING (raster_id)), "
+    "t AS (SELECT *, 8 * s8 < 1.5 * h * w AND s8 < 4 * sweep AND greatest(h, w) > 8 AND s16 <= s8 AS larger FROM s), u AS (SELECT *, CASE WHEN larger THEN s16 ELSE s8 END AS tiled FROM t) "
+    "SELECT raster_id, CASE WHEN constant THEN 'constant' WHEN sweep <= tiled THEN 'sweep' ELSE 'tiles' END AS body, CAST(CASE WHEN NOT constant AND larger THEN 16 ELSE 8 END AS INT) AS micro, "
+    "CAST(CASE WHEN constant THEN 0 ELSE 1 + least(sweep, tiled) END AS BIGINT) AS bytes FROM u"
+)
+def plan_choice(spark, sf_dir):
+    return tiles.body_choice(_bodies(spark, sf_dir), 0.5, "i32")
+
+
+@query(f"SELECT raster_id, y, x, value FROM {_BODIES}")
+def plan_choice_decoded(spark, sf_dir):
+    """What comes back from each kind of body; the orders alone, without padding."""
+    found = _round_trip(_bodies(spark, sf_dir), "i32", writing.Options(0.5)).select("raster_id", "y", "x", "value")
+    return found.join(_bodies(spark, sf_dir).select("raster_id", "y", "x"), ["raster_id", "y", "x"], "left_semi")
+
+
 @query(f"SELECT raster_id, \"by\", bx, dim, CAST(coalesce(sum(bytes) OVER (PARTITION BY raster_id ORDER BY \"by\", bx, dim ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at FROM ({_plan_sql(ORDERS, 'i32')})")
 def tile_offsets(spark, sf_dir):
     plan = tiles.tile_plan(rasters.order_customers(spark, sf_dir), 0.5, "i32")
@@ -231,6 +286,12 @@ def nodata_roundtrip(spark, sf_dir):
     return _round_trip(_no_data(spark, sf_dir), "f64", writing.Options(0.0, 8, -9999.0))
 
 
+@query(f"SELECT raster_id, y, x, dim, value FROM (SELECT *, min(abs(value + 9999)) OVER (PARTITION BY raster_id, y, x) AS a, max(abs(value + 9999)) OVER (PARTITION BY raster_id, y, x) AS b FROM {_ND}) WHERE b > 0")
+def nodata_remapped(spark, sf_dir):
+    """With an error bound, the sentinel is stored as another value and put back; whole numbers lie on the levels of 0.25."""
+    return _round_trip(_no_data(spark, sf_dir), "f64", writing.Options(0.25, 8, -9999.0))
+
+
 @query(f"SELECT raster_id, CAST(6 AS INT) AS version, CAST(-1 AS DOUBLE) AS z_min, CAST(-9999 AS DOUBLE) AS no_data_value FROM {_ND} GROUP BY raster_id")
 def nodata_header(spark, sf_dir):
     found = blobs.encode(_no_data(spark, sf_dir), "f64", writing.Options(0.25, 8, -9999.0)).withColumn("i", blobs.inspect(F.col("content")))
@@ -433,6 +494,20 @@ def validate_malformed(spark, sf_dir):
     return found.select("name", "i.error_kind", "i.error_message")
 
 
+@query(f"SELECT raster_id, CASE raster_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'InvalidMagic' WHEN 2 THEN 'UnsupportedVersion' WHEN 3 THEN 'ChecksumMismatch' WHEN 4 THEN 'Truncated' ELSE 'InvalidHeader' END AS error_kind FROM {_BODIES} GROUP BY raster_id")
+def inspect_damaged(spark, sf_dir):
+    """A kind of damage for each raster's blob in turn, by binary functions; damage is a row, not the end of a task."""
+    content, digits = F.col("content"), F.hex("content")
+    put = lambda at, new: F.unhex(F.concat(F.substring(digits, 1, 2 * at), F.lit(new), F.substring(digits, 2 * at + len(new) + 1, 1 << 30)))
+    kind = F.col("blob_id") % 6
+    damaged = (
+        F.when(kind == 1, put(0, "58")).when(kind == 2, put(6, "63000000")).when(kind == 3, put(10, "00000000"))
+        .when(kind == 4, F.substring(content, F.lit(1), F.length(content) - 1)).when(kind == 5, put(14, "00000000")).otherwise(content)
+    )
+    found = blobs.encode(_bodies(spark, sf_dir), "i32", writing.Options(0.5)).select(F.col("blob_id").alias("raster_id"), damaged.alias("content"))
+    return found.select("raster_id", blobs.inspect(F.col("content"))["error_kind"].alias("error_kind"))
+
+
 @query("SELECT 'u8' AS data_type, CAST(30 AS BIGINT) AS width, CAST(20 AS BIGINT) AS height")
 def encode_errors_permissive(spark, sf_dir):
     content = bytearray(writing.encode(np.arange(600, dtype=float).reshape(20, 30) % 7, "u8"))

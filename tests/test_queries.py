@@ -56,3 +56,20 @@ def test_checksums_of_all_lengths(spark):
     got = spark.createDataFrame([(k, bytearray(r)) for k, r in enumerate(raws)], "k int, content binary").select("k", tiles.checksum(F.col("content")).cast("long").alias("c"))
     assert {r.k: r.c for r in got.collect()} == {k: bits.fletcher32(r) for k, r in enumerate(raws)}
     assert queries.checksum_fletcher32_all(spark, SF).count() == queries.rasters.table(spark, SF, "events").count()
+
+
+def test_bodies_are_those_of_the_blobs(spark):
+    """Predicted sizes against real blobs: an i32 of one dimension has 66 bytes of header, 4 for the mask's size, 8 of ranges unless constant."""
+    from pyspark.sql import functions as F
+
+    from rasterloom.codec import writing
+    from rasterloom.functions import blobs
+
+    pixels = queries._bodies(spark, "/root/testdata/sf0.01")
+    plan = {r.raster_id: r for r in queries.tiles.body_choice(pixels, 0.5, "i32").collect()}
+    found = blobs.encode(pixels, "i32", writing.Options(0.5)).select("blob_id", F.length("content").alias("n"), blobs.inspect(F.col("content")).alias("i")).collect()
+    assert {p.body for p in plan.values()} == {"constant", "sweep", "tiles"} and {p.micro for p in plan.values()} == {8, 16}
+    for r in found:
+        p = plan[r.blob_id]
+        if r.i.mask_encoding == "None":
+            assert r.n == 70 + (8 if p.body != "constant" else 0) + p.bytes and (p.body != "tiles" or r.i.micro_block_size == p.micro)

@@ -17,7 +17,9 @@ token that nothing is known of has a log ratio of 0. Hosts and paths have counts
 own. Rules do not train either class: they block by place and language, not by what a site
 is. Without a rule a page is blocked if the prior (the classes' hosts) and its tokens' log
 ratios sum to over 0. Scores of hosts and of path shapes are made once for each distinct
-one and joined back.
+one and joined back: those of hosts and shapes with over 1/``HOT_PARTS`` of all pages by
+broadcast (fewer than ``HOT_PARTS`` rows, whatever the input), all others by a shuffle in
+which the pages of the hot ones are dealt by page.
 """
 
 from __future__ import annotations
@@ -66,6 +68,8 @@ SEEDS = tuple(w for w in UNWANTED if w not in AMBIGUOUS)
 LISTED_COUNTS, SMOOTHING = 20, 4.0
 #: So often does each listed word count where names are split.
 LISTED_COUNT = 1000
+#: A host or path shape is hot with over this part of all pages.
+HOT_PARTS = 1000
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -144,6 +148,22 @@ def segment(names: DataFrame, counts: DataFrame) -> DataFrame:
     return names.join(known, "name", "left").select("name", "words", "ns").mapInArrow(run, "name string, tokens array<string>")
 
 
+def with_scores(rows: DataFrame, scores: DataFrame, key: str, counts: DataFrame) -> DataFrame:
+    """rows with the columns of scores (one row a key at most), null where a key has none.
+
+    counts has the pages of each key, in one row or more. A hot key meets its rows where
+    they are, so that no task gets more than its share of them.
+    """
+    own = [c for c in scores.columns if c != key]
+    total = counts.agg(F.sum("pages")).first()[0] or 0
+    hot = counts.groupBy(key).agg(F.sum("pages").alias("pages")).where(F.col("pages") * HOT_PARTS > total).select(key)
+    hot = hot.join(scores, key, "left").select(key, F.struct(*own).alias("hot"))
+    rows = rows.join(F.broadcast(hot), key, "left")
+    deal = F.when(F.col("hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("page_id", "path"), F.lit(1 << 20)))
+    rows = rows.withColumn("deal", deal.cast("long")).join(scores.withColumn("deal", F.lit(0).cast("long")), [key, "deal"], "left")
+    return rows.select(*[F.coalesce(F.col(f"hot.{c}"), F.col(c)).alias(c) if c in own else F.col(c) for c in rows.columns if c not in ("hot", "deal")])
+
+
 def judge(pages: DataFrame, texts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, score and tokens for each row of pages.
 
@@ -156,7 +176,7 @@ def judge(pages: DataFrame, texts: DataFrame, rules: tuple[Rule, ...] = RULES) -
     rows = prefer_names(pages, "page_id", "url").select("page_id", host.alias("host"), path.alias("path"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.select("*", name.alias("rule"), verdict.alias("ruled"), path_shape(F.col("path")).alias("shape"))
-    shapes = written(rows.select("host", "shape", "ruled").distinct(), "url-shapes")
+    shapes = written(rows.groupBy("host", "shape", "ruled").agg(F.count(F.lit(1)).alias("pages")), "url-shapes")
     hosts = shapes.select("host").distinct().withColumn("names", host_names(F.col("host")))
     paths = shapes.select("shape").distinct().withColumn("names", F.array_remove(F.split("shape", " "), ""))
     names = hosts.select(F.explode("names").alias("name")).unionByName(paths.select(F.explode("names").alias("name"))).distinct()
@@ -196,7 +216,8 @@ def judge(pages: DataFrame, texts: DataFrame, rules: tuple[Rule, ...] = RULES) -
         found = owned.join(ratios.where(F.col("field") == key), "token", "left")
         return found.groupBy(key).agg(F.sum(F.col("n") * F.coalesce("ratio", F.lit(0.0))).alias(score), F.sort_array(F.collect_set("token")).alias(f"{key}_tokens"))
 
-    rows = rows.join(scores(host_tokens, "host", "host_score"), "host", "left").join(scores(path_tokens, "shape", "path_score"), "shape", "left")
+    for key, owned, score in (("host", host_tokens, "host_score"), ("shape", path_tokens, "path_score")):
+        rows = with_scores(rows, written(scores(owned, key, score), f"{key}-scores"), key, shapes)
     # Rounded, so that the order of sums can't tip a verdict.
     score = F.round(F.coalesce("host_score", F.lit(0.0)) + F.coalesce("path_score", F.lit(0.0)) + prior, 6)
     rows = rows.withColumn("score", F.when(F.col("host_score").isNull() & F.col("path_score").isNull(), 0.0).otherwise(score))

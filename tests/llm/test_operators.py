@@ -12,7 +12,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from rasterloom.llm import bitplanes, components, packing, quality_rules, simhash, suffix_dedup, tokens, toxicity, url_filter, warc, weighted_sampling, wfst
+from rasterloom.llm import bitplanes, components, packing, quality_rules, queries, simhash, suffix_dedup, tokens, toxicity, url_filter, warc, weighted_sampling, wfst
 from tests.llm import brute
 
 WORD_BPE, BYTE_BPE, PIECES = "word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -570,6 +570,27 @@ def test_unwanted_words_are_learned_from_the_pages(spark, frame):
     assert all(v == "allow" for h, v in got.items() if h.startswith("site"))
 
 
+def test_url_query_is_that_of_brute_force(spark):
+    """The whole query over whole tables, each page's host, path, rule and verdict."""
+    sf_dir = "/root/testdata/sf0.001"
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in queries.op7_url_filter(spark, sf_dir).collect()}
+    pages = [(r.page_id, r.url) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    rules = [(r.host, r.path, r.verdict) for r in url_filter.RULES]
+    assert got == brute.url_verdicts(pages, texts, rules, set(url_filter.SEEDS), url_filter.UNWANTED)
+    assert {"allow", "block"} == {v for _, _, rule, v in got.values() if rule is None}
+
+
+@pytest.mark.parametrize("parts", (1, 3))
+def test_hot_hosts_meet_their_scores(spark, frame, monkeypatch, parts):
+    """With whatever limit of hot keys, each page gets the verdict, score and tokens of its host and shape."""
+    urls = [None, "x", *[f"http://casino.example.com/en/{k}" for k in range(60)], *[f"http://site{k % 7}.example.com/{'abc'[k % 3]}/{k}" for k in range(60)]]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    want = sorted(map(repr, url_filter.judge(pages, frame).collect()))
+    monkeypatch.setattr(url_filter, "HOT_PARTS", parts)
+    assert sorted(map(repr, url_filter.judge(pages, frame).collect())) == want and len(want) == len(urls)
+
+
 def test_viterbi():
     counts = {"the": 50, "them": 20, "me": 30, "park": 10, "mepark": 1}
     assert url_filter.viterbi("themepark", counts, 200) == ["the", "me", "park"]

@@ -193,13 +193,26 @@ def frame_lengths(blobs: DataFrame, content: str = "content") -> DataFrame:
     return blobs.select("blob_id", content).mapInPandas(run, f"blob_id {_id_type(blobs)}, frame int, n_bytes long")
 
 
+def _samples(blob_id, id_type, band: int, b: bands.Band) -> Iterator:
+    """Record batches of a row for each sample of one band."""
+    import pyarrow as pa
+
+    h, w, depth = b.values.shape
+    y, x, d = np.indices((h, w, depth), dtype=np.int32).reshape(3, -1)
+    ok = np.repeat(np.ones(h * w, bool) if b.mask is None else b.mask, depth)
+    values = b.values.reshape(-1)
+    for at in range(0, len(values), CHUNK_ROWS):
+        part = slice(at, at + CHUNK_ROWS)
+        n = len(values[part])
+        cols = [pa.array([blob_id] * n, id_type), pa.array(np.full(n, band, np.int32)), y[part], x[part], d[part], values[part], ok[part]]
+        yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], names=["blob_id", "band", "y", "x", "dim", "value", "valid"])
+
+
 def pixels(blobs: DataFrame, permissive: bool = False) -> DataFrame:
     """A row for each sample of each band; invalid pixels have value 0. A null blob has no rows.
     An error ends the task with it; permissive: a blob with an error has no rows."""
 
     def run(batches):
-        import pyarrow as pa
-
         for batch in batches:
             for blob_id, content, mask in zip(*[c.to_pylist() for c in batch.columns]):
                 try:
@@ -209,20 +222,61 @@ def pixels(blobs: DataFrame, permissive: bool = False) -> DataFrame:
                         raise
                     found = []
                 for band, b in enumerate(found):
-                    h, w, depth = b.values.shape
-                    y, x, d = np.indices((h, w, depth), dtype=np.int32).reshape(3, -1)
-                    ok = np.ones(h * w, bool) if b.mask is None else b.mask
-                    ok = np.repeat(ok, depth)
-                    values = b.values.reshape(-1)
-                    for at in range(0, len(values), CHUNK_ROWS):
-                        part = slice(at, at + CHUNK_ROWS)
-                        n = len(values[part])
-                        cols = [pa.array([blob_id] * n, batch.schema.field(0).type), pa.array(np.full(n, band, np.int32)), y[part], x[part], d[part], values[part], ok[part]]
-                        yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], names=["blob_id", "band", "y", "x", "dim", "value", "valid"])
+                    yield from _samples(blob_id, batch.schema.field(0).type, band, b)
 
     return _with_mask(blobs).mapInArrow(run, PIXELS.format(id=_id_type(blobs)))
 
 
+def pixels_by_band(blobs: DataFrame) -> DataFrame:
+    """As pixels(), with the bands of a set decoded side by side: headers and masks are read where the set is,
+    then each band, still compressed, goes to a task with the mask that it takes over."""
+    schema = f"blob_id {_id_type(blobs)}, band int, content binary, mask binary"
+
+    def cut(frames):
+        for frame in frames:
+            rows = []
+            for blob_id, content, mask in frame.itertuples(index=False):
+                if content is None:
+                    continue
+                carried, infos = _mask(mask), []
+                for n, b in enumerate(bands.each(content, carried, samples=False)):
+                    own = None if b.mask is None else b.mask.astype(np.uint8).tobytes()
+                    rows.append((blob_id, n, content[b.at : b.at + b.info.blob_size], own))
+                    infos.append(b.info)
+                bands.check(infos)
+            yield pd.DataFrame(rows, columns=["blob_id", "band", "content", "mask"])
+
+    def run(batches):
+        for batch in batches:
+            for blob_id, band, content, mask in zip(*[c.to_pylist() for c in batch.columns]):
+                yield from _samples(blob_id, batch.schema.field(0).type, band, bands.decode(content, _mask(mask)))
+
+    return _with_mask(blobs).mapInPandas(cut, schema).repartition("blob_id", "band").mapInArrow(run, PIXELS.format(id=_id_type(blobs)))
+
+
+def decode_stacked(blobs: DataFrame, data_type: str, layout: str = "interleaved") -> DataFrame:
+    """blob_id, shape, samples, masks: all bands of a set as one array in the blobs' own type data_type, or f64.
+
+    shape is rows, columns, bands (interleaved) or bands, rows, columns (bsq), then depth if above 1;
+    one band alone has no axis of bands. masks is a byte a pixel and band, bands last, or null if no
+    band has a mask. All null for a null blob. An error ends the task with it.
+    """
+
+    def run(frames):
+        for frame in frames:
+            rows = []
+            for blob_id, content, mask in frame.itertuples(index=False):
+                if content is None:
+                    rows.append((blob_id, None, None, None))
+                    continue
+                found = bands.decode_set(content, _mask(mask))
+                own, masks = bands.stacked(found, layout, data_type), bands.band_masks(found)
+                rows.append((blob_id, list(own.shape), own.reshape(-1), None if masks is None else masks.tobytes()))
+            yield pd.DataFrame(rows, columns=["blob_id", "shape", "samples", "masks"])
+
+    return _with_mask(blobs).mapInPandas(run, f"blob_id {_id_type(blobs)}, shape array<int>, samples array<{NATIVE[data_type]}>, masks binary")
+
+
 def grid_of(frame: pd.DataFrame, shape: tuple[int, int, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(values (height, width, depth), mask (height, width)) of one raster's pixel rows; places without a
     row are invalid, and two rows for a place are an error. shape: if not what the largest indices give."""
@@ -253,6 +307,16 @@ def encode(rows: DataFrame, data_type: str, options: writing.Options = writing.O
     return rows.select("raster_id", "y", "x", "dim", "value", "valid").groupBy("raster_id").applyInPandas(run, f"blob_id {kind}, content binary")
 
 
+def _prepared(frame: pd.DataFrame, data_type: str, options: writing.Options) -> list[writing.Prepared]:
+    """The bands of one raster as the writer would store them."""
+    shape = shape_of(frame)
+    parts = [grid_of(part, shape) for _, part in frame.groupby("band", sort=True)]
+    first = parts[0][1]
+    if all(np.array_equal(m, first) for _, m in parts):
+        return writing.prepare_bands([v for v, _ in parts], data_type, None if first.all() else first, options)
+    return [writing.prepare(v, data_type, m, options) for v, m in parts]
+
+
 def encode_bands(rows: DataFrame, data_type: str, options: writing.Options = writing.Options()) -> DataFrame:
     """blob_id, content: the bands (column band) of each raster_id as blobs that follow one another.
 
@@ -262,14 +326,21 @@ def encode_bands(rows: DataFrame, data_type: str, options: writing.Options = wri
     kind = rows.schema["raster_id"].dataType.simpleString()
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        shape = shape_of(frame)
-        parts = [grid_of(part, shape) for _, part in frame.groupby("band", sort=True)]
-        first = parts[0][1]
-        if all(np.array_equal(m, first) for _, m in parts):
-            blob = writing.encode_bands([v for v, _ in parts], data_type, None if first.all() else first, options)
-        else:
-            ready = [writing.prepare(v, data_type, m, options) for v, m in parts]
-            blob = b"".join(writing.blob(p, options.profile == "strict", len(ready) - 1 - i) for i, p in enumerate(ready))
+        found = _prepared(frame, data_type, options)
+        blob = b"".join(writing.blob(p, options.profile == "strict", len(found) - 1 - i) for i, p in enumerate(found))
         return pd.DataFrame({"blob_id": [frame["raster_id"].iloc[0]], "content": [blob]})
 
     return rows.select("raster_id", "band", "y", "x", "dim", "value", "valid").groupBy("raster_id").applyInPandas(run, f"blob_id {kind}, content binary")
+
+
+def encoded_sizes(rows: DataFrame, data_type: str, options: writing.Options = writing.Options()) -> DataFrame:
+    """raster_id, n_bytes: the exact size of what encode_bands() makes of each raster, or encode() of rows
+    without a column band, from the choices of the writer alone; only masks are coded."""
+    kind = rows.schema["raster_id"].dataType.simpleString()
+    rows = rows if "band" in rows.columns else rows.withColumn("band", F.lit(0))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        n = sum(writing.size_of(p, options.profile == "strict") for p in _prepared(frame, data_type, options))
+        return pd.DataFrame({"raster_id": [frame["raster_id"].iloc[0]], "n_bytes": [n]})
+
+    return rows.select("raster_id", "band", "y", "x", "dim", "value", "valid").groupBy("raster_id").applyInPandas(run, f"raster_id {kind}, n_bytes long")

@@ -336,6 +336,45 @@ def bands_decode(spark, sf_dir):
     return found.select(F.col("blob_id").alias("raster_id"), "band", "y", "x", "value")
 
 
+@query(f"SELECT raster_id, CAST(band AS INT) AS band, y, x, value FROM {EVENTS}, {_TYPES} WHERE event_type = type")
+def bands_decode_by_band(spark, sf_dir):
+    """The bands of a set in tasks of their own."""
+    found = blobs.pixels_by_band(blobs.encode_bands(rasters.event_bands(spark, sf_dir), "f64")).where("valid")
+    return found.select(F.col("blob_id").alias("raster_id"), "band", "y", "x", "value")
+
+
+def _stacked(spark, sf_dir, layout):
+    """Valid samples of all bands in one array, put back into place by its shape and masks."""
+    found = blobs.decode_stacked(blobs.encode_bands(rasters.event_bands(spark, sf_dir), "f64"), "f64", layout)
+    h, w, n = (F.element_at("shape", k) for k in ((2, 3, 1) if layout == "bsq" else (1, 2, 3)))
+    found = found.select("blob_id", "masks", h.alias("h"), w.alias("w"), n.alias("n"), F.posexplode("samples").alias("at", "value"))
+    if layout == "bsq":
+        x, y, band = F.col("at") % F.col("w"), F.expr("at div w") % F.col("h"), F.expr("at div (w * h)")
+    else:
+        x, y, band = F.expr("at div n") % F.col("w"), F.expr("at div (n * w)"), F.col("at") % F.col("n")
+    found = found.select("*", x.cast("int").alias("x"), y.cast("int").alias("y"), band.cast("int").alias("band"))
+    valid = F.expr("masks is null or substring(masks, (y * w + x) * n + band + 1, 1) = X'01'")
+    return found.where(valid).select(F.col("blob_id").alias("raster_id"), "band", "y", "x", "value")
+
+
+@query(f"SELECT raster_id, CAST(band AS INT) AS band, y, x, value FROM {EVENTS}, {_TYPES} WHERE event_type = type")
+def bands_stacked_interleaved(spark, sf_dir):
+    return _stacked(spark, sf_dir, "interleaved")
+
+
+@query(f"SELECT raster_id, CAST(band AS INT) AS band, y, x, value FROM {EVENTS}, {_TYPES} WHERE event_type = type")
+def bands_stacked_bsq(spark, sf_dir):
+    return _stacked(spark, sf_dir, "bsq")
+
+
+@query(f"SELECT DISTINCT raster_id, CAST(0 AS BIGINT) AS off FROM {EVENTS}")
+def band_set_size(spark, sf_dir):
+    """Exact sizes of band sets without their bytes, less those of the sets."""
+    rows = rasters.event_bands(spark, sf_dir)
+    made = blobs.encode_bands(rows, "f64").select(F.col("blob_id").alias("raster_id"), F.length("content").alias("made"))
+    return blobs.encoded_sizes(rows, "f64").join(made, "raster_id").select("raster_id", (F.col("n_bytes") - F.col("made")).alias("off"))
+
+
 @query(f"SELECT raster_id, CAST(band AS INT) AS band, count(*) FILTER (WHERE event_type = type) AS valid_pixel_count FROM {EVENTS}, {_TYPES} GROUP BY raster_id, band")
 def bands_split(spark, sf_dir):
     found = blobs.split_bands(blobs.encode_bands(rasters.event_bands(spark, sf_dir), "f64"))

@@ -4,8 +4,10 @@ The base rules count, in each whole text, words, symbols, repeated lines and wor
 in repeated three-word windows. A document fails if it is short or repetitive.
 Failures are then added up by host; a host's rate is shrunk towards the rate of all
 hosts by a beta prior fitted to the hosts' rates (method of moments), so that a host
-with a few documents isn't judged on them alone; documents of a host whose shrunk
-rate is above a limit, a multiple of the prior's mean within bounds, are not kept.
+with a few documents isn't judged on them alone. A host goes, with all its documents,
+if its odds of failing are over ``TIMES_ODDS`` times those of all documents beyond
+reasonable doubt: the limit lies more than ``DEVIATIONS`` standard deviations of the
+host's beta posterior below its shrunk rate.
 """
 
 from __future__ import annotations
@@ -18,9 +20,8 @@ from rasterloom.llm.common import NOT_SPACE, SPACE_CHARS, unlike, words, written
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: A host goes if its shrunk rate is over so many times the rate of all documents: but never at or
-#: under half, and always over the second.
-TIMES_MEAN, LEAST_LIMIT, MOST_LIMIT = 4.0, 0.5, 0.8
+#: 1.645 standard deviations are a posterior probability of about 0.95.
+TIMES_ODDS, DEVIATIONS = 2.0, 1.645
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -79,7 +80,7 @@ def base_failed() -> Column:
 
 def host_rates(docs: DataFrame, host: str = "source") -> DataFrame:
     """host, n, failed, rate and goes: failures by host, shrunk by the beta prior of all hosts, and
-    whether the host goes by the limit that the prior's mean gives.
+    whether the host's posterior lies beyond the limit that the prior's mean gives.
 
     The prior's mean is the rate over all documents and its weight comes from the
     variance of the hosts' rates beyond that of drawing so many documents; where there
@@ -95,9 +96,11 @@ def host_rates(docs: DataFrame, host: str = "source") -> DataFrame:
         .select("mean", F.when(F.col("excess") > 0, F.greatest(F.lit(1.0), F.col("mean") * (1 - F.col("mean")) / F.col("excess") - 1)).otherwise(F.col("usual")).alias("weight"))
     )
     rate = (F.col("failed") + F.col("weight") * F.col("mean")) / (F.col("n") + F.col("weight"))
+    doubt = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + F.col("weight") + 1))
+    limit = TIMES_ODDS * F.col("mean") / (1 + (TIMES_ODDS - 1) * F.col("mean"))
     # The prior is one row.
-    limit = F.least(F.lit(MOST_LIMIT), F.greatest(F.lit(LEAST_LIMIT), TIMES_MEAN * F.col("mean")))
-    return by.join(F.broadcast(prior)).select(F.col(f"`{host}`"), "n", "failed", rate.alias("rate"), (rate > limit).alias("goes"))
+    found = by.join(F.broadcast(prior)).withColumn("rate", rate)
+    return found.select(F.col(f"`{host}`"), "n", "failed", "rate", (F.col("rate") - DEVIATIONS * doubt > limit).alias("goes"))
 
 
 def judge(docs: DataFrame, host: str = "source", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -140,8 +143,9 @@ b AS (SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(arra
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b),
 h AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed) AS failed FROM f GROUP BY source),
 m AS (SELECT sum(failed) / sum(n) AS mean, sum(n * (failed / n) * (failed / n)) / sum(n) - (sum(failed) / sum(n)) ** 2 AS variance, count(*) / sum(n) AS drawn, sum(n) / count(*) AS usual FROM h),
-w AS (SELECT mean, CASE WHEN variance - mean * (1 - mean) * drawn > 0 THEN greatest(1, mean * (1 - mean) / (variance - mean * (1 - mean) * drawn) - 1) ELSE usual END AS weight FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       round((failed + weight * mean) / (n + weight), 9) AS host_rate, NOT base_failed AND (failed + weight * mean) / (n + weight) <= least(0.8, greatest(0.5, 4 * mean)) AS kept
-FROM f JOIN h ON f.source IS NOT DISTINCT FROM h.source, w
+w AS (SELECT mean, 2 * mean / (1 + mean) AS bound, CASE WHEN variance - mean * (1 - mean) * drawn > 0 THEN greatest(1, mean * (1 - mean) / (variance - mean * (1 - mean) * drawn) - 1) ELSE usual END AS weight FROM m),
+v AS (SELECT source, n, weight, bound, (failed + weight * mean) / (n + weight) AS rate FROM h, w)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(rate, 9) AS host_rate,
+       NOT base_failed AND NOT rate - 1.645 * sqrt(rate * (1 - rate) / (n + weight + 1)) > bound AS kept
+FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source
 """

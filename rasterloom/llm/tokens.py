@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from array import array
 from collections.abc import Iterator
 
@@ -91,7 +92,7 @@ class Encoder:
         core = unit.rstrip(_TAIL)
         bare = core[1:] if self.kind == "byte" and core[:1] == " " else core
         if len(core) < len(unit) and bare:
-            return self.ids_of(core) + self.ids_of(unit[len(core) :]) if bare[-1].isalpha() else self._whole(unit)
+            return self.ids_of(core) + self.ids_of(unit[len(core) :]) if self._ends_in_letter(bare) else self._whole(unit)
         if bare.isalpha() and max(bare) < "\u0100":
             # One pre-token of Latin letters, to which normalisation does nothing but lower them: straight to the model.
             if self.kind == "word":
@@ -99,6 +100,12 @@ class Encoder:
             return array("I", [t.id for t in self.model.tokenize(core.encode().decode("latin-1").translate(self.letters))]).tobytes()
         return self._whole(unit)
 
+    def _ends_in_letter(self, bare: str) -> bool:
+        """Whether punctuation behind is a piece of its own: as the library sees the text, so for "word" after
+        normalisation, which may leave a mark at the end of what was a letter."""
+        seen = unicodedata.normalize("NFC", bare) if self.kind == "word" and not bare.isascii() else bare
+        return seen[-1].isalpha() and (self.kind == "byte" or seen[-1].lower()[-1].isalpha())
+
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 

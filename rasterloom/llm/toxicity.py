@@ -1,6 +1,6 @@
 """Toxicity by the nearest labelled examples under TF-IDF cosine.
 
-Terms are lower-case words, known by 64-bit hashes.
+Terms are lower-case runs of letters, digits and underscores, known by 64-bit hashes.
 Examples are a bounded sample of the distinct labelled texts (``SAMPLE_ROWS`` rows and
 ``SAMPLE_CHARS`` code points, in order of the texts' hashes); all their terms span the
 vector space, so every text that shares a term with any example has a vector. A term's
@@ -36,7 +36,7 @@ FLOOR, CHANCE, MOST_DEVIATIONS = 0.05, 3.0, 20.0
 PRIOR_WEIGHT = 0.5
 #: Words whose terms a worker remembers, and texts whose scores it does; both only save time.
 KEPT_WORDS, KEPT_TEXTS = 100_000, 5_000
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"\w+")
 
 
 class Terms:
@@ -200,17 +200,17 @@ class Index:
 
 def pick_examples(docs: DataFrame, labels: DataFrame, sample_rows: int, sample_chars: int) -> DataFrame:
     """(text_hash, text, toxic, doc_id): distinct labelled texts outside the held-out fold, in order of
-    their hashes until either bound is reached. doc_id, the least, only names an example."""
+    their hashes, sample_rows at most; of those, each that still has room below sample_chars. doc_id, the
+    least, only names an example."""
     rows = prefer_names(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null")
     rows = rows.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).withColumn("doc_id", F.col("doc_id").cast("long"))
     own = docs.select("doc_id", text_hash().alias("text_hash"), F.length("text").alias("n"))
     found = rows.join(own, "doc_id").groupBy("text_hash").agg(F.max("toxic").cast("int").alias("toxic"), F.min("doc_id").alias("doc_id"), F.max(F.coalesce("n", F.lit(0))).alias("n"))
     chosen, held = [], 0
     for r in found.orderBy("text_hash").limit(sample_rows).collect():  # bounded by sample_rows
-        held += r.n
-        if held > sample_chars:
-            break
-        chosen.append((r.text_hash, r.toxic, r.doc_id))
+        if held + r.n <= sample_chars:  # a text that has no room is passed over, whatever follows
+            held += r.n
+            chosen.append((r.text_hash, r.toxic, r.doc_id))
     picked = F.broadcast(docs.sparkSession.createDataFrame(chosen, "text_hash long, toxic int, doc_id long"))
     texts = docs.select("text", text_hash().alias("text_hash")).join(picked.select("text_hash"), "text_hash")
     return texts.groupBy("text_hash").agg(F.min("text").alias("text")).join(picked, "text_hash")

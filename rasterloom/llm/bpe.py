@@ -92,7 +92,7 @@ class Tables:
         self.joined: dict[tuple[int, int], int] = {}
         for rank, (a, b) in enumerate(merges):
             i, j, whole = vocabulary[a], vocabulary[b], vocabulary[a + b]
-            if rank <= max(self.rank[i], self.rank[j]) or self.rank[whole] >= 0:
+            if any(self.length[p] > 1 and self.rank[p] < 0 for p in (i, j)) or self.rank[whole] >= 0:
                 raise ValueError(f"merge {rank} isn't after those of its parts")
             self.joined[i, j] = rank
             self.rank[whole], self.left[whole], self.right[whole] = rank, i, j

@@ -13,7 +13,8 @@ from rasterloom.codec.bits import NARROWER
 from rasterloom.codec.model import dtype, type_range
 from rasterloom.functions import blobs
 from rasterloom.operators import tiles
-from rasterloom.sources import rasters
+from rasterloom.sources import ranges, rasters, shared
+from rasterloom.sources.datasource import RasterSource
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -208,6 +209,42 @@ def blob_size_exact(spark, sf_dir):
     return blobs.encode(full, "i32", writing.Options(0.5)).select(F.col("blob_id").alias("raster_id"), F.length("content").cast("long").alias("bytes"))
 
 
+#: Each blob's size, as its plan gives it, and the sizes of those before it in its file of 8 blobs.
+_SMALL = "(SELECT o_orderkey // 160 AS raster_id, CAST(o_orderkey % 160 // 10 AS INT) AS y, CAST(o_orderkey % 10 AS INT) AS x, CAST(0 AS INT) AS dim, CAST(o_custkey AS DOUBLE) AS value, true AS valid FROM orders)"
+_FILED = f"SELECT raster_id // 8 AS file, CAST(raster_id % 8 AS INT) AS band, CAST(79 + sum(bytes) AS BIGINT) AS length FROM ({_plan_sql(_SMALL, 'i32')}) GROUP BY raster_id"
+
+
+def _blob_files(spark, sf_dir) -> str:
+    """The folder of files of 8 blobs each, of orders in rasters of 10 columns and 16 rows."""
+    small = rasters.from_key(rasters.table(spark, sf_dir, "orders"), "o_orderkey", 10, [F.col("o_custkey")], strip=16)
+    made = blobs.encode(small, "i32", writing.Options(0.5))
+    eight = F.array_sort(F.collect_list(F.struct("blob_id", "content")))
+    joined = F.aggregate(eight, F.lit(b"").cast("binary"), lambda a, b: F.concat(a, b["content"]))
+    path = shared.mounted(shared.new_path(spark, "blob-files"))
+    spark.dataSource.register(RasterSource)
+    made.groupBy(F.floor(F.col("blob_id") / 8).alias("file")).agg(joined.alias("content")).withColumnRenamed("file", "blob_id").write.format("rasterloom").mode("append").save(path)
+    return path
+
+
+@query(f"SELECT file, band, CAST(coalesce(sum(length) OVER (PARTITION BY file ORDER BY band ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at, length FROM ({_FILED})")
+def blob_index(spark, sf_dir):
+    """Files of blobs, written and hopped over by their headers: where each blob lies."""
+    path = _blob_files(spark, sf_dir)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.blob").load(path).select("path")
+    return ranges.index(files).select(F.regexp_extract("path", r"(\d+)\.blob$", 1).cast("long").alias("file"), "band", "at", "length")
+
+
+@query(f"SELECT raster_id, CAST(v AS DOUBLE) AS value, n FROM (SELECT raster_id, value AS v, count(*) AS n FROM {_SMALL} GROUP BY raster_id, value)")
+def read_ranges(spark, sf_dir):
+    """How often each raster has each value, read from files of many blobs by byte ranges, with the index that tasks made."""
+    path = _blob_files(spark, sf_dir)
+    saved = shared.new_path(spark, "blob-index")
+    ranges.index(spark.read.format("binaryFile").option("pathGlobFilter", "*.blob").load(path).select("path")).write.parquet(saved)
+    found = spark.read.format("rasterloom").option("index", shared.mounted(saved)).option("splitBytes", 65536).load(path)
+    raster = F.regexp_extract("path", r"(\d+)\.blob$", 1).cast("long") * 8 + F.col("band")
+    return found.select(raster.alias("raster_id"), F.explode("values").alias("value")).groupBy("raster_id", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
 _PAIRS = f"({_KEYED.format(key='o_orderkey', width=150)}, CAST(d AS INT) AS dim, CAST(CASE d WHEN 0 THEN o_custkey ELSE o_custkey + o_orderkey % 10 END AS DOUBLE) AS value FROM orders, range(2) t(d))"
 
 

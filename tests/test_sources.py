@@ -129,3 +129,102 @@ def test_metadata_needs_no_samples_and_errors_are_rows(spark):
 def test_planning_runs_no_python(spark):
     plan = tiles.tile_plan(rasters.events(spark, "/root/testdata/sf0.001"), 0.5, "f64")
     assert not any(w in plan._jdf.queryExecution().toString() for w in ("Python", "Pandas", "Arrow"))
+
+
+def _many(n=1000):
+    """Blobs of many kinds that follow one another: masks of their own, taken over, and none."""
+    rng, out = np.random.default_rng(1), []
+    while len(out) < n:
+        mask = rng.random((6, 7)) < 0.7
+        rasters_ = [rng.integers(0, 50, (6, 7)).astype(float) + k for k in range(3)]
+        parts = [writing.blob(p, False, 2 - k) for k, p in enumerate(writing.prepare_bands(rasters_, "i16", mask, writing.Options(0.5)))]
+        out += [*parts, writing.encode(rasters_[0] / 8, "f32"), writing.encode(np.zeros((2, 2)), "u8", np.zeros((2, 2)))]
+    return out[:n]
+
+
+def test_one_file_is_many_tasks(spark, tmp_path):
+    from rasterloom.sources import ranges
+
+    spark.dataSource.register(RasterSource)
+    made = _many()
+    (tmp_path / "all.blob").write_bytes(b"".join(made))
+    index = list(ranges.hop(str(tmp_path / "all.blob")))
+    assert [e.length for e in index] == list(map(len, made)) and [e.at for e in index] == np.cumsum([0, *map(len, made)])[:-1].tolist()
+    df = spark.read.format("rasterloom").load(str(tmp_path))
+    assert df.rdd.getNumPartitions() > 8
+    whole = spark.read.format("binaryFile").load(str(tmp_path)).select(blobs.F.lit(1).alias("blob_id"), "content")
+    want = {(r.band, r.mask_encoding, r.valid_pixel_count, None if r.band_mask is None else bytes(r.band_mask)) for r in blobs.split_bands(whole).collect()}
+    got = df.collect()
+    assert {(r.band, r.mask_encoding, r.valid_pixel_count, None if r.mask is None else bytes(r.mask)) for r in got} == want and len(got) == 1000
+    assert {r.mask_encoding for r in got} == {"None", "Explicit", "External", "ImplicitAllInvalid"} and all(r.error_kind is None for r in got)
+    by_band = {r.band: r["values"] for r in got}
+    for r in blobs.decode(spark.createDataFrame([(k, bytearray(made[k])) for k in (0, 3, 500, 998)], "blob_id int, content binary")).where("values is not null").collect():
+        assert by_band[r.blob_id] == list(r["values"])
+
+
+def test_groups_of_ranges_are_balanced():
+    from rasterloom.sources import ranges
+
+    sizes = [10, 400, 30, 30, 1000, 5, 5, 5, 90] * 40
+    entries = [ranges.Entry(f"f{k // 100}", k % 100, sum(sizes[k // 100 * 100 : k]), n) for k, n in enumerate(sizes)]
+    groups = ranges.balanced(entries, 2000, 4, 900)
+    held = [sum(r.length for r in g) for g in groups]
+    assert sum(held) == sum(sizes) and max(held) <= 2000 + 1000 and len(groups) >= sum(sizes) / 2000 - 1
+    assert all(r.over == (r.length == 1000) for g in groups for r in g if r.over or r.length == 1000)
+    assert ranges.balanced([], 100, 4) == []
+
+
+def test_damaged_ends_large_blobs_and_empty_files(spark, tmp_path):
+    spark.dataSource.register(RasterSource)
+    made = _many(10)
+    (tmp_path / "cut.blob").write_bytes(b"".join(made)[:-3])
+    (tmp_path / "junk.blob").write_bytes(made[0] + b"junk" + made[1])
+    (tmp_path / "none.blob").write_bytes(b"")
+    (tmp_path / "short.blob").write_bytes(b"Lerc")
+    found = spark.read.format("rasterloom").load(str(tmp_path)).select("path", "band", "error_kind").collect()
+    bad = {(r.path.rpartition("/")[2], r.band, r.error_kind) for r in found if r.error_kind}
+    assert bad == {("cut.blob", 9, "Truncated"), ("junk.blob", 1, "InvalidMagic"), ("none.blob", 0, "InvalidBlob"), ("short.blob", 0, "InvalidMagic")}
+    assert len(found) == 9 + 1 + 4
+    limit = max(map(len, made)) - 1
+    found = spark.read.format("rasterloom").option("maxBlobBytes", limit).load(str(tmp_path / "cut.blob")).collect()
+    assert {r.error_kind for r in found} == {None, "InvalidBlob", "Truncated"} and sum(r.error_kind is None for r in found) == sum(len(m) <= limit for m in made[:-1])
+
+
+def test_first_family_is_hopped_over(tmp_path):
+    """A blob with a mask of its own, one that takes it over, one without masks, and one of nothing but invalid pixels."""
+    import struct
+
+    from rasterloom.codec import bands, masks
+    from rasterloom.sources import ranges
+
+    head = b"CntZImage " + struct.pack("<iiIId", 11, 8, 2, 2, 0.5)
+    section = lambda by, bx, data, top: struct.pack("<IIIf", by, bx, len(data), top) + data
+    pixels = lambda *values: section(1, 1, b"\0" + struct.pack(f"<{len(values)}f", *values), 9.0)
+    runs = masks.write_runs(masks.pack(MASK == 1))
+    made = [head + section(0, 0, runs, 1.0) + pixels(1, 2, 3), head + pixels(4, 5, 6), head + section(0, 0, b"", 1.0) + pixels(1, 2, 3, 4), head + section(0, 0, b"", 0.0) + pixels()]
+    (tmp_path / "old.blob").write_bytes(b"".join(made))
+    index = list(ranges.hop(str(tmp_path / "old.blob")))
+    assert [e.length for e in index] == list(map(len, made)) == [b.info.blob_size for b in bands.each(b"".join(made), samples=False)]
+    assert [e.mask_at for e in index] == [-1, 0, -1, -1]
+
+
+def test_a_stream_s_offset_does_not_grow(spark, tmp_path):
+    from rasterloom.sources.datasource import StreamReader
+
+    folder, log = tmp_path / "in", tmp_path / "log"
+    folder.mkdir()
+    reader = StreamReader({"path": str(folder), "log": str(log)})
+    assert reader.latestOffset() == reader.initialOffset()
+    blob, sizes, before = _many(1)[0], set(), reader.initialOffset()
+    for k in range(0, 1000, 100):
+        for i in range(k, k + 100):
+            (folder / f"f{999 - i}.blob").write_bytes(blob)
+        now = reader.latestOffset()
+        assert len([r for p in reader.partitions(before, now) for r in p.of]) == 100
+        sizes.add(len(str(now)))
+        before = now
+    assert max(sizes) - min(sizes) <= 1 and reader.latestOffset() == before
+    # Another reader of the same log plans the same batches.
+    again = StreamReader({"path": str(folder), "log": str(log)})
+    paths = lambda r, a, b: [x.path for p in r.partitions({"place": a}, {"place": b}) for x in p.of]
+    assert paths(again, 3, 4) == paths(reader, 3, 4) and again.latestOffset() == before

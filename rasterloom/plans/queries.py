@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rasterloom.codec import writing
 from rasterloom.codec.bits import NARROWER
 from rasterloom.codec.model import dtype, type_range
-from rasterloom.functions import blobs
+from rasterloom.functions import blobs, headers
 from rasterloom.operators import tiles
 from rasterloom.sources import ranges, rasters, shared
 from rasterloom.sources.datasource import RasterSource
@@ -23,6 +23,9 @@ _KEYED = "SELECT {key} // {width} // 256 AS raster_id, CAST(({key} // {width}) %
 EVENTS = f"({_KEYED.format(key='event_id', width=100)}, CAST(0 AS INT) AS dim, value, event_type <> 'error' AS valid, event_type, event_id FROM events)"
 ORDERS = f"({_KEYED.format(key='o_orderkey', width=150)}, CAST(0 AS INT) AS dim, CAST(o_custkey AS DOUBLE) AS value, true AS valid FROM orders)"
 PARTS = f"({_KEYED.format(key='p_partkey', width=20)}, CAST(0 AS INT) AS dim, CAST(p_size AS DOUBLE) AS value, true AS valid FROM part)"
+#: The same with strips of 8 rows, so that small tables are many rasters.
+_KEYED_8 = _KEYED.replace("256", "8")
+EVENTS_8 = EVENTS.replace("256", "8")
 BLOCKS = "y // 8 AS by, x // 8 AS bx"
 
 
@@ -89,6 +92,41 @@ def inspect_header(spark, sf_dir):
     return found.select(F.col("blob_id").alias("raster_id"), *[f"i.{c}" for c in ("width", "height", "valid_pixel_count", "z_min", "z_max", "data_type", "mask_encoding")])
 
 
+_PRICES = f"({_KEYED_8.format(key='o_orderkey', width=150)}, o_totalprice AS price, o_custkey AS customer FROM orders)"
+
+
+@query(
+    f"SELECT raster_id, CAST(2 AS INT) AS family, CAST(4 AS INT) AS version, 'f64' AS data_type, CAST(100 AS BIGINT) AS width, max(y) + CAST(1 AS BIGINT) AS height, CAST(1 AS BIGINT) AS depth, "
+    f"count(*) FILTER (WHERE valid) AS valid_pixel_count, CAST(0 AS INT) AS remaining_band_count, CAST(0 AS DOUBLE) AS max_z_error, min(value) FILTER (WHERE valid) AS z_min, max(value) FILTER (WHERE valid) AS z_max, "
+    f"CASE WHEN bool_and(valid) AND count(*) % 100 = 0 THEN 'None' ELSE 'Explicit' END AS mask_encoding, CAST(NULL AS DOUBLE) AS no_data_value, CAST(NULL AS VARCHAR) AS error_kind FROM {EVENTS_8} GROUP BY raster_id"
+)
+def header_fields(spark, sf_dir):
+    """Headers of real blobs, read by expressions, their checksums verified."""
+    found = blobs.encode(rasters.events(spark, sf_dir, 8), "f64").select(F.col("blob_id").alias("raster_id"), headers.header(F.col("content"), verify=True).alias("h"))
+    names = ("family", "version", "data_type", "width", "height", "depth", "valid_pixel_count", "remaining_band_count", "max_z_error", "z_min", "z_max", "mask_encoding", "no_data_value", "error_kind")
+    return found.select("raster_id", *[f"h.{n}" for n in names])
+
+
+@query(
+    f"SELECT raster_id, min(price) AS low_0, min(customer)::DOUBLE AS low_1, max(price) AS high_0, max(customer)::DOUBLE AS high_1, least(min(price), min(customer)) AS z_min, greatest(max(price), max(customer)) AS z_max FROM {_PRICES} GROUP BY raster_id"
+)
+def header_ranges(spark, sf_dir):
+    """Ranges of each dimension from the bytes behind a header's mask."""
+    found = blobs.encode(rasters.order_prices(spark, sf_dir, 8), "f64").select(F.col("blob_id").alias("raster_id"), headers.header(F.col("content")).alias("h"))
+    ends = [F.col(f"h.{n}_values")[k].alias(f"{side}_{k}") for side, n in (("low", "min"), ("high", "max")) for k in (0, 1)]
+    return found.select("raster_id", *ends, "h.z_min", "h.z_max")
+
+
+_HIGH = f"SELECT raster_id FROM {EVENTS_8} WHERE valid GROUP BY raster_id HAVING max(value) > 300"
+
+
+@query(f"SELECT raster_id, y, x, value FROM {EVENTS_8} WHERE valid AND raster_id IN ({_HIGH})")
+def header_filter(spark, sf_dir):
+    """Only blobs whose header tells of a value over 300 are decoded."""
+    made = blobs.encode(rasters.events(spark, sf_dir, 8), "f64").where(headers.header(F.col("content"))["z_max"] > 300)
+    return blobs.pixels(made).where("valid").select(F.col("blob_id").alias("raster_id"), "y", "x", "value")
+
+
 @query(f"SELECT raster_id, {BLOCKS}, dim, count(*) AS n, min(value) AS low, max(value) AS high FROM {EVENTS} WHERE valid GROUP BY ALL")
 def tile_stats(spark, sf_dir):
     return tiles.tile_stats(rasters.events(spark, sf_dir))

@@ -21,22 +21,22 @@ def from_key(df: DataFrame, key: str, width: int, values: list[Column], valid: C
     return df.select(F.floor(row / strip).alias("raster_id"), (row % strip).cast("int").alias("y"), (F.col(key) % width).cast("int").alias("x"), ok.alias("valid"), *keep, value)
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return from_key(table(spark, sf_dir, "events"), "event_id", 100, [F.col("value")], F.col("event_type") != "error")
+def events(spark: SparkSession, sf_dir: str, strip: int = STRIP) -> DataFrame:
+    return from_key(table(spark, sf_dir, "events"), "event_id", 100, [F.col("value")], F.col("event_type") != "error", strip)
 
 
 def order_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_key(table(spark, sf_dir, "orders"), "o_orderkey", 150, [F.col("o_custkey")])
 
 
-def order_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_prices(spark: SparkSession, sf_dir: str, strip: int = STRIP) -> DataFrame:
     """Two dimensions: price and customer."""
-    return from_key(table(spark, sf_dir, "orders"), "o_orderkey", 150, [F.col("o_totalprice"), F.col("o_custkey")])
+    return from_key(table(spark, sf_dir, "orders"), "o_orderkey", 150, [F.col("o_totalprice"), F.col("o_custkey")], strip=strip)
 
 
-def order_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_pairs(spark: SparkSession, sf_dir: str, strip: int = STRIP) -> DataFrame:
     """Two whole-number dimensions that are near each other: customer, and customer plus the key's last digit."""
-    return from_key(table(spark, sf_dir, "orders"), "o_orderkey", 150, [F.col("o_custkey"), F.col("o_custkey") + F.col("o_orderkey") % 10])
+    return from_key(table(spark, sf_dir, "orders"), "o_orderkey", 150, [F.col("o_custkey"), F.col("o_custkey") + F.col("o_orderkey") % 10], strip=strip)
 
 
 def part_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:

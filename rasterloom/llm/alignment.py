@@ -24,7 +24,9 @@ from rasterloom.llm.common import prefer_names, tidy, written
 
 #: Rows and code points that are aligned together.
 ROWS, TOGETHER = 200, 400_000
-LISTS = "a array<int>, b array<int>, a_sizes array<int>, b_sizes array<int>, links array<int>"
+COLUMNS = ["a", "b", "a_sizes", "b_sizes", "links"]
+#: Bytes of units that this operator's own encoder keeps, of its two.
+KEPT_BYTES = 24_000_000
 
 
 class Pairs:
@@ -104,9 +106,12 @@ class Aligner:
     """Both encoders, spellings and the pairs of two vocabulary files."""
 
     def __init__(self, byte_vocabulary: str, piece_model: str):
-        self.a, self.b = bpe.Encoder(byte_vocabulary, special=False), wfst.transducer(piece_model)
+        self.a, self.b = bpe.Encoder(byte_vocabulary, special=False, kept_bytes=KEPT_BYTES), wfst.transducer(piece_model)
         self.spell_a, self.spell_b = _Spelling(self.a.tables.spelled), _Spelling(list(self.b.surface))
         self.pairs = Pairs(self.spell_a.spelled, self.spell_b.spelled)
+        #: How written columns are packed: ids in two bytes where they fit.
+        self.kinds = ["<u2" if len(s.spelled) <= 1 << 16 else "<u4" for s in (self.spell_a, self.spell_b)]
+        tidy()
 
     def align(self, texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
         """([a, b, a_sizes, b_sizes, links] of all texts one after the other, and how many each text has of each)."""
@@ -152,6 +157,36 @@ def _lists(values: np.ndarray, counts: np.ndarray):
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32)))
 
 
+def _packed(values: np.ndarray, counts: np.ndarray, kind: str):
+    """As _lists(), each list as bytes: smaller in memory, and written in a fraction of the time."""
+    import pyarrow as pa
+
+    raw, cuts = values.astype(kind).tobytes(), (np.concatenate(([0], np.cumsum(counts))) * np.dtype(kind).itemsize).tolist()
+    return pa.array([raw[x:y] for x, y in zip(cuts, cuts[1:])], pa.binary())
+
+
+def _unpacked(column, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """(all values, how many each row has)."""
+    parts = column.to_pylist()
+    return np.frombuffer(b"".join(parts), kind).astype(np.int64), np.array([len(p) for p in parts], np.int64) // np.dtype(kind).itemsize
+
+
+def _flags(sizes: np.ndarray, counts: np.ndarray):
+    """For each row a bit for each token: whether a group ends there. counts: tokens by row."""
+    import pyarrow as pa
+
+    ends = np.zeros(int(counts.sum()), np.uint8)
+    ends[np.cumsum(sizes) - 1] = 1
+    cuts = np.concatenate(([0], np.cumsum(counts))).tolist()
+    return pa.array([np.packbits(ends[x:y]).tobytes() for x, y in zip(cuts, cuts[1:])], pa.binary())
+
+
+def _unflagged(column, counts: np.ndarray) -> np.ndarray:
+    """The sizes of all rows' groups."""
+    ends = [np.unpackbits(np.frombuffer(p, np.uint8), count=n) for p, n in zip(column.to_pylist(), counts.tolist())]
+    return np.diff(np.flatnonzero(np.concatenate([np.zeros(0, np.uint8), *ends])), prepend=-1)
+
+
 def _slices(batch, texts: list[str]):
     """(from, to) of so many rows that their texts are aligned together."""
     start, held = 0, 0
@@ -170,7 +205,10 @@ def align(docs: DataFrame, byte_vocabulary: str, piece_model: str) -> DataFrame:
     has empty lists. Rows of equal or null doc_id are aligned each; texts are read whole, however long;
     an empty table gives no rows; other columns are not read.
     """
+    return _aligned(docs, byte_vocabulary, piece_model, False)
+
 
+def _aligned(docs: DataFrame, byte_vocabulary: str, piece_model: str, packed: bool) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
@@ -181,26 +219,29 @@ def align(docs: DataFrame, byte_vocabulary: str, piece_model: str) -> DataFrame:
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 for x, y in _slices(part, texts):
                     (a, b, a_sizes, b_sizes, links), (n_a, n_b, n) = both.align(texts[x:y])
-                    cols = [part.column(0).slice(x, y - x), _lists(a, n_a), _lists(b, n_b), _lists(a_sizes, n), _lists(b_sizes, n), _lists(links, n)]
-                    yield pa.RecordBatch.from_arrays(cols, names=["doc_id", *[c.split()[0] for c in LISTS.split(", ")]])
+                    if packed:
+                        cols = [_packed(a, n_a, both.kinds[0]), _packed(b, n_b, both.kinds[1]), _flags(a_sizes, n_a), _flags(b_sizes, n_b), _packed(links, n, "<u4")]
+                    else:
+                        cols = [_lists(a, n_a), _lists(b, n_b), _lists(a_sizes, n), _lists(b_sizes, n), _lists(links, n)]
+                    yield pa.RecordBatch.from_arrays([part.column(0).slice(x, y - x), *cols], names=["doc_id", *COLUMNS])
         tidy()
 
-    return prefer_names(docs, "doc_id", "text").mapInArrow(run, "doc_id long, " + LISTS)
+    return prefer_names(docs, "doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{c} {'binary' if packed else 'array<int>'}" for c in COLUMNS))
 
 
-def counts(aligned: DataFrame, byte_vocabulary: str, piece_model: str) -> np.ndarray:
-    """How often each of the Pairs is linked. A task adds up its rows; at most so many rows as pairs come from each."""
+def counts(aligned: DataFrame, size: int) -> np.ndarray:
+    """How often each of so many pairs is linked. A task adds up its rows; at most so many rows as pairs come from each."""
 
     def run(batches):
         import pyarrow as pa
 
-        found = np.zeros(len(aligner(byte_vocabulary, piece_model).pairs.keys), np.int64)
+        found = np.zeros(size, np.int64)
         for batch in batches:
-            found += np.bincount(batch.column(0).flatten().to_numpy(), minlength=len(found))
+            for at in range(0, batch.num_rows, ROWS):
+                found += np.bincount(_unpacked(batch.column(0).slice(at, ROWS), "<u4")[0], minlength=size)
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(found[at])], names=["link", "n"])
 
-    size = len(aligner(byte_vocabulary, piece_model).pairs.keys)
     got = aligned.select("links").mapInArrow(run, "link int, n long").groupBy("link").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(size, np.int64)
     out[got.column("link").to_numpy()] = got.column("n").to_numpy()
@@ -232,9 +273,10 @@ def spelled_groups(a: np.ndarray, b: np.ndarray, a_sizes: np.ndarray, b_sizes: n
 def links(docs: DataFrame, byte_vocabulary: str, piece_model: str) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best (links whose pair is linked as often over all documents as any of
     its B id), count_sum (of these numbers over links) and groups (``a1,a2|b1;a3|b2,b3``) for each row; odd rows as in align()."""
-    aligned = written(align(docs, byte_vocabulary, piece_model), "alignment")
-    often = counts(aligned, byte_vocabulary, piece_model)
-    pairs = aligner(byte_vocabulary, piece_model).pairs
+    both = aligner(byte_vocabulary, piece_model)
+    pairs, kinds = both.pairs, both.kinds
+    aligned = written(_aligned(docs, byte_vocabulary, piece_model, True), "alignment")
+    often = counts(aligned, len(pairs.keys))
     best = np.zeros(pairs.n_b, np.int64)
     np.maximum.at(best, pairs.b, often)
     shared = docs.sparkSession.sparkContext.broadcast((often, often == best[pairs.b]))  # as long as Pairs
@@ -247,12 +289,12 @@ def links(docs: DataFrame, byte_vocabulary: str, piece_model: str) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                a, b, a_sizes, b_sizes, links = [part.column(k).flatten().to_numpy() for k in range(1, 6)]
-                n_a, n_b, n = [part.column(k).value_lengths().to_numpy().astype(np.int64) for k in (1, 2, 3)]
-                text, ends = spelled_groups(a, b, a_sizes.astype(np.int64), b_sizes.astype(np.int64))
+                (a, n_a), (b, n_b), (links, n) = [_unpacked(part.column(k), kind) for k, kind in ((1, kinds[0]), (2, kinds[1]), (5, "<u4"))]
+                a_sizes, b_sizes = _unflagged(part.column(3), n_a), _unflagged(part.column(4), n_b)
+                text, ends = spelled_groups(a, b, a_sizes, b_sizes)
                 upto = np.concatenate(([0], np.cumsum(n)))
                 cuts = np.concatenate(([0], ends))[upto]
-                sums = [np.diff(np.concatenate(([0], np.cumsum(v)))[upto]) for v in (top[links].astype(np.int64), often[links])]
+                sums = [np.diff(np.concatenate(([0], np.cumsum(v)))[upto]) for v in (top[links], often[links])]
                 groups = [text[x : max(x, y - 1)].decode() for x, y in zip(cuts.tolist(), cuts[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(v) for v in (n_a, n_b, n, n, *sums)], pa.array(groups, pa.string())], names=fields)
         tidy()

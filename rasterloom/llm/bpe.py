@@ -34,9 +34,9 @@ from rasterloom.llm.common import prefer_names, tidy
 #: The pre-tokenizer's pattern, a fixed value: contractions, runs of letters, numbers and other signs, white space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pairs whose compatibility a worker remembers; it only saves time.
-KEPT_PAIRS = 500_000
+KEPT_PAIRS = 300_000
 #: Arcs of the automaton with those that failing has found; more are found anew each time.
-KEPT_STEPS = 800_000
+KEPT_STEPS = 500_000
 ROWS = 200
 _NEVER = 1 << 60
 _LOADED: dict[tuple[str, bool], "Encoder"] = {}
@@ -206,6 +206,8 @@ def tables(path: str) -> Tables:
             found = json.load(f)
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in found["model"]["merges"]]
         _TABLES[path] = Tables(found["model"]["vocab"], merges, {t["content"]: t["id"] for t in found["added_tokens"]})
+        del found, merges
+        tidy()
     return _TABLES[path]
 
 
@@ -222,6 +224,12 @@ class Encoder(tokens.Encoder):
         self.cut = regex.compile(PATTERN).findall
         self.added = regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None
 
+    def _units(self, text: str) -> list[str]:
+        # A first space before anything but white space belongs to the first piece, as a space within does.
+        if "\x00" in text or tokens._ODD_SPACE.search(text[1:] if text[:1] == " " else text):
+            return [text]
+        return text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
+
     def _pieces(self, text: str) -> bytes:
         found = []
         for piece in self.cut(text):

@@ -633,3 +633,6 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode_lossless_f64(spark, sf_dir)
 
 
+
+
+from rasterloom.plans import choices  # noqa: E402, F401  registers further queries

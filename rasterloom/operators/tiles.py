@@ -202,15 +202,20 @@ def histogram_plain(pixels: DataFrame) -> DataFrame:
     return pixels.where("valid").groupBy("raster_id", F.col("value").cast("long").alias("symbol")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def histogram_delta(pixels: DataFrame) -> DataFrame:
-    """Counts of differences, modulo 256, from the left neighbour, else the one above, else the last valid sample."""
+def delta_symbols(pixels: DataFrame) -> DataFrame:
+    """raster_id, dim, y, x and symbol: each valid sample's difference, modulo 256, from the left neighbour, else
+    the one above, else the last valid sample."""
     row = Window.partitionBy("raster_id", "dim", "y").orderBy("x")
     column = Window.partitionBy("raster_id", "dim", "x").orderBy("y")
     scan = Window.partitionBy("raster_id", "dim").orderBy("y", "x")
     near = lambda w, at: F.when(F.lag(at).over(w) == F.col(at) - 1, F.lag("value").over(w))
     guess = F.coalesce(near(row, "x"), near(column, "y"), F.lag("value").over(scan), F.lit(0.0))
-    rows = pixels.where("valid").select("raster_id", F.pmod((F.col("value") - guess).cast("long"), F.lit(256)).alias("symbol"))
-    return rows.groupBy("raster_id", "symbol").agg(F.count(F.lit(1)).alias("n"))
+    return pixels.where("valid").select("raster_id", "dim", "y", "x", F.pmod((F.col("value") - guess).cast("long"), F.lit(256)).alias("symbol"))
+
+
+def histogram_delta(pixels: DataFrame) -> DataFrame:
+    """Counts of delta_symbols()."""
+    return delta_symbols(pixels).groupBy("raster_id", "symbol").agg(F.count(F.lit(1)).alias("n"))
 
 
 def depth_differences(pixels: DataFrame) -> DataFrame:

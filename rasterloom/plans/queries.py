@@ -635,4 +635,4 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-from rasterloom.plans import bytes_made, choices  # noqa: E402, F401  registers further queries
+from rasterloom.plans import bytes_made, choices, sets_checked  # noqa: E402, F401  registers further queries

@@ -23,10 +23,10 @@ from rasterloom.llm import bpe, wfst
 from rasterloom.llm.common import prefer_names, tidy, written
 
 #: Rows and code points that are aligned together.
-ROWS, TOGETHER = 200, 400_000
+ROWS, TOGETHER = 200, 200_000
 COLUMNS = ["a", "b", "a_sizes", "b_sizes", "links"]
-#: Bytes of units that this operator's own encoder keeps, of its two.
-KEPT_BYTES = 24_000_000
+#: Bytes of units that the encoder of A keeps; it only saves time.
+KEPT_BYTES = 60_000_000
 
 
 class Pairs:

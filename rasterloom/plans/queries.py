@@ -313,15 +313,16 @@ def grid_raise_in_header(spark, sf_dir):
     return found.select(F.col("blob_id").alias("raster_id"), blobs.inspect(F.col("content"))["max_z_error"].alias("max_z_error"))
 
 
-@query("SELECT CAST(i AS BIGINT) AS i, b AS whole, CASE WHEN b THEN greatest(floor(i / 4.0), 0.5) ELSE i / 4.0 END AS bound FROM range(40) t(i), (VALUES (true), (false)) u(b)")
+@query("SELECT event_id, event_id % 2 = 0 AS whole, CASE WHEN event_id % 2 = 0 THEN greatest(floor(value / 100), 0.5) ELSE value / 100 END AS bound FROM events")
 def effective_error(spark, sf_dir):
-    rows = spark.range(40).withColumnRenamed("id", "i").crossJoin(spark.createDataFrame([(True,), (False,)], "whole boolean"))
-    return rows.withColumn("bound", tiles.effective_error(F.col("i") / 4.0, F.col("whole")))
+    """A hundredth of each event's value as an error bound, for whole numbers and others in turn."""
+    whole = F.col("event_id") % 2 == 0
+    return rasters.table(spark, sf_dir, "events").select("event_id", whole.alias("whole"), tiles.effective_error(F.col("value") / 100, whole).alias("bound"))
 
 
-@query("SELECT CAST(i AS BIGINT) AS i, CAST(CASE WHEN i = 0 THEN 0 ELSE length(bin(i)) END AS BIGINT) AS bits FROM range(1025) t(i)")
+@query("SELECT o_orderkey, CAST(CASE WHEN o_custkey = 0 THEN 0 ELSE length(bin(o_custkey)) END AS BIGINT) AS bits FROM orders")
 def bits_required(spark, sf_dir):
-    return spark.range(1025).select(F.col("id").alias("i"), tiles.bits_required(F.col("id")).alias("bits"))
+    return rasters.table(spark, sf_dir, "orders").select("o_orderkey", tiles.bits_required(F.col("o_custkey")).alias("bits"))
 
 
 @query("SELECT event_id, CAST(trunc(least(greatest(value * 10 - 300, -128), 127)) AS BIGINT) AS i8, CAST(trunc(least(greatest(value * 1000 - 300, 0), 65535)) AS BIGINT) AS u16 FROM events")
@@ -545,14 +546,14 @@ def stream_frames(spark, sf_dir):
     found = blobs.frame_lengths(blobs.encode_bands(rasters.event_bands(spark, sf_dir), "f64"))
     return found.where("n_bytes > 0").select(F.col("blob_id").alias("raster_id"), "frame")
 @query(
-    "WITH w AS (SELECT event_id, i, ascii(event_type[2 * i + 1]) * 256 + CASE WHEN 2 * i + 2 <= length(event_type) THEN ascii(event_type[2 * i + 2]) ELSE 0 END AS w, (length(event_type) + 1) // 2 AS n FROM events, range(10) t(i) WHERE i < (length(event_type) + 1) // 2), "
+    "WITH w AS (SELECT event_id, i, ascii(props[2 * i + 1]) * 256 + CASE WHEN 2 * i + 2 <= length(props) THEN ascii(props[2 * i + 2]) ELSE 0 END AS w, (length(props) + 1) // 2 AS n FROM events, range(10) t(i) WHERE i < (length(props) + 1) // 2), "
     "s AS (SELECT event_id, CAST(sum(w) % 65535 AS BIGINT) AS a, CAST(sum(w * (n - i)) % 65535 AS BIGINT) AS b FROM w GROUP BY event_id) "
     "SELECT event_id, CASE b WHEN 0 THEN 65535 ELSE b END * 65536 + CASE a WHEN 0 THEN 65535 ELSE a END AS checksum FROM s"
 )
 def checksum_fletcher32_all(spark, sf_dir):
-    """Of all events, those of odd length too."""
+    """Of texts of several lengths, odd ones too."""
     df = rasters.table(spark, sf_dir, "events")
-    return df.select("event_id", tiles.checksum(F.col("event_type").cast("binary")).cast("long").alias("checksum"))
+    return df.select("event_id", tiles.checksum(F.col("props").cast("binary")).cast("long").alias("checksum"))
 
 
 @query(f"SELECT raster_id, y, x, value FROM {EVENTS} WHERE valid")
@@ -580,9 +581,8 @@ def external_mask_join(spark, sf_dir):
     return blobs.pixels(joined).where("valid").select(F.col("blob_id").alias("raster_id"), "y", "x", "value")
 
 
-def _damaged() -> list[tuple[str, bytes]]:
-    """One sound blob and ways to break it."""
-    good = writing.encode(np.arange(64, dtype=float).reshape(8, 8) * 3, "u16")
+def _damaged(good: bytes) -> list[tuple[str, bytes]]:
+    """A sound blob and ways to break it."""
 
     def patched(at: int, data: bytes, resum: bool = True) -> bytes:
         from rasterloom.codec import bits
@@ -600,12 +600,28 @@ def _damaged() -> list[tuple[str, bytes]]:
     ]
 
 
-@query()
+_DAMAGE = {
+    "sound": None, "magic": "InvalidMagic", "empty": "InvalidMagic", "version 9": "UnsupportedVersion", "no height": "InvalidHeader", "micro-block 33": "InvalidHeader", "no depth": "InvalidHeader",
+    "checksum": "ChecksumMismatch", "cut": "Truncated", "type 9": "InvalidBlob", "more behind": "InvalidBlob", "too many valid": "InvalidBlob",
+}
+_DAMAGED_ROWS = ", ".join(f"('{n}', {'NULL' if k is None else repr(k)})" for n, k in _DAMAGE.items())
+
+
+@query(f"SELECT raster_id, name, error_kind FROM (SELECT DISTINCT raster_id FROM {_SMALL}), (VALUES {_DAMAGED_ROWS}) d(name, error_kind)")
 def validate_malformed(spark, sf_dir):
-    """The kind of error of each damaged blob."""
-    rows = spark.createDataFrame(_damaged(), "name string, content binary")
-    found = rows.withColumn("i", blobs.inspect(F.col("content"), strict=True))
-    return found.select("name", "i.error_kind", "i.error_message")
+    """The kind of error of each raster's blob, damaged in each way."""
+    small = rasters.from_key(rasters.table(spark, sf_dir, "orders"), "o_orderkey", 10, [F.col("o_custkey")], strip=16)
+
+    def damage(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for blob_id, content in zip(*[c.to_pylist() for c in batch.columns]):
+                names, parts = zip(*_damaged(content))
+                yield pa.RecordBatch.from_arrays([pa.array([blob_id] * len(names), pa.int64()), pa.array(names), pa.array(parts, pa.binary())], names=["raster_id", "name", "content"])
+
+    rows = blobs.encode(small, "u16").select("blob_id", "content").mapInArrow(damage, "raster_id long, name string, content binary")
+    return rows.select("raster_id", "name", blobs.inspect(F.col("content"), strict=True)["error_kind"].alias("error_kind"))
 
 
 @query(f"SELECT raster_id, CASE raster_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'InvalidMagic' WHEN 2 THEN 'UnsupportedVersion' WHEN 3 THEN 'ChecksumMismatch' WHEN 4 THEN 'Truncated' ELSE 'InvalidHeader' END AS error_kind FROM {_BODIES} GROUP BY raster_id")
@@ -622,11 +638,14 @@ def inspect_damaged(spark, sf_dir):
     return found.select("raster_id", blobs.inspect(F.col("content"))["error_kind"].alias("error_kind"))
 
 
-@query("SELECT 'u8' AS data_type, CAST(30 AS BIGINT) AS width, CAST(20 AS BIGINT) AS height")
+@query(f"SELECT raster_id, 'i32' AS data_type, CAST(10 AS BIGINT) AS width, max(y) + CAST(1 AS BIGINT) AS height, count(*) AS n, CAST(sum(value) AS BIGINT) AS total FROM {_SMALL} WHERE raster_id % 3 <> 1 GROUP BY raster_id")
 def encode_errors_permissive(spark, sf_dir):
-    content = bytearray(writing.encode(np.arange(600, dtype=float).reshape(20, 30) % 7, "u8"))
-    rows = spark.createDataFrame([(content,)], "content binary").withColumn("i", blobs.inspect(F.col("content")))
-    return rows.where("i.error_kind is null").select("i.data_type", "i.width", "i.height")
+    """Every third blob has lost its last byte; permissive reading leaves it out and goes on."""
+    small = rasters.from_key(rasters.table(spark, sf_dir, "orders"), "o_orderkey", 10, [F.col("o_custkey")], strip=16)
+    cut = F.when(F.col("blob_id") % 3 == 1, F.substring("content", F.lit(1), F.length("content") - 1)).otherwise(F.col("content"))
+    found = blobs.decode(blobs.encode(small, "i32").select("blob_id", cut.alias("content"))).where("error_kind is null")
+    total = F.aggregate("values", F.lit(0.0), lambda a, b: a + b).cast("long")
+    return found.select(F.col("blob_id").alias("raster_id"), "data_type", "width", "height", F.size("values").cast("long").alias("n"), total.alias("total"))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ def test_query(spark, duck, name):
 
 def test_damaged_blobs_tell_their_errors(spark):
     found = {r.name: r.error_kind for r in queries.validate_malformed(spark, SF).collect()}
-    assert found["sound"] is None and found["checksum"] == "ChecksumMismatch" and found["cut"] == "Truncated" and found["more behind"] == "InvalidBlob"
+    assert found == queries._DAMAGE and found["sound"] is None and found["checksum"] == "ChecksumMismatch" and found["cut"] == "Truncated" and found["more behind"] == "InvalidBlob"
 
 
 def test_entry(spark):

@@ -6,7 +6,7 @@ import numpy as np
 
 from rasterloom.codec.model import TYPES, Cursor, bits_required, dtype, fail, is_integer, through
 
-#: A lookup table's length, with the implicit zero, is one byte.
+#: A lookup table's length, with the implicit zero, is one byte; so many words of a checksum are added up before it is folded.
 MAX_TABLE = 255
 WORDS_A_FOLD = 359
 

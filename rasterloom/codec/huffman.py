@@ -9,6 +9,7 @@ import numpy as np
 from rasterloom.codec import bits
 from rasterloom.codec.model import Cursor, fail
 
+#: The alphabet, and the longest codes that are read and written; and the bits that a table of short codes covers.
 SYMBOLS, QUICK, LONGEST_READ, LONGEST_WRITTEN = 256, 12, 32, 31
 
 

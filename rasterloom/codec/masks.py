@@ -6,8 +6,9 @@ import numpy as np
 
 from rasterloom.codec.model import BlobInfo, fail
 
+#: The longest run, and the mark behind the last.
 LONGEST, STOP = 32767, -32768
-#: A run becomes a repeat from so many bytes on: alone, at one end of the mask (or behind a repeat), or between literals.
+#: A run becomes a repeat from so many bytes on: alone, at one end of the mask (or behind a repeat), or between literals.
 ALONE, AT_AN_END, BETWEEN = 2, 4, 6
 
 
@@ -69,7 +70,7 @@ def write_runs(bitset: bytes) -> bytes:
     return b"".join([*out, _literal(bitset[pending:]), STOP.to_bytes(2, "little", signed=True)])
 
 
-#: The strict profile opens a repeat at so many equal bytes, but never at the last byte of the mask.
+#: Fixed value: the strict profile opens a repeat at so many equal bytes, but never at the last byte of the mask.
 STRICT_REPEAT = 5
 
 

@@ -291,19 +291,3 @@ def inspect(data, compute_range: bool = True, inherited: np.ndarray | None = Non
 def decode(data, inherited: np.ndarray | None = None):
     """(info, samples (height, width, depth) as float64, mask or None) of the first blob. Invalid pixels are 0."""
     return _decode_1(parse_1(data, inherited)) if family(data) == 1 else _decode_2(parse_2(data), inherited)
-
-
-def split(data) -> list[tuple[int, int]]:
-    """(place, bytes) of each of the blobs that follow one another, from their headers alone."""
-    out, at, mask = [], 0, None
-    while at < len(data):
-        rest = memoryview(data)[at:]
-        if family(rest) == 1:
-            p = parse_1(rest, mask)
-            mask = p.mask if p.mask is not None else None
-            size = p.info.blob_size
-        else:
-            size = parse_2(rest).info.blob_size
-        out.append((at, size))
-        at += size
-    return out

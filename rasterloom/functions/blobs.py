@@ -152,15 +152,21 @@ def decode(blobs: DataFrame, strict: bool = True) -> DataFrame:
 NATIVE = {"i8": "tinyint", "u8": "smallint", "i16": "smallint", "u16": "int", "i32": "int", "u32": "bigint", "f32": "float", "f64": "double"}
 
 
-def decode_native(blobs: DataFrame, data_type: str) -> DataFrame:
+def decode_native(blobs: DataFrame, data_type: str, permissive: bool = False) -> DataFrame:
     """blob_id, shape (rows, columns and, if above 1, depth) and samples in the blob's own type, which
-    must be data_type, a row for each blob; all null for a null blob. An error ends the task with it."""
+    must be data_type, a row for each blob; all null for a null blob. An error ends the task with it;
+    permissive: a blob with an error, or of another type, is all null, and bytes behind a blob are left."""
 
     def run(frames):
         for frame in frames:
             rows = []
             for blob_id, content, mask in frame.itertuples(index=False):
-                own = None if content is None else bands.typed(bands.decode(content, _mask(mask)), data_type)
+                try:
+                    own = None if content is None else bands.typed((bands.decode_first if permissive else bands.decode)(content, _mask(mask)), data_type)
+                except RasterError:
+                    if not permissive:
+                        raise
+                    own = None
                 rows.append((blob_id, None, None) if own is None else (blob_id, list(own.shape), own.reshape(-1)))
             yield pd.DataFrame(rows, columns=["blob_id", "shape", "samples"])
 
@@ -181,6 +187,28 @@ def mask_bytes(content: Column | str) -> Column:
     return read(content)
 
 
+def set_masks(blobs: DataFrame) -> DataFrame:
+    """blob_id, shape (rows, columns and, if above 1, bands) and masks (a byte a pixel and band, bands last) of each set of
+    bands, from headers and masks alone: no sample is decoded.
+
+    Masks that are taken over are there; a band without a mask is all ones; both are null where no band has a mask, and
+    for a null blob. An error, or bands that are no set, end the task with it.
+    """
+
+    def run(frames):
+        for frame in frames:
+            rows = []
+            for blob_id, content, mask in frame.itertuples(index=False):
+                found = [] if content is None else list(bands.each(content, _mask(mask), samples=False))
+                if content is not None:
+                    bands.check([b.info for b in found])
+                masks = bands.band_masks(found)
+                rows.append((blob_id, None, None) if masks is None else (blob_id, list(masks.shape), masks.tobytes()))
+            yield pd.DataFrame(rows, columns=["blob_id", "shape", "masks"])
+
+    return _with_mask(blobs).mapInPandas(run, f"blob_id {_id_type(blobs)}, shape array<int>, masks binary")
+
+
 def frame_lengths(blobs: DataFrame, content: str = "content") -> DataFrame:
     """blob_id, frame, n_bytes: the blobs of each byte stream, one after the other, each by its own header.
     An end within a blob ends the task with Truncated; a null or empty stream has no rows."""

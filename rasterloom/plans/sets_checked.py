@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rasterloom.codec import writing
 from rasterloom.functions import blobs, headers
 from rasterloom.operators import nodata, sets
-from rasterloom.plans.queries import query
+from rasterloom.plans.queries import EVENTS, query
 from rasterloom.sources import rasters
 
 # Orders in rasters of 10 columns and 16 rows and two dimensions; no-data lies below, above or within the values.
@@ -132,3 +132,16 @@ def set_errors(spark, sf_dir):
     place = F.when((kind == 2) & (F.col("band") < 2), 1 - F.col("band")).otherwise(F.col("band"))
     told = found.select("blob_id", place.alias("band"), headers.header(content).alias("h")).select("blob_id", "band", "h.*")
     return sets.set_errors(told).select(F.col("blob_id").alias("raster_id"), "n_bands", "error_kind", "at")
+
+
+_EVENT_TYPES = "(VALUES (0, 'click'), (1, 'error'), (2, 'purchase'), (3, 'signup'), (4, 'view')) t(band, type)"
+
+
+@query(
+    f"SELECT raster_id, any_value(h) AS height, any_value(w) AS width, CAST(5 AS INT) AS bands, string_agg(CASE WHEN event_type = type THEN '01' ELSE '00' END, '' ORDER BY y, x, band) AS masks "
+    f"FROM (SELECT *, max(y) OVER (PARTITION BY raster_id) + 1 AS h, max(x) OVER (PARTITION BY raster_id) + 1 AS w FROM {EVENTS}), {_EVENT_TYPES} GROUP BY raster_id"
+)
+def set_masks(spark, sf_dir):
+    """The masks of all bands of a set, without their samples."""
+    found = blobs.set_masks(blobs.encode_bands(rasters.event_bands(spark, sf_dir), "f64"))
+    return found.select(F.col("blob_id").alias("raster_id"), F.col("shape")[0].alias("height"), F.col("shape")[1].alias("width"), F.col("shape")[2].alias("bands"), F.hex("masks").alias("masks"))

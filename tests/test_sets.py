@@ -73,3 +73,20 @@ def test_set_errors_are_the_codec_s(spark):
             assert got[k].error_kind == e.kind and got[k]["at"] is not None, k
     kept = {r.blob_id for r in sets.sound(split).select("blob_id").collect()}
     assert kept == {k for k, r in got.items() if r.error_kind is None} == {0, 3, 4, 5} | ({1} & kept)
+
+
+def test_masks_of_sets_and_permissive_types(spark):
+    mask = np.array([1, 0, 1, 1])
+    shared = writing.encode_bands([np.eye(2), np.ones((2, 2))], "u8", mask)
+    bare = writing.encode_bands([np.eye(2), np.ones((2, 2))], "u8")
+    mixed = writing.encode(np.eye(2), "u8", mask) + writing.encode(np.eye(2), "u8")
+    rows = [(1, bytearray(shared)), (2, bytearray(bare)), (3, bytearray(mixed)), (4, None)]
+    df = spark.createDataFrame(rows, "blob_id int, content binary")
+    got = {r.blob_id: (r["shape"], None if r.masks is None else bytes(r.masks)) for r in blobs.set_masks(df).collect()}
+    pairs = lambda a, b: bytes(v for p in zip(a, b) for v in p)
+    assert got == {1: ([2, 2, 2], pairs(mask, mask)), 2: (None, None), 3: ([2, 2, 2], pairs(mask, [1] * 4)), 4: (None, None)}
+    some = df.unionByName(spark.createDataFrame([(5, bytearray(b"junk")), (6, bytearray(writing.encode(np.eye(2), "i16")))], df.schema))
+    found = {r.blob_id: r.samples for r in blobs.decode_native(some, "u8", permissive=True).collect()}
+    assert found[2] == [1, 0, 0, 1] and found[5] is None and found[6] is None and found[4] is None
+    with pytest.raises(Exception, match="Invalid"):
+        blobs.decode_native(some, "u8").collect()

@@ -150,6 +150,14 @@ def aligner(byte_vocabulary: str, piece_model: str) -> Aligner:
     return Aligner(byte_vocabulary, piece_model)
 
 
+def _forget() -> None:
+    """Called where no text is encoded any more: a worker's encoders go, with what they keep."""
+    aligner.cache_clear()
+    for kept in (bpe._TABLES, bpe._LOADED, wfst._LOADED):
+        kept.clear()
+    tidy()
+
+
 def _lists(values: np.ndarray, counts: np.ndarray):
     import pyarrow as pa
 
@@ -235,6 +243,7 @@ def counts(aligned: DataFrame, size: int) -> np.ndarray:
     def run(batches):
         import pyarrow as pa
 
+        _forget()
         found = np.zeros(size, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
@@ -285,6 +294,7 @@ def links(docs: DataFrame, byte_vocabulary: str, piece_model: str) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        _forget()
         often, top = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):

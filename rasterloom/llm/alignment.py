@@ -9,24 +9,36 @@ are linked, since their byte ranges end together.
 Of two linked tokens one spells the end of the other. So the pairs that can be linked at all follow from
 the two vocabularies: each token's suffixes that the other side has. Counts of linked pairs over the
 corpus are an array over these pairs, whose size doesn't depend on the corpus; it is broadcast.
+
+Both sides cut a text at spaces, line feeds and punctuation behind letters (checked for B's pieces), and so does
+the alignment: each distinct unit of many rows is encoded and aligned once, and what it gives is gathered to all
+its places. Texts with other white space are aligned whole.
 """
 
 from __future__ import annotations
 
+import re
+
 from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm import bpe, wfst
+from rasterloom.llm import bpe, tokens, wfst
 from rasterloom.llm.common import prefer_names, tidy, written
 
-#: Rows and code points that are aligned together.
+#: Rows and code points that are aligned together as whole texts.
 ROWS, TOGETHER = 200, 200_000
+#: Rows and bytes whose units are aligned together.
+UNIT_ROWS, UNIT_BYTES = 800, 2_500_000
 COLUMNS = ["a", "b", "a_sizes", "b_sizes", "links"]
-#: Bytes of units that the encoder of A keeps; it only saves time.
-KEPT_BYTES = 24_000_000
+#: Bytes of units that each side's encoder keeps for whole texts, and aligned units that are kept; both only save time.
+KEPT_BYTES, KEPT_UNITS = 12_000_000, 200_000
+#: Row groups of the written table, whose rows take 12 kB for a text of 3 kB.
+GROUP_BYTES = 16_000_000
+#: Where tokens.cut() cuts inside of words.
+_INNER_CUT = re.compile(f"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff][{re.escape(tokens._TAIL)}]|.\n|\n.", re.DOTALL)
 
 
 class Pairs:
@@ -109,15 +121,79 @@ class Aligner:
         self.a, self.b = bpe.Encoder(byte_vocabulary, special=False, kept_bytes=KEPT_BYTES), wfst.transducer(piece_model)
         self.spell_a, self.spell_b = _Spelling(self.a.tables.spelled), _Spelling(list(self.b.surface))
         self.pairs = Pairs(self.spell_a.spelled, self.spell_b.spelled)
+        self.b.known = tokens.Kept(KEPT_BYTES)
         #: How written columns are packed: ids in two bytes where they fit.
         self.kinds = ["<u2" if len(s.spelled) <= 1 << 16 else "<u4" for s in (self.spell_a, self.spell_b)]
+        model = self.b.model
+        self.by_units = model.first_space and model.escape_spaces and not model.strip_spaces and not any(_INNER_CUT.search(p) for p in model.pieces)
+        self._forget_units()
         tidy()
 
+    def _forget_units(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.values, self.counts = [np.zeros(0, np.int32) for _ in COLUMNS], np.zeros((3, 0), np.int64)
+
     def align(self, texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
         """([a, b, a_sizes, b_sizes, links] of all texts one after the other, and how many each text has of each)."""
         full = [t for t in texts if t]
-        raw_a, raw_b = [self.a.encode(" " + t) for t in full], self.b.encode_all(full)
-        want = [b" " + t.encode() for t in full]
+        values, own = self._aligned([self.a.encode(" " + t) for t in full], self.b.encode_all(full), [b" " + t.encode() for t in full])
+        counts = np.zeros((3, len(texts)), np.int64)
+        counts[:, np.flatnonzero([bool(t) for t in texts])] = own
+        return values, counts
+
+    def align_column(self, column) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """As align(), of an Arrow array of strings; and the rows that have to be aligned as whole texts, and have nothing here."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if not self.by_units:
+            return [np.zeros(0, np.int32) for _ in COLUMNS], np.zeros((3, len(column)), np.int64), np.ones(len(column), bool)
+        octets, begins = tokens.joined(pc.binary_join_element_wise(pa.scalar(" "), column.fill_null(""), ""))
+        units, n_units, whole = tokens.cut(octets, begins)
+        coded = units.dictionary_encode()
+        places, values, counts = self._places(coded.dictionary.to_pylist(), np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary)))
+        at = places[coded.indices.to_numpy()]
+        ends = np.concatenate(([0], np.cumsum(n_units)))
+        n = counts[:, at]
+        if len(odd := np.flatnonzero(n[0] == 0)):  # a unit that isn't spelled: its text has no tokens
+            bad = np.zeros(len(column), bool)
+            bad[np.searchsorted(ends, odd, "right") - 1] = True
+            n[:, np.repeat(bad, n_units)] = 0
+        out = []
+        for own, size, of in zip(counts, n, ((0,), (1,), (2, 3, 4))):
+            begin = (np.cumsum(own) - own)[at]
+            end = np.cumsum(size)
+            where = np.repeat((begin - end + size).astype(np.int32), size)
+            where += np.arange(len(where), dtype=np.int32)
+            out += [values[k][where] for k in of]
+        upto = np.concatenate((np.zeros((3, 1), np.int64), np.cumsum(n, axis=1)), axis=1)
+        return out, np.diff(upto[:, ends], axis=1), whole
+
+    def _places(self, units: list[bytes], often: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        """(the place of each unit, what all places have, how much each has). Those seen more than once are kept."""
+        if len(self.known) >= KEPT_UNITS:
+            self._forget_units()
+        known = self.known
+        places = np.array([known.get(u, -1) for u in units], np.int64)
+        # New ones that are kept stand before the others.
+        new = np.flatnonzero(places < 0)
+        new = new[np.argsort(often[new] < 2, kind="stable")]
+        if not len(new):
+            return places, self.values, self.counts
+        raw = [units[k] for k in new.tolist()]
+        texts = [u.decode() for u in raw]
+        own, counts = self._aligned([self.a._encode_unit(t) for t in texts], self.b.search_all([t.replace(" ", wfst.SPACE) for t in texts]), raw)
+        before, keep = self.counts.shape[1], int((often[new] > 1).sum())
+        places[new] = np.arange(before, before + len(new))
+        values = [np.concatenate((x, y.astype(np.int32))) for x, y in zip(self.values, own)]
+        counts = np.concatenate((self.counts, counts), axis=1)
+        known.update(zip(raw[:keep], range(before, before + keep)))
+        self.counts = counts[:, : before + keep].copy()
+        self.values = [v[:n].copy() for v, n in zip(values, self.counts.sum(axis=1)[[0, 1, 2, 2, 2]].tolist())]
+        return places, values, counts
+
+    def _aligned(self, raw_a: list[bytes], raw_b: list[bytes], want: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+        """As align(), of both sides' ids of byte strings; one that either side doesn't spell has none."""
         ids, spelled = [], []
         for raw, spelling in ((raw_a, self.spell_a), (raw_b, self.spell_b)):
             of = np.frombuffer(b"".join(raw), "<u4").astype(np.int64)
@@ -139,9 +215,7 @@ class Aligner:
         links = self.pairs.places(ids[0][upto[0] - 1], ids[1][upto[1] - 1])
         # A text's last byte is a cut: so many groups are up to it.
         groups = np.diff(np.searchsorted(upto[0], np.concatenate(([0], np.cumsum(sizes[0]))), "right"))
-        counts = np.zeros((3, len(texts)), np.int64)
-        counts[:, np.flatnonzero([bool(t) for t in texts])] = [*sizes, groups]
-        return [*ids, *[np.diff(u, prepend=0) for u in upto], links], counts
+        return [*ids, *[np.diff(u, prepend=0) for u in upto], links], np.array([*sizes, groups])
 
 
 @lru_cache(maxsize=2)
@@ -195,6 +269,14 @@ def _unflagged(column, counts: np.ndarray) -> np.ndarray:
     return np.diff(np.flatnonzero(np.concatenate([np.zeros(0, np.uint8), *ends])), prepend=-1)
 
 
+def _parts(batches):
+    """Slices of batches; a batch is let go before the next one is read, if the caller lets its slice go."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+        del batch
+
+
 def _slices(batch, texts: list[str]):
     """(from, to) of so many rows that their texts are aligned together."""
     start, held = 0, 0
@@ -221,17 +303,29 @@ def _aligned(docs: DataFrame, byte_vocabulary: str, piece_model: str, packed: bo
         import pyarrow as pa
 
         both = aligner(byte_vocabulary, piece_model)
+
+        def columns(doc_ids, values, counts):
+            (a, b, a_sizes, b_sizes, links), (n_a, n_b, n) = values, counts
+            if packed:
+                cols = [_packed(a, n_a, both.kinds[0]), _packed(b, n_b, both.kinds[1]), _flags(a_sizes, n_a), _flags(b_sizes, n_b), _packed(links, n, "<u4")]
+            else:
+                cols = [_lists(a, n_a), _lists(b, n_b), _lists(a_sizes, n), _lists(b_sizes, n), _lists(links, n)]
+            return pa.RecordBatch.from_arrays([doc_ids, *cols], names=["doc_id", *COLUMNS])
+
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                for x, y in _slices(part, texts):
-                    (a, b, a_sizes, b_sizes, links), (n_a, n_b, n) = both.align(texts[x:y])
-                    if packed:
-                        cols = [_packed(a, n_a, both.kinds[0]), _packed(b, n_b, both.kinds[1]), _flags(a_sizes, n_a), _flags(b_sizes, n_b), _packed(links, n, "<u4")]
-                    else:
-                        cols = [_lists(a, n_a), _lists(b, n_b), _lists(a_sizes, n), _lists(b_sizes, n), _lists(links, n)]
-                    yield pa.RecordBatch.from_arrays([part.column(0).slice(x, y - x), *cols], names=["doc_id", *COLUMNS])
+            for x, y in tokens.slices(batch.column(1), UNIT_ROWS, UNIT_BYTES):
+                part = batch.slice(x, y - x)
+                values, counts, whole = both.align_column(part.column(1))
+                yield columns(part.column(0).filter(pa.array(~whole)), values, counts[:, ~whole])
+                del values, counts
+                rest = part.filter(pa.array(whole))
+                for at in range(0, rest.num_rows, ROWS):
+                    some = rest.slice(at, ROWS)
+                    texts = [t or "" for t in some.column(1).to_pylist()]
+                    for v, w in _slices(some, texts):
+                        yield columns(some.column(0).slice(v, w - v), *both.align(texts[v:w]))
+                tidy()  # what a slice takes besides its columns
+            batch = part = None  # let go before the next one is read
         tidy()
 
     return prefer_names(docs, "doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{c} {'binary' if packed else 'array<int>'}" for c in COLUMNS))
@@ -245,9 +339,9 @@ def counts(aligned: DataFrame, size: int) -> np.ndarray:
 
         _forget()
         found = np.zeros(size, np.int64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                found += np.bincount(_unpacked(batch.column(0).slice(at, ROWS), "<u4")[0], minlength=size)
+        for part in _parts(batches):
+            found += np.bincount(_unpacked(part.column(0), "<u4")[0], minlength=size)
+            del part
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(found[at])], names=["link", "n"])
 
@@ -284,7 +378,7 @@ def links(docs: DataFrame, byte_vocabulary: str, piece_model: str) -> DataFrame:
     its B id), count_sum (of these numbers over links) and groups (``a1,a2|b1;a3|b2,b3``) for each row; odd rows as in align()."""
     both = aligner(byte_vocabulary, piece_model)
     pairs, kinds = both.pairs, both.kinds
-    aligned = written(_aligned(docs, byte_vocabulary, piece_model, True), "alignment")
+    aligned = written(_aligned(docs, byte_vocabulary, piece_model, True), "alignment", GROUP_BYTES)
     often = counts(aligned, len(pairs.keys))
     best = np.zeros(pairs.n_b, np.int64)
     np.maximum.at(best, pairs.b, often)
@@ -296,17 +390,16 @@ def links(docs: DataFrame, byte_vocabulary: str, piece_model: str) -> DataFrame:
 
         _forget()
         often, top = shared.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                (a, n_a), (b, n_b), (links, n) = [_unpacked(part.column(k), kind) for k, kind in ((1, kinds[0]), (2, kinds[1]), (5, "<u4"))]
-                a_sizes, b_sizes = _unflagged(part.column(3), n_a), _unflagged(part.column(4), n_b)
-                text, ends = spelled_groups(a, b, a_sizes, b_sizes)
-                upto = np.concatenate(([0], np.cumsum(n)))
-                cuts = np.concatenate(([0], ends))[upto]
-                sums = [np.diff(np.concatenate(([0], np.cumsum(v)))[upto]) for v in (top[links], often[links])]
-                groups = [text[x : max(x, y - 1)].decode() for x, y in zip(cuts.tolist(), cuts[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(v) for v in (n_a, n_b, n, n, *sums)], pa.array(groups, pa.string())], names=fields)
+        for part in _parts(batches):
+            (a, n_a), (b, n_b), (links, n) = [_unpacked(part.column(k), kind) for k, kind in ((1, kinds[0]), (2, kinds[1]), (5, "<u4"))]
+            a_sizes, b_sizes = _unflagged(part.column(3), n_a), _unflagged(part.column(4), n_b)
+            text, ends = spelled_groups(a, b, a_sizes, b_sizes)
+            upto = np.concatenate(([0], np.cumsum(n)))
+            cuts = np.concatenate(([0], ends))[upto]
+            sums = [np.diff(np.concatenate(([0], np.cumsum(v)))[upto]) for v in (top[links], often[links])]
+            groups = [text[x : max(x, y - 1)].decode() for x, y in zip(cuts.tolist(), cuts[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(v) for v in (n_a, n_b, n, n, *sums)], pa.array(groups, pa.string())], names=fields)
+            del part, a, b, links, a_sizes, b_sizes, text, groups
         tidy()
 
     return aligned.mapInArrow(run, ", ".join(f"{f} {'string' if f == 'groups' else 'long'}" for f in fields))

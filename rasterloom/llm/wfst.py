@@ -297,18 +297,25 @@ class Transducer:
             out[at : at + len(s)] = s
         return out, np.bincount(whose, weights=repeat, minlength=n).astype(np.int64)
 
+    def search_all(self, segments: list[str]) -> list[bytes]:
+        """search() for any number of segments, those of like length together."""
+        found: list[bytes] = [b""] * len(segments)
+        order, at = sorted(range(len(segments)), key=lambda k: len(segments[k])), 0
+        while at < len(order):
+            to = at + max(1, min(TOGETHER, TOGETHER * 16 // max(1, len(segments[order[at]]))))
+            for k, ids in zip(order[at:to], self.search([segments[k] for k in order[at:to]])):
+                found[k] = ids
+            at = to
+        return found
+
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers; an empty text has none."""
         cut = [_SEGMENT.findall(self.normalised(t)) if t else [] for t in texts]
         found = {s: self.known.get(s) for s in set().union(*cut)}
-        new = sorted((s for s, ids in found.items() if ids is None), key=len)
-        at = 0
-        while at < len(new):
-            to = at + max(1, min(TOGETHER, TOGETHER * 16 // len(new[at])))
-            for s, ids in zip(new[at:to], self.search(new[at:to])):
-                found[s] = ids
-                self.known.put(s, ids)
-            at = to
+        new = [s for s, ids in found.items() if ids is None]
+        for s, ids in zip(new, self.search_all(new)):
+            found[s] = ids
+            self.known.put(s, ids)
         return [b"".join(map(found.__getitem__, c)) for c in cut]
 
     def encode(self, text: str) -> bytes:

@@ -237,3 +237,20 @@ def test_bits(a, b):
     assert (x & y).select().tolist() == sorted(a & b)
     places = np.arange(401)
     assert x.rank(places).tolist() == [sum(v <= p for v in a) for p in places.tolist()]
+
+
+def test_units_are_aligned_once_and_as_in_whole_texts():
+    import pyarrow as pa
+
+    both = alignment.Aligner(tokens.vocabulary(BYTES), tokens.vocabulary(PIECES))
+    rng = random.Random(8)
+    parts = ["the", " of", " and", ".", ", x", "\nIt", "!!", " d'un", "\u00e9.", "\u00d7.", " 12%", "\u2581", "  ", "\t", "\u4e2d", "<0x41>", "\u0130."]
+    texts = [None, "", " ", "\n", "a\n", " a", "a \u2581 b"] + ["".join(rng.choices(parts, k=rng.randint(1, 12))) for _ in range(800)]
+    values, counts, whole = both.align_column(pa.array(texts, pa.string()))
+    assert 100 < whole.sum() < 700 and not counts[:, whole].any()
+    want, n = both.align([t for t, w in zip(texts, whole) if not w])
+    assert (counts[:, ~whole] == n).all() and all((x == y).all() for x, y in zip(values, want))
+    seen, encode = [], both.a._encode_unit
+    both.a._encode_unit = lambda unit: seen.append(unit) or encode(unit)
+    both.align_column(pa.array(["One new word, one NEW word."] * 50))
+    assert len(seen) == len(set(seen)) < 8

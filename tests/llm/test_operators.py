@@ -1,6 +1,7 @@
 """Each operator against its plain version on one small corpus with every odd case."""
 
 import hashlib
+import random
 import re
 import zlib
 from array import array
@@ -53,6 +54,23 @@ def test_each_letter_before_punctuation(kind, name):
         assert list(array("I", own.encode(text))) == found.ids, text
 
 
+@pytest.mark.parametrize("name, kind", [(BYTE_BPE, "byte")])
+def test_units_of_many_rows_are_looked_up_once_and_encoded_as_the_library_does(name, kind):
+    import pyarrow as pa
+
+    own, theirs, rng = tokens.Encoder(tokens.vocabulary(name), kind, kept_bytes=20_000), plain_tokenizer(name), random.Random(3)
+    parts = ["the", " of", "\u00e9.", "\u00d7.", ".", "!'s", "\nIt", " ", "\t", "\u0301", "\u0130.", " d'un", "\u00a0", "\u2026", "<|endoftext|>", "12%"]
+    texts = [None, "", " ", "\n", " a", "a\n"] + ["".join(rng.choices(parts, k=rng.randint(1, 9))) for _ in range(1500)]
+    column, found = pa.array(texts, pa.string()), []
+    for x, y in tokens.slices(column, 400, 5_000):
+        found += own.encode_all(column.slice(x, y - x))
+    assert found == [np.array(theirs.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    seen, encode = [], own._encode_unit
+    own._encode_unit = lambda unit: seen.append(unit) or encode(unit)
+    own.encode_all(pa.array(["Quite unheard, quite UNHEARD."] * 50))
+    assert len(seen) == len(set(seen)) < 8
+
+
 def test_kept_units_are_bounded_and_frequent_ones_stay():
     kept = tokens.Kept(40_000)
     for k in range(2000):

@@ -54,7 +54,7 @@ def test_each_letter_before_punctuation(kind, name):
         assert list(array("I", own.encode(text))) == found.ids, text
 
 
-@pytest.mark.parametrize("name, kind", [(BYTE_BPE, "byte")])
+@pytest.mark.parametrize("name, kind", [(BYTE_BPE, "byte"), (WORD_BPE, "word")])
 def test_units_of_many_rows_are_looked_up_once_and_encoded_as_the_library_does(name, kind):
     import pyarrow as pa
 
